@@ -179,7 +179,7 @@ def _compare(conv: tuple[Column, bool] | None, op: str, v: float) -> Compiled:
         expr = x > F.lit(v)
     else:
         expr = x >= F.lit(v)
-    if may_nan:
+    if may_nan and op in ("gt", "gte"):
         expr = expr & ~F.isnan(x)
     return _both(expr)
 
@@ -190,7 +190,7 @@ def _numeric_column_compare(c: Column, dtype: T.DataType, op: str, v: float) ->
         return _false()
     lit = F.lit(v)
     expr = {"lt": c < lit, "lte": c <= lit, "gt": c > lit, "gte": c >= lit}[op]
-    if isinstance(dtype, FRACTIONAL):
+    if isinstance(dtype, FRACTIONAL) and op in ("gt", "gte"):
         expr = expr & ~F.isnan(c)
     return _both(expr)
 

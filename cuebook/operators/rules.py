@@ -30,6 +30,11 @@ from ..model import Rule, Ruleset, load, never_fires
 from .signals import NOTE, SIGNAL_COLUMNS
 
 _CODE = "_cue_code"
+# Up to this many rules the OR of all rules is also a row filter ahead of the projection, so
+# plain comparisons reach the parquet scan. Beyond it the OR tree is large (and nested And/Or
+# code is never split, which can push a stage past the 64 KB method limit into interpreted
+# mode); then each rule is evaluated once, in the split-friendly array projection.
+PREFILTER_MAX_RULES = 16
 
 
 def _combine(parts: list[Column], how: str) -> Column:
@@ -54,18 +59,19 @@ def _program(df_schema: T.StructType, ruleset: Ruleset, runnable: list[Rule]) ->
     masked: list[bool] = []
     for i, rule in enumerate(runnable):
         compiled: list[Compiled] = [compile_criterion(c, df_schema) for c in rule.criteria]
-        filters.append(_combine([c.filter for c in compiled], rule.combination))
-        matched = _combine([c.value for c in compiled], rule.combination)
+        # NULL means "no" here: no NOT is applied above these, and CASE WHEN NULL is not taken.
+        matched = _combine([c.filter for c in compiled], rule.combination)
+        filters.append(matched)
         k = len(compiled)
         if rule.combination == "or" and k > 1:
             if k <= mask_bits:
                 mask = reduce(lambda a, b: a + b, [
-                    F.when(c.value, F.lit(1 << j)).otherwise(F.lit(0)).cast("long")
+                    F.when(c.filter, F.lit(1 << j)).otherwise(F.lit(0)).cast("long")
                     for j, c in enumerate(compiled)])
                 code = F.lit(i).cast("long") + F.lit(n).cast("long") * mask
                 masked.append(True)
             else:
-                texts = [F.when(c.value, F.lit(crit.evidence_text()))
+                texts = [F.when(c.filter, F.lit(crit.evidence_text()))
                          for c, crit in zip(compiled, rule.criteria, strict=True)]
                 wide[i] = F.array_compact(F.array(*texts))
                 code = F.lit(i).cast("long")
@@ -77,6 +83,16 @@ def _program(df_schema: T.StructType, ruleset: Ruleset, runnable: list[Rule]) ->
     return _Program(runnable, _combine(filters, "or"), elements, wide, masked)
 
 
+def ensure_codegen_limit(spark) -> None:
+    """Large rule programs compile to one big generated method; HotSpot does not JIT methods
+    over 8000 bytes of bytecode, so such a stage would run in the bytecode interpreter. With the
+    limit at 8000 Spark leaves whole-stage codegen for that stage and uses its split, JIT-able
+    expression code instead (the setting Spark documents for HotSpot). Only a default is raised."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, "65535") == "65535":
+        spark.conf.set(key, "8000")
+
+
 def _const_array(values: list[Any], dtype: str) -> Column:
     return F.array(*[F.lit(v).cast(dtype) for v in values])
 
@@ -103,21 +119,31 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
     runnable = [r for r in ruleset.rules if not never_fires(r, known, ruleset.id_field)]
     if not runnable:
         return empty_signals(df)
+    ensure_codegen_limit(df.sparkSession)
     prog = _program(df.schema, ruleset, runnable)
     n = len(runnable)
     id_type = df.schema[ruleset.id_field].dataType
     id_col = qcol(ruleset.id_field)
     keep = list(keep or [])
 
-    gen = F.explode(F.array_compact(F.array(*prog.elements))).alias(_CODE)
+    # Rules are evaluated in a plain projection (whole-stage codegen, split into methods by the
+    # array builder); only the small array of rule codes meets the null-dropping generator.
     wide_cols = [prog.wide_evidence[i].alias(f"_cue_ev{i}") for i in sorted(prog.wide_evidence)]
-    hit = df.filter(prog.prefilter).select(
+    wide_names = [f"_cue_ev{i}" for i in sorted(prog.wide_evidence)]
+    codes = F.array(*prog.elements).alias("_cue_codes")
+    # No filter on the codes array: Catalyst would push it below the projection and evaluate
+    # every rule twice; the generator already drops rows without a match. target_id and subject
+    # sit in the same projection so they are computed once per input row, not per signal.
+    src = df.filter(prog.prefilter) if n <= PREFILTER_MAX_RULES else df
+    matched = src.select(
         *[qcol(k) for k in keep],
         python_text(id_col, id_type).alias("target_id"),
         F.to_json(F.struct(id_col.alias(ruleset.id_field)), {"ignoreNullFields": "false"}).alias("subject"),
-        *wide_cols,
-        gen,
-    )
+        *wide_cols, codes)
+    hit = matched.select(
+        *[qcol(k) for k in keep], "target_id", "subject", *wide_names,
+        # array_except drops the NULLs without a lambda (codegen-friendly); codes are distinct.
+        F.explode(F.array_except("_cue_codes", F.array(F.lit(None).cast("long")))).alias(_CODE))
 
     code = F.col(_CODE)
     ordinal = (code % F.lit(n)).cast("int")
@@ -126,11 +152,14 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
     scores = [normalise_score_py(r.score) for r in runnable]
     texts = F.array(*[_const_array([c.evidence_text() for c in r.criteria], "string") for r in runnable])
     evidence_all = F.element_at(texts, at)
-    evidence = F.when(F.element_at(_const_array(prog.masked, "boolean"), at),
-                      F.filter(evidence_all, lambda x, j: F.getbit(mask, j) == F.lit(1)))
+    if any(prog.masked):
+        evidence = F.when(F.element_at(_const_array(prog.masked, "boolean"), at),
+                          F.filter(evidence_all, lambda x, j: F.getbit(mask, j) == F.lit(1)))
+    else:
+        evidence = None
     for i in sorted(prog.wide_evidence):
-        evidence = evidence.when(ordinal == F.lit(i), F.col(f"_cue_ev{i}"))
-    evidence = evidence.otherwise(evidence_all)
+        evidence = (evidence if evidence is not None else F).when(ordinal == F.lit(i), F.col(f"_cue_ev{i}"))
+    evidence = evidence.otherwise(evidence_all) if evidence is not None else evidence_all
 
     return hit.select(
         *[qcol(k) for k in keep],

@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     # SQL on raw file paths (``parquet.`/x` ``) would bypass declared scopes.
     "spark.sql.runSQLOnFiles": "false",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # HotSpot does not JIT methods over 8000 bytes of bytecode: leave whole-stage codegen for
+    # such stages (large rule programs) instead of running them in the bytecode interpreter.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
