@@ -5,6 +5,9 @@ Every criterion compiles to two forms:
 * ``filter`` form: may be NULL where the answer is "no"; used inside the OR pre-filter so that
   plain comparisons still reach the parquet scan as pushed filters.
 * ``value`` form: ``coalesce(filter, false)`` -- never NULL, safe under NOT and inside arrays.
+* ``loose`` form: a superset of the matches that pushes to the scan (no NaN guard); only used
+  in the pre-filter, where letting extra rows through is harmless because the rule program
+  decides the matches afterwards.
 
 The semantics follow plain Python comparison of a row value with a JSON value:
 no text<->number coercion, ``True == 1``, NaN never compares, NULL equals only null,
@@ -38,6 +41,11 @@ PY_FLOAT_PATTERN = (
 class Compiled:
     filter: Column
     value: Column
+    loose: Column | None = None
+
+    @property
+    def prefilter(self) -> Column:
+        return self.loose if self.loose is not None else self.filter
 
 
 def qcol(name: str) -> Column:
@@ -179,9 +187,10 @@ def _compare(conv: tuple[Column, bool] | None, op: str, v: float) -> Compiled:
         expr = x > F.lit(v)
     else:
         expr = x >= F.lit(v)
+    loose = expr
     if may_nan and op in ("gt", "gte"):
         expr = expr & ~F.isnan(x)
-    return _both(expr)
+    return Compiled(expr, F.coalesce(expr, F.lit(False)), loose)
 
 
 def _numeric_column_compare(c: Column, dtype: T.DataType, op: str, v: float) -> Compiled:
@@ -189,10 +198,10 @@ def _numeric_column_compare(c: Column, dtype: T.DataType, op: str, v: float) ->
     if _is_nan_value(v):
         return _false()
     lit = F.lit(v)
-    expr = {"lt": c < lit, "lte": c <= lit, "gt": c > lit, "gte": c >= lit}[op]
+    expr = loose = {"lt": c < lit, "lte": c <= lit, "gt": c > lit, "gte": c >= lit}[op]
     if isinstance(dtype, FRACTIONAL) and op in ("gt", "gte"):
         expr = expr & ~F.isnan(c)
-    return _both(expr)
+    return Compiled(expr, F.coalesce(expr, F.lit(False)), loose)
 
 
 def _relative_decrease(cur: tuple[Column, bool] | None, base: tuple[Column, bool] | None,

@@ -61,7 +61,7 @@ def _program(df_schema: T.StructType, ruleset: Ruleset, runnable: list[Rule]) ->
         compiled: list[Compiled] = [compile_criterion(c, df_schema) for c in rule.criteria]
         # NULL means "no" here: no NOT is applied above these, and CASE WHEN NULL is not taken.
         matched = _combine([c.filter for c in compiled], rule.combination)
-        filters.append(matched)
+        filters.append(_combine([c.prefilter for c in compiled], rule.combination))
         k = len(compiled)
         if rule.combination == "or" and k > 1:
             if k <= mask_bits:

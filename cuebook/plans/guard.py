@@ -95,6 +95,32 @@ def walk(plan) -> tuple[set[str], set[str], bool]:
     return tables, ctes, tvf
 
 
+def audit_target(spark: SparkSession, sql: str) -> str:
+    """Best-effort first table name for the audit row, also for statements that are refused."""
+    try:
+        plan = parse(spark, sql)
+    except ReadOnlyViolation:
+        return ""
+    names: set[str] = set()
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        kind = _name(node)
+        if kind in ("UnresolvedRelation", "UnresolvedIdentifier", "UnresolvedTableOrView", "UnresolvedTable"):
+            for attr in ("multipartIdentifier", "nameParts"):
+                if hasattr(node, attr):
+                    try:
+                        names.add(".".join(_seq(getattr(node, attr)())).lower())
+                        break
+                    except Exception:  # noqa: BLE001 -- best effort
+                        continue
+        try:
+            stack.extend(_seq(node.children()))
+        except Exception:  # noqa: BLE001
+            pass
+    return sorted(names)[0] if names else ""
+
+
 def assert_read_only(spark: SparkSession, sql: str) -> None:
     walk(parse(spark, sql))
 

@@ -10,6 +10,12 @@ and a small table of per-(partition, group) counts supplies the offset a partiti
 
 Both cost one range shuffle plus one hash shuffle of the rows; the offset tables have at most
 ``partitions + groups`` rows and their windows at most ``partitions`` rows per group.
+
+The partition id is read twice (for the local numbers and for the counts). Two independent
+range exchanges could sample different bounds when the input order is not deterministic, so
+the numbered rows are checkpointed (reliably, in ``spark.checkpoint.dir``) before the counts
+are taken: both uses then read one materialised partitioning, and an executor loss re-reads
+the checkpoint instead of re-running the shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 _PID = "_cue_pid"
 
 
@@ -42,7 +50,9 @@ def ordered_index(df: DataFrame, group: list[str], order: list[Column | str], ou
     ranged = df.repartitionByRange(p, *keys).withColumn(_PID, F.spark_partition_id())
     local = Window.partitionBy(_PID, *group).orderBy(*_sort_cols(order))
     numbered = ranged.withColumn("_cue_local", F.row_number().over(local) - F.lit(1))
-    counts = ranged.groupBy(_PID, *group).agg(F.count(F.lit(1)).alias("_cue_n"))
+    checkpoint_dir(df.sparkSession)
+    numbered = numbered.checkpoint(eager=True)
+    counts = numbered.groupBy(_PID, *group).agg(F.count(F.lit(1)).alias("_cue_n"))
     before = Window.partitionBy(*group).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PID, *group,
                             F.coalesce(F.sum("_cue_n").over(before), F.lit(0)).alias("_cue_off"))
@@ -64,8 +74,10 @@ def running_totals(df: DataFrame, order: list[Column | str], sums: dict[str, str
     inside = Window.partitionBy(_PID).orderBy(*_sort_cols(order)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(src).over(inside).alias(f"_cue_c_{dst}") for src, dst in sums.items()])
-    per_part = ranged.groupBy(_PID).agg(*[F.sum(src).alias(f"_cue_t_{src}") for src in
-                                          set(sums) | set(totals or {})])
+    checkpoint_dir(df.sparkSession)
+    local = local.checkpoint(eager=True)
+    per_part = local.groupBy(_PID).agg(*[F.sum(src).alias(f"_cue_t_{src}") for src in
+                                         set(sums) | set(totals or {})])
     prior = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_part.select(
