@@ -859,3 +859,44 @@ def all_queries() -> dict[str, QueryFn]:
 def all_oracles() -> dict[str, str]:
     all_queries()
     return dict(ORACLES)
+
+
+# ------------------------------------------------------------- bots: example signal, ruleset run
+
+@query("high_value_orders", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS target_id, 'high_value_order' AS label,
+       round(least(1.0, greatest(0.0, o_totalprice / 500000.0)), 3) AS score,
+       'order total ' || CAST(o_totalprice AS VARCHAR) AS evidence,
+       '{{"order_id":' || o_orderkey || '}}' AS subject
+FROM orders WHERE o_totalprice >= 475000
+""")
+def high_value_orders(spark, sf):
+    """The example signal bot: orders at or above a total, scored by total / 500000."""
+    orders = _t(spark, sf, "orders").filter(F.col("o_totalprice") >= 475000)
+    sig = to_signals(orders, F.col("o_orderkey"), "high_value_order", score=F.col("o_totalprice") / F.lit(500000),
+                     evidence=F.array(F.concat(F.lit("order total "), F.col("o_totalprice").cast("string"))),
+                     subject=F.struct(F.col("o_orderkey").alias("order_id")))
+    return frame(sig, "high_value_order", sort=False).data.select(
+        "target_id", "label", "score", F.array_join("evidence", "; ").alias("evidence"), "subject")
+
+
+_UNSUPPORTED_ORDERS = '[{"rule_id": 5, "reason": "fields absent from the data: [\'\'o_comment\'\']"}]'
+
+
+@query("run_ruleset_orders", f"""
+WITH s AS ({ORDERS_RULES_SQL})
+SELECT 'ruleset' AS label, count(*) AS cohort_size, count(*) AS flagged, 'signal' AS kind,
+       CAST(NULL AS DOUBLE) AS threshold,
+       'ruleset: ' || count(*) || ' signal(s) (as of 2024-01-31; {NOTE})' AS summary,
+       5 AS rules_total, '{_UNSUPPORTED_ORDERS}' AS rules_unsupported
+FROM s
+""")
+def run_ruleset_orders(spark, sf):
+    """C17: the orders ruleset read as JSON text, run through a scoped governed source."""
+    import json as _json
+
+    from ..operators.bots import run_ruleset
+
+    src = GovernedSource.open(spark, {"orders": "parquet:" + table_path(sf, "orders")})
+    res = run_ruleset(spark, _json.dumps(ORDERS_RULES), src.scoped(["orders"]), as_of="2024-01-31")
+    return res.framed.metadata
