@@ -85,6 +85,39 @@ def python_float(c: Column, dtype: T.DataType) -> tuple[Column, bool] | None:
     return None  # dates, timestamps, binary, nested: float() raises -> criterion is false
 
 
+def python_float_repr(d: Column) -> Column:
+    """Python's ``repr`` of a finite double: the shortest digits that read back as the same
+    double (the first of 15, 16, 17 significant digits that round-trips, trailing zeros
+    dropped), in fixed notation for decimal exponents -4..15 ('10000000.0', '0.0001') and as
+    'd.ddde+XX' otherwise."""
+    def sci(p: int) -> Column:
+        return F.format_string(f"%.{p}e", d)
+
+    def trips(t: Column) -> Column:
+        return t.try_cast("double") == d
+
+    t = F.when(trips(sci(14)), sci(14)).when(trips(sci(15)), sci(15)).otherwise(sci(16))
+    sign = F.regexp_extract(t, r"^(-?)", 1)
+    lead = F.regexp_extract(t, r"^-?(\d)", 1)
+    frac = F.regexp_replace(F.regexp_extract(t, r"^-?\d\.(\d+)e", 1), "0+$", "")
+    e = F.regexp_extract(t, r"e([+-]\d+)$", 1).try_cast("int")
+    digits = F.concat(lead, frac)
+    n = F.length(digits)
+    whole = F.substring(F.rpad(digits, F.greatest(n, e + 1), F.lit("0")), F.lit(1), e + 1)
+    rest = F.substring(digits, e + 2, 1000)
+    fixed_pos = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+    fixed_neg = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    mant = F.concat(lead, F.when(n > 1, F.concat(F.lit("."), frac)).otherwise(F.lit("")))
+    ae = F.abs(e).cast("string")
+    exp_txt = F.concat(F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
+                       F.when(F.length(ae) < 2, F.concat(F.lit("0"), ae)).otherwise(ae))
+    body = (F.when((e >= 0) & (e < 16), fixed_pos).when((e < 0) & (e >= -4), fixed_neg)
+            .otherwise(F.concat(mant, F.lit("e"), exp_txt)))
+    zero = F.when(d == 0, F.when(F.format_string("%s", d).startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
+    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
+    return F.when(finite, F.coalesce(zero, F.concat(sign, body)))
+
+
 def python_text(c: Column, dtype: T.DataType) -> Column:
     """``str(value)`` of a row value as text (NULL -> 'None', True -> 'True', inf -> 'inf')."""
     if isinstance(dtype, T.StringType):
@@ -96,7 +129,7 @@ def python_text(c: Column, dtype: T.DataType) -> Column:
         txt = (F.when(F.isnan(d), F.lit("nan"))
                .when(d == float("inf"), F.lit("inf"))
                .when(d == float("-inf"), F.lit("-inf"))
-               .otherwise(d.cast("string")))
+               .otherwise(python_float_repr(d)))
     elif isinstance(dtype, T.TimestampType | T.TimestampNTZType):
         txt = F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, "yyyy-MM-dd HH:mm:ss")) \
             .otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -128,3 +128,22 @@ def test_numeric_text_follows_python_float(spark, text, expected):
         want = False
     assert want == expected
     assert (evaluate(df, rs).count() == 1) == expected
+
+
+def test_python_float_repr(spark):
+    from pyspark.sql import functions as F
+
+    from cuebook.functions.predicates import python_float_repr
+
+    vals = [1e16, 12345678.0, 1e-5, 0.0001, -0.0, 0.0, 95.0, 0.1 + 0.2, 1e22, -2.5e-300, 123456789012345.6,
+            1.7976931348623157e308, 0.5, 100.25, None]
+    df = spark.createDataFrame([(v,) for v in vals], "d double")
+    got = [r.t for r in df.select(python_float_repr(F.col("d")).alias("t")).collect()]
+    assert got == [repr(v) if v is not None else None for v in vals]
+
+
+def test_text_present_on_large_double(spark):
+    df = spark.createDataFrame([(1, 1e16), (2, 12345678.0)], "id long, d double")
+    rs = Ruleset((Rule(1, 0.5, "x", (Criterion("d", "text_present", "e+"),)),
+                  Rule(2, 0.5, "y", (Criterion("d", "text_present", "78.0"),))), id_field="id")
+    assert sorted((r.target_id, r.rule_id) for r in evaluate(df, rs).collect()) == [("1", 1), ("2", 2)]
