@@ -18,6 +18,7 @@ from ..operators import outbox as ob
 from ..operators import review as rv
 from ..operators import runs as rn
 from ..operators.govern import scope_violations
+from ..functions.text import redact_text
 from ..operators.protect import mask_columns, redact_nested
 from ..operators.rules import evaluate, rule_counts
 from ..operators.signals import NOTE, check_contract, frame, to_predictions, to_signals
@@ -436,9 +437,8 @@ def stats_masked(spark, sf):
 @query("redact_documents")
 def redact_documents(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    red = redact_nested(docs, ["text"])
-    return red.withColumnRenamed("text", "redacted").join(docs, "doc_id").select(
-        "doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
+    red = docs.select("doc_id", "text", redact_text(F.col("text")).alias("redacted"))
+    return red.select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
 
 
 @query("redact_conversations")
