@@ -51,6 +51,14 @@ def latest_decisions(log: DataFrame) -> DataFrame:
         F.col("_d.reviewer").alias("reviewer"), F.col("_d.updated_at").alias("updated_at"))
 
 
+def decisions_for(decisions: DataFrame, bot_id: str, run_id: str, case_id: str | None = None) -> DataFrame:
+    """Latest decisions of one run, or of one case when ``case_id`` is given."""
+    cond = (F.col("bot_id") == bot_id) & (F.col("run_id") == run_id)
+    if case_id is not None:
+        cond = cond & (F.col("case_id") == case_id)
+    return decisions.filter(cond)
+
+
 def case_list(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     """Every case with its decision; undecided cases read ``pending`` with empty review note
     and reviewer (``review_note``, since a signal row already has a ``note``)."""

@@ -74,6 +74,11 @@ def priority_key(score: str = "score") -> list[Column]:
             F.col("target_id").asc_nulls_last()]
 
 
+def summary_text(label: str, flagged: int, as_of: str = "", kind: str = "signal") -> str:
+    noun = "prediction" if kind == "prediction" else "signal"
+    return f"{label}: {flagged} {noun}(s) (as of {as_of or 'n/a'}; {NOTE})"
+
+
 @dataclass
 class Framed:
     data: DataFrame       # flagged signals, in priority order when sorted=True

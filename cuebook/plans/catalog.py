@@ -447,6 +447,17 @@ def redact_conversations(spark, sf):
     return redact_nested(c, ["text"]).select("conv_id", "turn", "role", "text")
 
 
+@query("redact_by_model")
+def redact_by_model(spark, sf):
+    """Model-gated redaction over every conversation turn: assistant turns go to a local model
+    and stay as written; all other turns go to a remote model and are redacted."""
+    from ..operators.protect import redact_unless_local
+
+    c = _t(spark, sf, "conversations").withColumn(
+        "model", F.when(F.col("role") == "assistant", F.lit("local/assistant")).otherwise(F.lit("remote/api")))
+    return redact_unless_local(c, "model", ["text"]).select("conv_id", "turn", "role", "model", "text")
+
+
 def access_log(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Events read as an access log: each event is a bot (user) reading a table (event type).
     Scopes: what each bot read in the first three days; accesses: everything after."""

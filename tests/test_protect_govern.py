@@ -150,3 +150,32 @@ def test_scope_violations_fail_closed(spark):
     got = {(r.run_id, r.reason) for r in scope_violations(access, scopes).collect()}
     assert got == {("r2", "table outside the declared scope"), ("r3", "bot declares no scope"),
                    ("r5", "empty scope without unscoped")}
+
+
+def test_sql_on_files_is_refused(spark):
+    src = GovernedSource.open(spark, {"orders": "parquet:/root/testdata/sf0.001/orders.parquet"})
+    with pytest.raises(guard.ScopeViolation):
+        src.scoped(["orders"]).query("SELECT * FROM parquet.`/root/testdata/sf0.001/customer.parquet`")
+    with pytest.raises(Exception):
+        src.query("SELECT * FROM parquet.`/root/testdata/sf0.001/customer.parquet`").collect()
+
+
+def test_in_memory_source_and_clamps(spark):
+    from cuebook.sources.governed import SAMPLE_HTTP_DEFAULT, SAMPLE_HTTP_MAX, SAMPLE_TOOL_MAX, clamp_rows
+
+    src = GovernedSource.in_memory(spark, {"orders": [{"id": 1, "total": 100}, {"id": 2, "total": 50}]})
+    assert src.query("SELECT sum(total) AS s FROM orders WHERE id > 0").first().s == 150
+    assert clamp_rows(None, SAMPLE_HTTP_DEFAULT, SAMPLE_HTTP_MAX) == 10
+    assert clamp_rows(0, SAMPLE_HTTP_DEFAULT, SAMPLE_HTTP_MAX) == 1
+    assert clamp_rows(1000, SAMPLE_HTTP_DEFAULT, SAMPLE_HTTP_MAX) == 100
+    assert clamp_rows(50, 5, SAMPLE_TOOL_MAX) == 20
+
+
+def test_redact_by_model_query(spark):
+    from cuebook.plans.catalog import redact_by_model
+
+    rows = redact_by_model(spark, "/root/testdata/sf0.01").collect()
+    src = {(r.conv_id, r.turn): r.text for r in load_table(spark, "/root/testdata/sf0.01", "conversations").collect()}
+    for r in rows:
+        want = src[(r.conv_id, r.turn)] if r.role == "assistant" else redact_text_py(src[(r.conv_id, r.turn)])
+        assert r.text == want
