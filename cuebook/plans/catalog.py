@@ -534,10 +534,10 @@ for _name, (_tables, _sql) in GOVERNED.items():
 
 # ------------------------------------------------------------------------------ E: run history
 
-def run_events(spark, sf) -> DataFrame:
+def run_events(spark, sf, events: DataFrame | None = None) -> DataFrame:
     """Events read as run lifecycles: each event starts run 'run_<event_id>' of bot
     'bot_<user_id>'; it ends ``value`` seconds later, failed for errors, still running for views."""
-    ev = _t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = (events if events is not None else _t(spark, sf, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
     bot = F.concat(F.lit("bot_"), F.col("user_id").cast("string"))
     run = F.concat(F.lit("run_"), F.col("event_id").cast("string"))
     end_ts = F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("value") * 1e6).cast("long"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..model import load
 from ..operators.rules import evaluate
-from ..plans.catalog import _flat, query
+from ..plans.catalog import RUNS_SQL, _flat, query, run_events
 from ..session import scratch_path
 
 
@@ -144,3 +144,19 @@ def stream_rules_hot_reload(spark: SparkSession, sf: str) -> DataFrame:
     stream = stream_table(spark, sf, "events.parquet")
     run_available(stream, "", base + "/ckpt", foreach=hot_reload_sink(rules_file, out))
     return _flat(spark.read.parquet(out).drop("batch_id"))
+
+
+@query("stream_run_state", RUNS_SQL + """
+SELECT run_id, bot_id, status, epoch_us(created_at) AS started_us, finished_us FROM r
+""")
+def stream_run_state(spark: SparkSession, sf: str) -> DataFrame:
+    """J4: lifecycle events as a stream, replays dropped within a one-hour watermark (state),
+    then folded to the current state of every run."""
+    from ..operators.runs import run_state
+
+    name = "cue_run_events"
+    events = run_events(spark, sf, stream_table(spark, sf, "events.parquet"))
+    run_available(lifecycle_stream(events), name, _fresh(spark, "ckpt-run-events"))
+    st = run_state(spark.table(name))
+    return st.select("run_id", "bot_id", "status", F.unix_micros("started_at").alias("started_us"),
+                     F.unix_micros("finished_at").alias("finished_us"))
