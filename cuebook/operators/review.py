@@ -106,14 +106,17 @@ def collect_labels(runs: DataFrame, cases: DataFrame, decisions: DataFrame, limi
                     (F.col("decision") == "accepted").alias("accepted")))
 
 
-def threshold_sweep(labels: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One point per distinct score t (per bot): flagged = score >= t, tp, fp, fn, precision,
-    recall, f1. Zero denominators give 0. O(N log N): group by score, then running sums."""
+def threshold_sweep(labels: DataFrame, partitions: int | None = None,
+                    by: list[str] | None = None) -> DataFrame:
+    """One point per distinct score t (per ``by`` group, e.g. ``["bot_id"]``): flagged = score
+    >= t, tp, fp, fn, precision, recall, f1. Zero denominators give 0. O(N log N): group by
+    score, then running sums over a range partitioning (a busy bot spans many tasks)."""
+    by = list(by or [])
     scored = labels.filter(F.col("score").isNotNull())
-    per_score = scored.groupBy("score").agg(
+    per_score = scored.groupBy(*by, "score").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("accepted")).cast("long").alias("acc"))
     cum = running_totals(per_score, [F.col("score").desc()], {"n": "flagged", "acc": "tp"},
-                         totals={"acc": "acc_total"}, partitions=partitions)
+                         totals={"acc": "acc_total"}, partitions=partitions, group=by)
     tp, flagged = F.col("tp"), F.col("flagged")
     fp = flagged - tp
     fn = F.col("acc_total") - tp
@@ -121,7 +124,7 @@ def threshold_sweep(labels: DataFrame, partitions: int | None = None) -> DataFra
     recall = F.when((tp + fn) > 0, tp / (tp + fn)).otherwise(F.lit(0.0))
     f1 = F.when((precision + recall) > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
     return cum.select(
-        F.round("score", THRESHOLD_DECIMALS).alias("threshold"),
+        *by, F.round("score", THRESHOLD_DECIMALS).alias("threshold"),
         flagged.cast("long").alias("flagged"), tp.cast("long").alias("tp"),
         fp.cast("long").alias("fp"), fn.cast("long").alias("fn"),
         F.round(precision, METRIC_DECIMALS).alias("precision"),
@@ -129,9 +132,14 @@ def threshold_sweep(labels: DataFrame, partitions: int | None = None) -> DataFra
         F.round(f1, METRIC_DECIMALS).alias("f1"))
 
 
-def recommend(points: DataFrame) -> DataFrame:
-    """The F1-best point; ties go to the higher threshold (fewer flagged cases). 0 or 1 row."""
-    return points.orderBy(F.col("f1").desc(), F.col("threshold").desc()).limit(1)
+def recommend(points: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The F1-best point (per ``by`` group); ties go to the higher threshold (fewer flagged
+    cases). Without groups: a top-1 (0 or 1 row); with groups: one max-struct aggregate."""
+    if not by:
+        return points.orderBy(F.col("f1").desc(), F.col("threshold").desc()).limit(1)
+    metrics = [c for c in points.columns if c not in by]
+    best = F.max(F.struct(F.col("f1").alias("_k1"), F.col("threshold").alias("_k2"), *[F.col(c) for c in metrics]))
+    return points.groupBy(*by).agg(best.alias("_b")).select(*by, *[F.col(f"_b.{c}").alias(c) for c in metrics])
 
 
 def tuning_header(labels: DataFrame) -> DataFrame:

@@ -911,3 +911,23 @@ def run_ruleset_orders(spark, sf):
     src = GovernedSource.open(spark, {"orders": "parquet:" + table_path(sf, "orders")})
     res = run_ruleset(spark, _json.dumps(ORDERS_RULES), src.scoped(["orders"]), as_of="2024-01-31")
     return res.framed.metadata
+
+
+@query("threshold_sweep_per_bot", CASES_SQL + """,
+g AS (SELECT run_id AS bot_id, score, count(*) AS n, count(*) FILTER (WHERE decision = 'accepted') AS acc
+      FROM d GROUP BY run_id, score),
+s AS (SELECT bot_id, score, sum(n) OVER (PARTITION BY bot_id ORDER BY score DESC) AS flagged,
+             sum(acc) OVER (PARTITION BY bot_id ORDER BY score DESC) AS tp,
+             sum(acc) OVER (PARTITION BY bot_id) AS acc_total FROM g),
+p AS (SELECT bot_id, score, flagged, tp, flagged - tp AS fp, acc_total - tp AS fn,
+             CASE WHEN flagged > 0 THEN tp / flagged ELSE 0.0 END AS pr,
+             CASE WHEN acc_total > 0 THEN tp / acc_total ELSE 0.0 END AS rc FROM s)
+SELECT bot_id, round(score, 6) AS threshold, CAST(flagged AS BIGINT) AS flagged, CAST(tp AS BIGINT) AS tp,
+       CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(pr, 4) AS precision, round(rc, 4) AS recall,
+       round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 4) AS f1
+FROM p
+""")
+def threshold_sweep_per_bot(spark, sf):
+    """F7 for many bots in one job: each document source's run acts as its own bot."""
+    labels = doc_labels(spark, sf).withColumn("bot_id", F.col("run_id"))
+    return rv.threshold_sweep(labels, by=["bot_id"])

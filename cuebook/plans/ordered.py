@@ -62,31 +62,38 @@ def ordered_index(df: DataFrame, group: list[str], order: list[Column | str], ou
 
 
 def running_totals(df: DataFrame, order: list[Column | str], sums: dict[str, str],
-                   totals: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Cumulative sums in ``order`` (inclusive of the current row) over the whole frame.
+                   totals: dict[str, str] | None = None, partitions: int | None = None,
+                   group: list[str] | None = None) -> DataFrame:
+    """Cumulative sums in ``order`` (inclusive of the current row), per ``group`` if given.
 
     ``sums`` maps source column -> output column; ``totals`` (optional) maps source column ->
-    output column holding the grand total, without a cross join: totals ride on the
-    per-partition offset table (one row per partition, a proven size bound -> broadcast).
+    output column holding the (group's) grand total, without a cross join: totals ride on the
+    per-partition offset table. Without groups that table has one row per partition (a proven
+    size bound -> broadcast); with groups it has at most ``partitions + groups`` rows.
     """
+    group = list(group or [])
     p = _partitions(df, partitions)
-    ranged = df.repartitionByRange(p, *_sort_cols(order)).withColumn(_PID, F.spark_partition_id())
-    inside = Window.partitionBy(_PID).orderBy(*_sort_cols(order)) \
+    gcols = [F.col(g) for g in group]
+    ranged = df.repartitionByRange(p, *gcols, *_sort_cols(order)).withColumn(_PID, F.spark_partition_id())
+    inside = Window.partitionBy(_PID, *group).orderBy(*_sort_cols(order)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.select("*", *[F.sum(src).over(inside).alias(f"_cue_c_{dst}") for src, dst in sums.items()])
     checkpoint_dir(df.sparkSession)
     local = local.checkpoint(eager=True)
-    per_part = local.groupBy(_PID).agg(*[F.sum(src).alias(f"_cue_t_{src}") for src in
-                                         set(sums) | set(totals or {})])
-    prior = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per_part = local.groupBy(_PID, *group).agg(*[F.sum(src).alias(f"_cue_t_{src}") for src in
+                                                 set(sums) | set(totals or {})])
+    prior = Window.partitionBy(*group).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group).orderBy(_PID).rowsBetween(Window.unboundedPreceding,
+                                                                Window.unboundedFollowing)
     offsets = per_part.select(
-        _PID,
+        _PID, *group,
         *[F.coalesce(F.sum(f"_cue_t_{src}").over(prior), F.lit(0)).alias(f"_cue_o_{dst}")
           for src, dst in sums.items()],
         *[F.sum(f"_cue_t_{src}").over(whole).alias(dst) for src, dst in (totals or {}).items()],
     )
-    out = local.join(F.broadcast(offsets), on=_PID, how="inner")
+    if not group:
+        offsets = F.broadcast(offsets)
+    out = local.join(offsets, on=[_PID, *group], how="inner")
     for dst in sums.values():
         out = out.withColumn(dst, F.col(f"_cue_o_{dst}") + F.col(f"_cue_c_{dst}"))
     drop = [_PID] + [f"_cue_o_{d}" for d in sums.values()] + [f"_cue_c_{d}" for d in sums.values()]

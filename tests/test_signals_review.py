@@ -129,3 +129,22 @@ def test_collect_labels_uses_newest_runs_any_status(spark):
     assert labels.count() == 0  # newest run (failed, no data) only
     labels = rv.collect_labels(runs, cases, log, limit=50)
     assert [(r.case_id, r.accepted) for r in labels.collect()] == [("0", True)]
+
+
+def test_sweep_per_bot_matches_single_bot_sweeps(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [("hot", round(rnd.random(), 2), rnd.random() < 0.6) for _ in range(400)]
+    rows += [(f"b{k}", round(rnd.random(), 1), rnd.random() < 0.5) for k in range(5) for _ in range(30)]
+    labels = spark.createDataFrame(rows, "bot_id string, score double, accepted boolean")
+    both = {(r.bot_id, r.threshold): tuple(r)[2:] for r in
+            rv.threshold_sweep(labels, partitions=5, by=["bot_id"]).collect()}
+    for bot in ["hot", "b0", "b3"]:
+        single = {(bot, r.threshold): tuple(r)[1:] for r in
+                  rv.threshold_sweep(labels.filter(F.col("bot_id") == bot), partitions=3).collect()}
+        assert single == {k: v for k, v in both.items() if k[0] == bot}
+    best = {r.bot_id: (r.threshold, r.f1) for r in rv.recommend(
+        rv.threshold_sweep(labels, by=["bot_id"]), by=["bot_id"]).collect()}
+    one = rv.recommend(rv.threshold_sweep(labels.filter("bot_id = 'hot'"))).first()
+    assert best["hot"] == (one.threshold, one.f1) and len(best) == 6
