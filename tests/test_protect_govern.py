@@ -179,3 +179,12 @@ def test_redact_by_model_query(spark):
     for r in rows:
         want = src[(r.conv_id, r.turn)] if r.role == "assistant" else redact_text_py(src[(r.conv_id, r.turn)])
         assert r.text == want
+
+
+def test_audited_write_counts_rows_once(spark, tmp_path):
+    audit = AuditLog(spark)
+    src = GovernedSource.open(spark, {"orders": "parquet:/root/testdata/sf0.001/orders.parquet"}, audit=audit)
+    n = src.write("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000", str(tmp_path / "o"), run_id="r")
+    assert n == spark.read.parquet(str(tmp_path / "o")).count() > 0
+    last = [r for r in audit.entries().collect() if r.kind == "write"][-1]
+    assert (last.row_count, last.target, last.outcome) == (n, "orders", "ok")
