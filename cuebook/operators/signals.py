@@ -7,6 +7,7 @@ a ruleset. Every row carries the note that it is a lead for a person, not a verd
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import Any
 
@@ -86,7 +87,8 @@ class Framed:
 
 
 def frame(signals: DataFrame, label: str, *, threshold: float | None = None, as_of: str = "",
-          kind: str = "signal", extra: dict[str, Any] | None = None, sort: bool = True) -> Framed:
+          kind: str = "signal", logic: dict[str, Any] | None = None, extra: dict[str, Any] | None = None,
+          sort: bool = True) -> Framed:
     """Threshold filter, priority order and the one-row framing metadata (single pass agg)."""
     passes = (F.coalesce(F.col("score"), F.lit(0.0)) >= F.lit(threshold)) if threshold is not None \
         else F.lit(True)
@@ -101,6 +103,7 @@ def frame(signals: DataFrame, label: str, *, threshold: float | None = None, as_
         F.lit(threshold).cast("double").alias("threshold"),
         F.format_string(f"%s: %d {noun}(s) (as of %s; %s)", F.lit(label), F.col("flagged"),
                         F.lit(as_of or "n/a"), F.lit(NOTE)).alias("summary"),
+        *([F.lit(json.dumps(logic, sort_keys=True)).alias("logic")] if logic else []),
         *[F.lit(v).alias(k) for k, v in (extra or {}).items()],
     )
     return Framed(data, meta)

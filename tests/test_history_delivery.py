@@ -102,3 +102,22 @@ def test_conversations(spark):
     table = existing.unionByName(added.drop("id"))
     assert [r.text for r in conv.messages(table).collect()] == ["hi", "yo", "ok", "new"]
     assert [r.conversation_id for r in conv.conversations(table).collect()] == ["c2", "c1"]
+
+
+def test_as_of_filter_and_decision_reads(spark):
+    from cuebook.operators.review import decisions_for
+
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 23, 59),), (dt.datetime(2024, 1, 2, 0, 0),)], "ts timestamp")
+    assert rn.as_of_filter(df, "ts", "2024-01-01").count() == 1
+    dec = spark.createDataFrame([("b", "r", "0", "accepted"), ("b", "r", "1", "rejected"), ("b", "x", "0", "accepted")],
+                                "bot_id string, run_id string, case_id string, decision string")
+    assert decisions_for(dec, "b", "r").count() == 2
+    assert [r.decision for r in decisions_for(dec, "b", "r", "1").collect()] == ["rejected"]
+
+
+def test_frame_logic_field(spark):
+    from cuebook.operators.signals import frame, to_signals
+
+    sig = to_signals(spark.createDataFrame([("a", 0.9)], "id string, s double"), F.col("id"), "x", score=F.col("s"))
+    meta = frame(sig, "x", logic={"rule": "total >= 75"}).metadata.first()
+    assert meta.logic == '{"rule": "total >= 75"}'
