@@ -160,3 +160,30 @@ def stream_run_state(spark: SparkSession, sf: str) -> DataFrame:
     st = run_state(spark.table(name))
     return st.select("run_id", "bot_id", "status", F.unix_micros("started_at").alias("started_us"),
                      F.unix_micros("finished_at").alias("finished_us"))
+
+
+@query("stream_review_tally", """
+WITH c AS (SELECT 'docs' AS bot_id, 'run_' || source AS run_id, doc_id FROM documents),
+d AS (SELECT c.*, CASE WHEN l.toxic = 1 OR l.quality <> 1 THEN 'rejected' ELSE 'accepted' END AS decision
+      FROM c JOIN labels l ON c.doc_id = l.doc_id)
+SELECT c.bot_id, c.run_id, count(d.decision) FILTER (WHERE d.decision = 'accepted') AS accepted,
+       count(d.decision) FILTER (WHERE d.decision = 'rejected') AS rejected,
+       count(d.decision) AS reviewed, count(*) AS total, count(*) - count(d.decision) AS pending
+FROM c LEFT JOIN d ON c.doc_id = d.doc_id GROUP BY c.bot_id, c.run_id HAVING count(d.decision) > 0
+""")
+def stream_review_tally(spark: SparkSession, sf: str) -> DataFrame:
+    """J5: decisions arrive as a stream; each micro-batch recomputes the tally of the runs it
+    touched from the whole decision log (last write wins). The newest batch row per run is the
+    current tally."""
+    from ..plans.catalog import decision_log, doc_cases
+
+    base = _fresh(spark, "review-tally")
+    cases = doc_cases(spark, sf)
+    log_path = base + "/decisions"
+    decision_log(spark, sf, cases).write.parquet(log_path)
+    out = base + "/tally"
+    stream = spark.readStream.schema(spark.read.parquet(log_path).schema).parquet(log_path)
+    run_available(stream, "", base + "/ckpt", foreach=tally_sink(log_path, cases, out))
+    tallies = spark.read.parquet(out)
+    newest = F.max_by(F.struct("accepted", "rejected", "reviewed", "total", "pending"), "batch_id")
+    return tallies.groupBy("bot_id", "run_id").agg(newest.alias("t")).select("bot_id", "run_id", "t.*")
