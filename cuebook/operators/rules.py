@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions.predicates import Compiled, compile_criterion, python_text, qcol
 from ..functions.scores import confidence_band_py, normalise_score_py
 from ..model import Rule, Ruleset, load, never_fires
-from .signals import NOTE, SIGNAL_COLUMNS
+from .signals import NOTE
 
 _CODE = "_cue_code"
 # Up to this many rules the OR of all rules is also a row filter ahead of the projection, so

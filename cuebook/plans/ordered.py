@@ -53,12 +53,29 @@ def ordered_index(df: DataFrame, group: list[str], order: list[Column | str], ou
     checkpoint_dir(df.sparkSession)
     numbered = numbered.checkpoint(eager=True)
     counts = numbered.groupBy(_PID, *group).agg(F.count(F.lit(1)).alias("_cue_n"))
+    # Only a group that crosses a range boundary needs an offset in a later partition. Each of
+    # the p - 1 boundaries falls inside at most one group, so these groups cover at most 2p
+    # (partition, group) pairs: a proven bound, broadcast. Every other row's offset is 0, and
+    # the numbered rows are never shuffled again.
+    spans = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_cue_np")).filter(F.col("_cue_np") > 1)
+    spanning = counts.join(spans, on=_null_safe(counts, spans, group), how="left_semi")
     before = Window.partitionBy(*group).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, *group,
-                            F.coalesce(F.sum("_cue_n").over(before), F.lit(0)).alias("_cue_off"))
-    joined = numbered.join(offsets, on=[_PID, *group], how="inner")
-    return joined.withColumn(out, (F.col("_cue_off") + F.col("_cue_local")).cast("long")) \
-        .drop(_PID, "_cue_local", "_cue_off")
+    offsets = spanning.select(F.col(_PID).alias("_cue_opid"), *[F.col(g).alias(f"_cue_o_{g}") for g in group],
+                              F.coalesce(F.sum("_cue_n").over(before), F.lit(0)).alias("_cue_off"))
+    cond = [numbered[_PID] == offsets["_cue_opid"]] + \
+        [numbered[g].eqNullSafe(offsets[f"_cue_o_{g}"]) for g in group]
+    joined = numbered.join(F.broadcast(offsets), on=cond, how="left")
+    idx = F.coalesce(F.col("_cue_off"), F.lit(0)) + F.col("_cue_local")
+    return joined.withColumn(out, idx.cast("long")).drop(
+        _PID, "_cue_local", "_cue_off", "_cue_opid", *[f"_cue_o_{g}" for g in group])
+
+
+def _null_safe(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
+    cond = None
+    for c in cols:
+        part = left[c].eqNullSafe(right[c])
+        cond = part if cond is None else cond & part
+    return cond if cond is not None else F.lit(True)
 
 
 def running_totals(df: DataFrame, order: list[Column | str], sums: dict[str, str],
@@ -92,8 +109,13 @@ def running_totals(df: DataFrame, order: list[Column | str], sums: dict[str, str
         *[F.sum(f"_cue_t_{src}").over(whole).alias(dst) for src, dst in (totals or {}).items()],
     )
     if not group:
-        offsets = F.broadcast(offsets)
-    out = local.join(offsets, on=[_PID, *group], how="inner")
+        out = local.join(F.broadcast(offsets), on=_PID, how="inner")
+    else:
+        renamed = offsets.select(*[F.col(c).alias(f"_cue_k_{c}") if c in group or c == _PID else F.col(c)
+                                   for c in offsets.columns])
+        cond = [local[_PID] == renamed[f"_cue_k_{_PID}"]] + \
+            [local[g].eqNullSafe(renamed[f"_cue_k_{g}"]) for g in group]
+        out = local.join(renamed, on=cond, how="inner").drop(*[f"_cue_k_{c}" for c in [_PID, *group]])
     for dst in sums.values():
         out = out.withColumn(dst, F.col(f"_cue_o_{dst}") + F.col(f"_cue_c_{dst}"))
     drop = [_PID] + [f"_cue_o_{d}" for d in sums.values()] + [f"_cue_c_{d}" for d in sums.values()]

@@ -148,3 +148,23 @@ def test_sweep_per_bot_matches_single_bot_sweeps(spark):
         rv.threshold_sweep(labels, by=["bot_id"]), by=["bot_id"]).collect()}
     one = rv.recommend(rv.threshold_sweep(labels.filter("bot_id = 'hot'"))).first()
     assert best["hot"] == (one.threshold, one.f1) and len(best) == 6
+
+
+def test_ordered_index_null_group_and_broadcast_offsets(spark):
+    df = spark.range(0, 2000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("g")).alias("g"),
+                                     "id")
+    got = ordered_index(df, ["g"], ["id"], partitions=6)
+    assert got.count() == 2000
+    w = Window.partitionBy("g").orderBy("id")
+    want = df.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    assert sorted(got.select("g", "id", "idx").collect(), key=str) == sorted(want.collect(), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+    assert "SortMergeJoin" not in plan
+
+
+def test_running_totals_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 0.5, 2), ("a", 1.0, 5)], "g string, s double, n long")
+    out = running_totals(df, [F.col("s").desc()], {"n": "c"}, totals={"n": "t"}, partitions=2, group=["g"])
+    assert sorted((r.g or "", r.s, r.c, r.t) for r in out.collect()) == [("", 0.5, 3, 3), ("", 1.0, 1, 3),
+                                                                       ("a", 1.0, 5, 5)]

@@ -4,7 +4,6 @@ dedupe, per-batch tally recompute."""
 import datetime as dt
 import uuid
 
-from pyspark.sql import functions as F
 
 from cuebook.operators.rules import evaluate
 from cuebook.session import scratch_path
