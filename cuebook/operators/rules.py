@@ -218,8 +218,6 @@ def validate_rules(rules: DataFrame, known_fields: list[str] | None = None) -> D
     ``criteria.value`` holds JSON text so any JSON value can be expressed. Output rows:
     ``rule_id, loc, msg, severity`` with severity ``error`` or ``unsupported``.
     """
-    from pyspark.sql import Window
-
     numeric_ops = F.array(*[F.lit(o) for o in ("lt", "lte", "gt", "gte", "relative_decrease")])
     known_ops = F.array(*[F.lit(o) for o in ("eq", "ne", "lt", "lte", "gt", "gte", "in",
                                              "text_present", "relative_decrease")])
@@ -243,9 +241,8 @@ def validate_rules(rules: DataFrame, known_fields: list[str] | None = None) -> D
     errs = crit.filter(F.col("c").isNotNull()).select(
         "rule_id", loc.alias("loc"),
         F.explode(F.array_compact(F.array(*[F.when(cond, msg) for cond, msg in checks]))).alias("msg"))
-    dup = (rules.select("rule_id", F.count(F.lit(1)).over(Window.partitionBy("rule_id")).alias("n"))
-           .filter("n > 1").select("rule_id", F.lit("rule_id").alias("loc"),
-                                   F.lit("rule_id is used more than once").alias("msg")).distinct())
+    dup = (rules.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+           .select("rule_id", F.lit("rule_id").alias("loc"), F.lit("rule_id is used more than once").alias("msg")))
     shape = rules.select(
         "rule_id", F.lit("rule").alias("loc"),
         F.explode(F.array_compact(F.array(
