@@ -142,8 +142,9 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
         *wide_cols, codes)
     hit = matched.select(
         *[qcol(k) for k in keep], "target_id", "subject", *wide_names,
-        # array_except drops the NULLs without a lambda (codegen-friendly); codes are distinct.
-        F.explode(F.array_except("_cue_codes", F.array(F.lit(None).cast("long")))).alias(_CODE))
+        # array_compact runs a small interpreted lambda over the codes only; measured faster
+        # than array_except (a hash set per row) and than flattening singleton arrays.
+        F.explode(F.array_compact("_cue_codes")).alias(_CODE))
 
     code = F.col(_CODE)
     ordinal = (code % F.lit(n)).cast("int")
