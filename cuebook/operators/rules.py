@@ -97,6 +97,33 @@ def _const_array(values: list[Any], dtype: str) -> Column:
     return F.array(*[F.lit(v).cast(dtype) for v in values])
 
 
+def _matches(df: DataFrame, ruleset: Ruleset, prog: _Program, keep: list[str]) -> tuple[DataFrame, int]:
+    """Rows with one ``_cue_code`` per matching rule, plus target_id, subject, keep columns."""
+    n = len(prog.runnable)
+    id_type = df.schema[ruleset.id_field].dataType
+    id_col = qcol(ruleset.id_field)
+    # Rules are evaluated in a plain projection (whole-stage codegen, split into methods by the
+    # array builder); only the small array of rule codes meets the null-dropping generator.
+    wide_cols = [prog.wide_evidence[i].alias(f"_cue_ev{i}") for i in sorted(prog.wide_evidence)]
+    wide_names = [f"_cue_ev{i}" for i in sorted(prog.wide_evidence)]
+    codes = F.array(*prog.elements).alias("_cue_codes")
+    # No filter on the codes array: Catalyst would push it below the projection and evaluate
+    # every rule twice; the generator already drops rows without a match. target_id and subject
+    # sit in the same projection so they are computed once per input row, not per signal.
+    src = df.filter(prog.prefilter) if n <= PREFILTER_MAX_RULES else df
+    matched = src.select(
+        *[qcol(k) for k in keep],
+        python_text(id_col, id_type).alias("target_id"),
+        F.to_json(F.struct(id_col.alias(ruleset.id_field)), {"ignoreNullFields": "false"}).alias("subject"),
+        *wide_cols, codes)
+    hit = matched.select(
+        *[qcol(k) for k in keep], "target_id", "subject", *wide_names,
+        # array_compact runs a small interpreted lambda over the codes only; measured faster
+        # than array_except (a hash set per row) and than flattening singleton arrays.
+        F.explode(F.array_compact("_cue_codes")).alias(_CODE))
+    return hit, n
+
+
 def empty_signals(df: DataFrame) -> DataFrame:
     """A signal-shaped empty result that keeps the input's streaming/batch nature."""
     cols = [F.lit(None).cast(t).alias(c) for c, t in (
@@ -121,30 +148,8 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
         return empty_signals(df)
     ensure_codegen_limit(df.sparkSession)
     prog = _program(df.schema, ruleset, runnable)
-    n = len(runnable)
-    id_type = df.schema[ruleset.id_field].dataType
-    id_col = qcol(ruleset.id_field)
     keep = list(keep or [])
-
-    # Rules are evaluated in a plain projection (whole-stage codegen, split into methods by the
-    # array builder); only the small array of rule codes meets the null-dropping generator.
-    wide_cols = [prog.wide_evidence[i].alias(f"_cue_ev{i}") for i in sorted(prog.wide_evidence)]
-    wide_names = [f"_cue_ev{i}" for i in sorted(prog.wide_evidence)]
-    codes = F.array(*prog.elements).alias("_cue_codes")
-    # No filter on the codes array: Catalyst would push it below the projection and evaluate
-    # every rule twice; the generator already drops rows without a match. target_id and subject
-    # sit in the same projection so they are computed once per input row, not per signal.
-    src = df.filter(prog.prefilter) if n <= PREFILTER_MAX_RULES else df
-    matched = src.select(
-        *[qcol(k) for k in keep],
-        python_text(id_col, id_type).alias("target_id"),
-        F.to_json(F.struct(id_col.alias(ruleset.id_field)), {"ignoreNullFields": "false"}).alias("subject"),
-        *wide_cols, codes)
-    hit = matched.select(
-        *[qcol(k) for k in keep], "target_id", "subject", *wide_names,
-        # array_compact runs a small interpreted lambda over the codes only; measured faster
-        # than array_except (a hash set per row) and than flattening singleton arrays.
-        F.explode(F.array_compact("_cue_codes")).alias(_CODE))
+    hit, n = _matches(df, ruleset, prog, keep)
 
     code = F.col(_CODE)
     ordinal = (code % F.lit(n)).cast("int")
@@ -176,6 +181,69 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
     )
 
 
+# ------------------------------------------------------------------ compact signals + rule table
+
+def evaluate_compact(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
+                     keep: list[str] | None = None) -> DataFrame:
+    """Like ``evaluate`` but each signal row holds only ``target_id, subject, rule_id,
+    evidence_mask`` (bit j set = criterion j passed) plus ``evidence_override`` for OR rules too
+    wide for a mask. Rule constants live in ``rule_dimension``; ``expand`` joins them back."""
+    if not isinstance(ruleset, Ruleset):
+        ruleset = load(ruleset)
+    known = set(df.columns)
+    runnable = [r for r in ruleset.rules if not never_fires(r, known, ruleset.id_field)]
+    keep = list(keep or [])
+    if not runnable:
+        return df.filter(F.lit(False)).select(
+            *[qcol(k) for k in keep], F.lit(None).cast("string").alias("target_id"),
+            F.lit(None).cast("string").alias("subject"), F.lit(None).cast("long").alias("rule_id"),
+            F.lit(None).cast("long").alias("evidence_mask"),
+            F.lit(None).cast("array<string>").alias("evidence_override"))
+    ensure_codegen_limit(df.sparkSession)
+    prog = _program(df.schema, ruleset, runnable)
+    hit, n = _matches(df, ruleset, prog, keep)
+    code = F.col(_CODE)
+    ordinal = (code % F.lit(n)).cast("int")
+    at = ordinal + F.lit(1)
+    full = _const_array([(1 << len(r.criteria)) - 1 if len(r.criteria) < 63 else -1 for r in runnable], "long")
+    mask = F.when(F.element_at(_const_array(prog.masked, "boolean"), at), F.expr(f"{_CODE} div {n}")) \
+        .otherwise(F.element_at(full, at))
+    override = None
+    for i in sorted(prog.wide_evidence):
+        override = (override if override is not None else F).when(ordinal == F.lit(i), F.col(f"_cue_ev{i}"))
+    override = override if override is not None else F.lit(None).cast("array<string>")
+    return hit.select(*[qcol(k) for k in keep], "target_id", "subject",
+                      F.element_at(_const_array([r.rule_id for r in runnable], "long"), at).alias("rule_id"),
+                      mask.alias("evidence_mask"), override.alias("evidence_override"))
+
+
+def rule_dimension(spark, ruleset: Ruleset | dict[str, Any] | str) -> DataFrame:
+    """One row per rule with its constants: a small table whose size is the ruleset's."""
+    if not isinstance(ruleset, Ruleset):
+        ruleset = load(ruleset)
+    rows = []
+    for r in ruleset.rules:
+        score = normalise_score_py(r.score)
+        rows.append((r.rule_id, r.label, score, confidence_band_py(score), r.features_json(),
+                     [c.evidence_text() for c in r.criteria]))
+    return spark.createDataFrame(rows, "rule_id long, label string, score double, confidence string, "
+                                       "features string, evidence_texts array<string>")
+
+
+def expand(compact: DataFrame, rules: DataFrame) -> DataFrame:
+    """Compact signals + rules dimension -> full signal rows. The dimension has one row per
+    rule of a ruleset (a driver-side document), so it is broadcast."""
+    joined = compact.join(F.broadcast(rules), on="rule_id", how="inner")
+    texts = F.col("evidence_texts")
+    ev = F.coalesce(F.col("evidence_override"),
+                    F.when(F.col("evidence_mask") == F.lit(-1), texts).otherwise(
+                        F.filter(texts, lambda x, j: F.getbit(F.col("evidence_mask"), j) == F.lit(1))))
+    extra = [c for c in compact.columns if c not in ("target_id", "subject", "rule_id", "evidence_mask",
+                                                     "evidence_override")]
+    return joined.select(*[qcol(c) for c in extra], "target_id", "rule_id", "label", "score", "confidence",
+                         ev.alias("evidence"), "features", "subject", F.lit(NOTE).alias("note"))
+
+
 def unsupported(spark, df_columns: list[str], ruleset: Ruleset | dict[str, Any] | str) -> DataFrame:
     """The never-fires report as a small DataFrame (one row per reported rule)."""
     if not isinstance(ruleset, Ruleset):

@@ -178,3 +178,34 @@ def test_merge_keeps_source_and_id():
     merged = merge(base, proposed)
     assert merged["id_field"] == "host" and merged["source_table"] == "metrics"
     assert merged["task"] == "new" and merged["rules"] == [{"rule_id": 2}]
+
+
+def _rows_full(df):
+    return sorted((r.target_id, r.rule_id, r.label, r.score, r.confidence, tuple(r.evidence), r.features,
+                   r.subject, r.note) for r in df.collect())
+
+
+def test_compact_signals_expand_to_full(spark):
+    from cuebook.operators.rules import evaluate_compact, expand, rule_dimension
+    from cuebook.plans.catalog import LINEITEM_RULES, ORDERS_RULES
+    from cuebook.sources.tables import load_table
+
+    sf = "/root/testdata/sf0.001"
+    for table, rules in (("lineitem", LINEITEM_RULES), ("orders", ORDERS_RULES)):
+        df = load_table(spark, sf, table)
+        full = evaluate(df, rules)
+        compact = evaluate_compact(df, rules)
+        assert set(compact.columns) == {"target_id", "subject", "rule_id", "evidence_mask", "evidence_override"}
+        assert _rows_full(expand(compact, rule_dimension(spark, rules))) == _rows_full(full)
+
+
+def test_wide_or_rule_evidence(spark):
+    from cuebook.operators.rules import evaluate_compact, expand, rule_dimension
+
+    df = spark.createDataFrame([(i, i) for i in range(70)], "id long, v long")
+    wide = {"id_field": "id", "rules": [{"rule_id": 1, "conditions": {"combination": "or", "criteria": [
+        {"field": "v", "operator": "eq", "value": k} for k in range(65)]}}]}
+    got = {int(r.target_id): list(r.evidence) for r in evaluate(df, wide).collect()}
+    assert got == {k: [f"v eq {k}"] for k in range(65)}
+    back = expand(evaluate_compact(df, wide), rule_dimension(spark, wide))
+    assert {int(r.target_id): list(r.evidence) for r in back.collect()} == got
