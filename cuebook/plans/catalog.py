@@ -141,6 +141,18 @@ def rules_lineitem_and_or(spark, sf):
     return _flat(evaluate(_t(spark, sf, "lineitem"), LINEITEM_RULES, keep=["l_linenumber"]), "l_linenumber")
 
 
+LINEITEM_SQL = ORACLES["rules_lineitem_and_or"]
+
+
+@query("rules_lineitem_compact", LINEITEM_SQL)
+def rules_lineitem_compact(spark, sf):
+    """The same rules stored compactly, then expanded with the broadcast rules dimension."""
+    from ..operators.rules import evaluate_compact, expand, rule_dimension
+
+    compact = evaluate_compact(_t(spark, sf, "lineitem"), LINEITEM_RULES, keep=["l_linenumber"])
+    return _flat(expand(compact, rule_dimension(spark, LINEITEM_RULES)), "l_linenumber")
+
+
 def daily_activity(spark, sf) -> DataFrame:
     """Per user and day: summed value and the previous active day's sum as the baseline.
     The window partitions by user over at most one row per day (bounded), after aggregation."""
