@@ -40,9 +40,14 @@ PY_FLOAT_PATTERN = (
 @dataclass(frozen=True)
 class Compiled:
     filter: Column
-    value: Column
+    nullable: bool = True
     loose: Column | None = None
 
+    @property
+    def value(self) -> Column:
+        """Null-free form, built only where it is needed (each Column op is a driver call)."""
+        return F.coalesce(self.filter, F.lit(False)) if self.nullable else self.filter
+
     @property
     def prefilter(self) -> Column:
         return self.loose if self.loose is not None else self.filter
@@ -54,11 +59,11 @@ def qcol(name: str) -> Column:
 
 
 def _false() -> Compiled:
-    return Compiled(F.lit(False), F.lit(False))
+    return Compiled(F.lit(False), nullable=False)
 
 
 def _both(expr: Column, nullable: bool = True) -> Compiled:
-    return Compiled(expr, F.coalesce(expr, F.lit(False)) if nullable else expr)
+    return Compiled(expr, nullable)
 
 
 def _is_nan_value(v: Any) -> bool:
@@ -223,7 +228,7 @@ def _compare(conv: tuple[Column, bool] | None, op: str, v: float) -> Compiled:
     loose = expr
     if may_nan and op in ("gt", "gte"):
         expr = expr & ~F.isnan(x)
-    return Compiled(expr, F.coalesce(expr, F.lit(False)), loose)
+    return Compiled(expr, True, loose)
 
 
 def _numeric_column_compare(c: Column, dtype: T.DataType, op: str, v: float) -> Compiled:
@@ -231,10 +236,18 @@ def _numeric_column_compare(c: Column, dtype: T.DataType, op: str, v: float) ->
     if _is_nan_value(v):
         return _false()
     lit = F.lit(v)
-    expr = loose = {"lt": c < lit, "lte": c <= lit, "gt": c > lit, "gte": c >= lit}[op]
+    if op == "lt":
+        expr = c < lit
+    elif op == "lte":
+        expr = c <= lit
+    elif op == "gt":
+        expr = c > lit
+    else:
+        expr = c >= lit
+    loose = expr
     if isinstance(dtype, FRACTIONAL) and op in ("gt", "gte"):
         expr = expr & ~F.isnan(c)
-    return Compiled(expr, F.coalesce(expr, F.lit(False)), loose)
+    return Compiled(expr, True, loose)
 
 
 def _relative_decrease(cur: tuple[Column, bool] | None, base: tuple[Column, bool] | None,
@@ -261,8 +274,7 @@ def compile_criterion(crit: Criterion, schema: T.StructType) -> Compiled:
         return _eq(c, dtype, v)
     if op == "ne":
         eq = _eq(c, dtype, v)
-        expr = ~eq.value
-        return Compiled(expr, expr)
+        return Compiled(~eq.value, nullable=False)
     if op == "in":
         if not isinstance(v, list | tuple):
             return _false()
@@ -270,7 +282,7 @@ def compile_criterion(crit: Criterion, schema: T.StructType) -> Compiled:
     if op == "text_present":
         needle = str(v).lower()
         expr = F.lower(python_text(c, dtype)).contains(F.lit(needle))
-        return Compiled(expr, expr)
+        return Compiled(expr, nullable=False)
     if op in ("lt", "lte", "gt", "gte"):
         if isinstance(v, bool) or not isinstance(v, int | float):
             return _false()

@@ -93,8 +93,13 @@ def ensure_codegen_limit(spark) -> None:
         spark.conf.set(key, "8000")
 
 
+_SQL_TYPES = {"long": "bigint", "double": "double", "string": "string", "boolean": "boolean"}
+
+
 def _const_array(values: list[Any], dtype: str) -> Column:
-    return F.array(*[F.lit(v).cast(dtype) for v in values])
+    """A constant array built from one JSON literal: Catalyst folds it into a literal array,
+    and the driver makes one call instead of two per element (matters at hundreds of rules)."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{_SQL_TYPES.get(dtype, dtype)}>")
 
 
 def _matches(df: DataFrame, ruleset: Ruleset, prog: _Program, keep: list[str]) -> tuple[DataFrame, int]:
@@ -156,7 +161,7 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
     mask = F.expr(f"{_CODE} div {n}")
     at = ordinal + F.lit(1)
     scores = [normalise_score_py(r.score) for r in runnable]
-    texts = F.array(*[_const_array([c.evidence_text() for c in r.criteria], "string") for r in runnable])
+    texts = _const_array([[c.evidence_text() for c in r.criteria] for r in runnable], "array<string>")
     evidence_all = F.element_at(texts, at)
     if any(prog.masked):
         evidence = F.when(F.element_at(_const_array(prog.masked, "boolean"), at),

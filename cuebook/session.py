@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     # HotSpot does not JIT methods over 8000 bytes of bytecode: leave whole-stage codegen for
     # such stages (large rule programs) instead of running them in the bytecode interpreter.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Call-site capture on every Column operation costs milliseconds per call on the driver
+    # (stack walk); building a 100-rule program makes thousands of such calls.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
