@@ -168,3 +168,21 @@ def test_running_totals_null_group(spark):
     out = running_totals(df, [F.col("s").desc()], {"n": "c"}, totals={"n": "t"}, partitions=2, group=["g"])
     assert sorted((r.g or "", r.s, r.c, r.t) for r in out.collect()) == [("", 0.5, 3, 3), ("", 1.0, 1, 3),
                                                                        ("a", 1.0, 5, 5)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ordered_index_random_shapes(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    rows = []
+    for g in range(rnd.randint(1, 12)):
+        size = rnd.choice([1, 2, 5, 50, 400])
+        rows += [(f"g{g}" if rnd.random() > 0.1 else None, rnd.randint(0, 30), len(rows) + i) for i in range(size)]
+    df = spark.createDataFrame(rows, "g string, k int, id long")
+    parts = rnd.choice([1, 3, 8, 17])
+    got = ordered_index(df, ["g"], [F.col("k").desc(), "id"], partitions=parts)
+    w = Window.partitionBy("g").orderBy(F.col("k").desc(), "id")
+    want = df.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    assert sorted(map(tuple, got.select("g", "id", "idx").collect()), key=str) == \
+        sorted(map(tuple, want.select("g", "id", "idx").collect()), key=str)
