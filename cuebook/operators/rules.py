@@ -3,14 +3,16 @@
 Plan shape (no shuffle, no join, no Python):
 
     Scan (pruned columns, pushed comparisons)
-      -> Filter  OR of every runnable rule            (pre-filter, NULL means "no")
-      -> Generate explode(array_compact(array(when(rule_i matches, code_i) ...)))
+      -> Filter   OR of the rules' loose forms        (only up to PREFILTER_MAX_RULES rules)
+      -> Project  array(when(rule_i matches, code_i) ...), target_id, subject
+      -> Generate explode(array_compact(codes))
       -> Project  rule metadata looked up by ordinal in constant arrays
 
 ``code_i`` is the rule's ordinal, plus (for OR rules) a bitmask of the criteria that passed,
 so the evidence texts can be filtered after the generator without re-evaluating anything.
 Rule metadata (labels, scores, features JSON, evidence texts) are literals of the ruleset, so
-they are constant arrays in the plan instead of a joined table.
+they are constant arrays in the plan instead of a joined table. ``evaluate_compact`` stops
+before that last projection and leaves the constants to a broadcast rules dimension.
 """
 
 from __future__ import annotations

@@ -6,10 +6,12 @@ on ``(g, k)`` instead; a hot group spans many partitions. Each partition numbers
 and a small table of per-(partition, group) counts supplies the offset a partition adds.
 
 * ``ordered_index``: 0-based position of each row inside its group, in ``order`` order.
-* ``running_totals``: cumulative sums over one global order (plus grand totals).
+* ``running_totals``: cumulative sums in one order, optionally per group (plus grand totals).
 
-Both cost one range shuffle plus one hash shuffle of the rows; the offset tables have at most
-``partitions + groups`` rows and their windows at most ``partitions`` rows per group.
+Both cost one range shuffle plus one hash shuffle of the rows (the local window needs its
+rows clustered by partition id). Windows over the offset tables see at most ``partitions``
+rows per group. ``ordered_index`` broadcasts only the offsets of groups that cross a range
+boundary (at most 2 x partitions rows), so the numbered rows are not shuffled a third time.
 
 The partition id is read twice (for the local numbers and for the counts). Two independent
 range exchanges could sample different bounds when the input order is not deterministic, so
