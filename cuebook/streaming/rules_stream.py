@@ -78,7 +78,11 @@ def lifecycle_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def tally_sink(decisions_path: str, cases: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch``: recompute the tally of the runs touched by this batch of decisions."""
+    """``foreachBatch``: recompute the tally of the runs touched by this batch of decisions.
+
+    Store the decision log partitioned by ``bot_id``/``run_id``: the semi-join on the (small)
+    set of touched runs then lets dynamic partition pruning read only those runs' files, so a
+    micro-batch costs what it touches, not the whole log."""
     from ..operators.review import latest_decisions, tally
 
     def run(batch: DataFrame, batch_id: int) -> None:
