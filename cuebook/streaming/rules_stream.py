@@ -184,7 +184,7 @@ def stream_review_tally(spark: SparkSession, sf: str) -> DataFrame:
     base = _fresh(spark, "review-tally")
     cases = doc_cases(spark, sf)
     log_path = base + "/decisions"
-    decision_log(spark, sf, cases).write.parquet(log_path)
+    decision_log(spark, sf, cases).write.partitionBy("bot_id", "run_id").parquet(log_path)
     out = base + "/tally"
     stream = spark.readStream.schema(spark.read.parquet(log_path).schema).parquet(log_path)
     run_available(stream, "", base + "/ckpt", foreach=tally_sink(log_path, cases, out))
