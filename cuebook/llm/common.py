@@ -39,14 +39,15 @@ def mark(spark: SparkSession) -> int:
     return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Remove this session's intermediate folders, once no result that reads them is needed."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove this session's intermediate folders from the one numbered ``since`` on, but for the
+    ``keep`` last ones, once no result that reads them is needed."""
     paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
-    for path in paths[since:]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    end = len(paths) - keep
+    for path in paths[since:end]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del paths[since:]
+    del paths[since:end]
 
 
 def text_of(col: str | Column) -> Column:
