@@ -6,7 +6,7 @@
    fingerprint of the set. Rows with one fingerprint are one class, its smallest id stands for it.
 2. Classes that share a band meet through the smallest id of the band's bucket: a star, never all
    pairs. Connected components of the stars are families; a link at the threshold leaves a
-   family with a probability below 1e-7 (``(1 - 0.85**5)**30``).
+   family with a probability of 1e-7 at a similarity of 0.8, of 1e-10 at 0.85 (``(1 - s**5)**40``).
 3. Families are dealt into blocks by a hash, bounded in rows and in shingles. A block's task compares
    sketches; pairs whose XOR count allows the threshold are confirmed on the full sets, unless they
    are already connected. Blocks of one family then meet pairwise, save those that lie in
@@ -29,7 +29,7 @@ from .bytewords import SPACE_BYTES, blocks, grams, hashes, mix, words
 from .common import text_of, written
 from .graph import components, counted
 
-ROWS, BANDS, BITS = 5, 30, 512
+ROWS, BANDS, BITS = 5, 40, 512
 SAMPLES = ROWS * BANDS
 SLACK = 0.25  # a pair whose estimate is further below the threshold is no candidate: over six deviations
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 20

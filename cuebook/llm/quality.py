@@ -29,7 +29,7 @@ from .bytewords import _TABLE, SPACE_BYTES, blocks, grams, hashes, mix, words
 from .common import text_of
 
 BUCKETS = 1 << 16
-MAX_ROWS = 4000  # labelled rows that are fitted on at most
+MAX_ROWS = 2500  # labelled rows that are fitted on at most
 CHUNK = 1 << 19  # bytes of text at a time; bounds the temporaries of the byte n-grams
 SIZES = (3, 5)
 BLANKS = 64  # zero vectors added to each average, so that a word or two do not decide
@@ -74,18 +74,18 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
 
 
 def _sparse(text: Column) -> Column:
-    """(buckets, counts) of each text."""
+    """(buckets, weights) of each text, as little-endian 16-bit numbers and 32-bit floats."""
 
-    @F.arrow_udf("struct<i:array<int>,n:array<int>>")
+    @F.arrow_udf("struct<i:binary,w:binary>")
     def made(texts: pa.Array) -> pa.Array:
-        ids, counts = [], []
+        ids, weights = [], []
         for _, _, raw, offsets in blocks(texts, CHUNK):
             groups = features(raw, offsets)
             for r in range(len(offsets) - 1):
                 i, n = np.unique(np.concatenate([b[at[r]:at[r + 1]] for b, at in groups]), return_counts=True)
-                ids.append(i)
-                counts.append(n.astype(np.int32))
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["i", "n"])
+                ids.append(i.astype("<u2").tobytes())
+                weights.append((n / (n.sum() + BLANKS)).astype("<f4").tobytes())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], ["i", "w"])
 
     return made(text)
 
@@ -120,7 +120,7 @@ class Model:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 5,
           rate: float = 0.3, seed: int = 7) -> Model:
-    """SGD, a row at a time; the step is divided by the row's squared length, as rows are averages."""
+    """SGD over rows of (buckets, weights), a row at a time; the step is divided by the row's squared length, as rows are averages."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1.0, 1.0, (BUCKETS, dim)).astype(np.float32)
     soft, bias = np.zeros((2, dim)), np.zeros(2)
@@ -129,8 +129,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     share = np.bincount(labels, minlength=2) / len(labels)
     bias[:] = np.log(share)
     prepared = []
-    for i, n in rows:
-        w = (n / (n.sum() + BLANKS)).astype(np.float32)
+    for i, w in rows:
         prepared.append((i, w, float((w * w).sum()) or 1.0))
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
@@ -165,10 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
         .orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(max_rows)  # bounded, so it can be broadcast
     texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("t"))
     sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max(F.struct("t", "y")).alias("s")) \
-        .select("id", "s.y", _sparse(F.col("s.t")).alias("f")).select("id", "y", "f.i", "f.n")
+        .select("id", "s.y", _sparse(F.col("s.t")).alias("f")).select("id", "y", "f.i", "f.w")
     got = sample.toArrow().sort_by("id")
-    split = lambda c: [np.asarray(x.values) for x in got[c].combine_chunks()]
-    rows = list(zip(split("i"), split("n"), strict=True)) if len(got) else []
+    rows = [(np.frombuffer(i.as_buffer(), "<u2"), np.frombuffer(w.as_buffer(), "<f4")) for i, w in zip(got["i"], got["w"], strict=True)]
     return train(rows, got["y"].to_numpy().astype(np.int64), **how)
 
 

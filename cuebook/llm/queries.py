@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, license_scan, line_runs, odd_sketch, packing, quality, text_density, token_counts,
+from . import (decontaminate, exact_dedup, license_scan, line_runs, odd_sketch, oracles, packing, quality, text_density, token_counts,
                url_reputation)
 from .common import table
 
@@ -82,4 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_reputation": oracles.url_reputation(URL_RULES, """
+      SELECT p.url, greatest(1 - l.quality, l.toxic) AS bad FROM pages p
+      JOIN labels l ON l.doc_id = try_cast(regexp_extract(p.url, '://[^/?#]*/[^?#0-9]*([0-9]+)', 1) AS BIGINT)"""),
+    "op3_line_runs": oracles.LINE_RUNS,
+    "op4_exact_dedup": oracles.EXACT_DEDUP,
+    "op5_odd_sketch": oracles.NEAR_DUPLICATES,
+    "op6_license_scan": oracles.LICENSES,
+    "op9_decontamination": oracles.CONTAMINATION,
+}
