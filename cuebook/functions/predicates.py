@@ -159,11 +159,13 @@ def _eq(c: Column, dtype: T.DataType, v: Any) -> Compiled:
         if isinstance(dtype, INTEGRAL):
             if isinstance(v, float) and not (math.isinf(v) or v.is_integer()):
                 return _false()
-            if isinstance(v, float) and math.isinf(v):
+            if isinstance(v, float) and math.isinf(v) or not _in_64_bits(v):
                 return _false()
             return _both(c.eqNullSafe(F.lit(int(v))), nullable=False)
         if isinstance(dtype, FRACTIONAL + (T.DecimalType,)):
-            return _both(c.eqNullSafe(F.lit(float(v))), nullable=False)
+            if isinstance(v, int) and not _in_64_bits(v) and int(_as_double(v) if abs(v) < 2**1023 else 0) != v:
+                return _false()
+            return _both(c.eqNullSafe(F.lit(_as_double(v))), nullable=False)
         if isinstance(dtype, T.BooleanType):
             if v in (0, 1):
                 return _both(c.eqNullSafe(F.lit(bool(v))), nullable=False)
@@ -173,9 +175,23 @@ def _eq(c: Column, dtype: T.DataType, v: Any) -> Compiled:
         if isinstance(dtype, T.StringType):
             return _both(c.eqNullSafe(F.lit(v)), nullable=False)
         return _false()
+    if isinstance(v, list | tuple) and isinstance(dtype, T.ArrayType):
+        same = F.coalesce(F.size(c) == len(v), F.lit(False)) & c.isNotNull()
+        for i, x in enumerate(v):
+            same = same & _eq(F.get(c, F.lit(i)), dtype.elementType, x).value
+        return _both(same, nullable=False)
     return _false()  # lists / objects never equal a scalar column
 
 
+def _in_64_bits(v: int | float) -> bool:
+    return -(2**63) <= v < 2**63
+
+
+def _as_double(v: int | float) -> float:
+    """``v`` as a double; an integer beyond its range is infinite."""
+    return float(v) if abs(v) < 2**1023 else math.copysign(math.inf, v)
+
+
 def _in(c: Column, dtype: T.DataType, values: list[Any]) -> Compiled:
     """Python ``row_value in values`` -- membership by the same equality as ``eq``."""
     has_null = any(v is None for v in values)
@@ -194,12 +210,12 @@ def _in(c: Column, dtype: T.DataType, values: list[Any]) -> Compiled:
         elif isinstance(dtype, INTEGRAL):
             if isinstance(v, bool):
                 typed.append(int(v))
-            elif isinstance(v, int):
-                typed.append(v)
-            elif isinstance(v, float) and not math.isinf(v) and v.is_integer():
+            elif isinstance(v, float) and not v.is_integer() or not _in_64_bits(v):
+                continue
+            else:
                 typed.append(int(v))
         elif isinstance(dtype, FRACTIONAL + (T.DecimalType,)):
-            if isinstance(v, int | float):
+            if isinstance(v, int | float) and (isinstance(v, float) or _in_64_bits(v)):
                 typed.append(float(v))
     typed = list(dict.fromkeys(typed))
     parts: list[Column] = []
@@ -217,6 +233,7 @@ def _compare(conv: tuple[Column, bool] | None, op: str, v: float) -> Compiled:
     if conv is None or _is_nan_value(v):
         return _false()
     x, may_nan = conv
+    v = v if isinstance(v, float) or _in_64_bits(v) else _as_double(v)
     if op == "lt":
         expr = x < F.lit(v)
     elif op == "lte":
@@ -235,7 +252,7 @@ def _numeric_column_compare(c: Column, dtype: T.DataType, op: str, v: float) ->
     """Plain numeric column: compare the column itself so the predicate pushes to the scan."""
     if _is_nan_value(v):
         return _false()
-    lit = F.lit(v)
+    lit = F.lit(v if isinstance(v, float) or _in_64_bits(v) else _as_double(v))
     if op == "lt":
         expr = c < lit
     elif op == "lte":

@@ -3,6 +3,8 @@ driver-side literals (rule scores are constants of the ruleset)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,14 @@ SCORE_DECIMALS = 3
 
 
 def normalise_score(score: Column) -> Column:
-    """Clamp to [0, 1] and round to 3 decimals; NULL stays NULL (least/greatest skip NULLs)."""
+    """Clamp to [0, 1] and round to 3 decimals; NULL stays NULL, NaN is 0.
+
+    Rounding looks at the exact binary value and sends ties to the even digit, as Python's
+    ``round`` does, so a rule's score and a computed score round alike (``format_number``
+    rounds that way, ``round`` rounds the shortest decimal half up)."""
     s = score.cast("double")
-    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), s))
-    return F.when(s.isNull(), F.lit(None).cast("double")).otherwise(F.round(clamped, SCORE_DECIMALS))
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(F.isnan(s), F.lit(0.0)).otherwise(s)))
+    return F.when(s.isNull(), F.lit(None).cast("double")).otherwise(F.format_number(clamped, SCORE_DECIMALS).cast("double"))
 
 
 def confidence_band(rounded: Column) -> Column:
@@ -30,6 +36,8 @@ def confidence_band(rounded: Column) -> Column:
 def normalise_score_py(score: float | None) -> float | None:
     if score is None:
         return None
+    if math.isnan(float(score)):
+        return 0.0
     return round(min(1.0, max(0.0, float(score))), SCORE_DECIMALS)
 
 

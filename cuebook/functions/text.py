@@ -18,9 +18,10 @@ REDACTION_RULES = (
 
 
 def _java_pattern(pattern: str) -> str:
-    # The local part's class excludes '@', so a possessive quantifier cannot change a match;
-    # it only stops the engine from backtracking through every word that has no '@'.
-    return "(?U)" + pattern.replace(r"[\w.+-]+@", r"[\w.+-]++@")
+    # The local part's class excludes '@', so a possessive quantifier cannot change a match; and a
+    # match can only start where a run of the class starts, or where the last match ended. So
+    # each character is looked at once, also in a text that is one long run.
+    return "(?U)" + pattern.replace(r"[\w.+-]+@", r"(?:\G|(?<![\w.+-]))[\w.+-]++@")
 
 
 def redact_text(text: Column) -> Column:

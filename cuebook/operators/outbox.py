@@ -38,11 +38,16 @@ def template_values(environ: dict[str, str] | None = None) -> dict[str, str]:
 
 
 def expand_url(url: Column, values: dict[str, str]) -> Column:
-    """``${WEBHOOK_X}`` -> its value ('' when unknown); any other ``${NAME}`` stays literal."""
-    out = url
-    for name, value in sorted(values.items()):
-        out = F.replace(out, F.lit("${" + name + "}"), F.lit(value))
-    return F.regexp_replace(out, r"\$\{WEBHOOK_[A-Z0-9_]*\}", "")
+    """``${WEBHOOK_X}`` -> its value ('' when unknown); any other ``${NAME}`` stays literal.
+
+    One pass: the text is cut at the placeholders and each piece is mapped once, so a value that
+    itself holds a placeholder is not expanded again."""
+    hole = r"\$\{WEBHOOK_[A-Z0-9_]*\}"
+    known = F.create_map(*[F.lit(x) for name, value in sorted(values.items()) for x in ("${" + name + "}", value)]) if values else None
+    between = F.split(url, hole)
+    holes = F.regexp_extract_all(url, F.lit(f"({hole})"), F.lit(1))
+    filled = F.transform(holes, lambda h: F.coalesce(F.element_at(known, h), F.lit("")) if known is not None else F.lit(""))
+    return F.array_join(F.flatten(F.zip_with(between, filled, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
 def deliverable(kind: Column, url: Column) -> Column:
@@ -58,20 +63,30 @@ def webhook_targets(subs: DataFrame, values: dict[str, str] | None = None) -> Da
 
 
 def outbox(cases: DataFrame, runs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Payload rows per (run, chunk of ``chunk_rows`` cases): run header + ordered records.
+    """Payload rows per (completed run, chunk of ``chunk_rows`` cases): run header + ordered records.
 
-    A run's data is never gathered whole: each payload holds at most ``chunk_rows`` records.
-    ``cases`` needs ``bot_id, run_id, case_index`` plus signal columns.
+    A run without cases gets one chunk with empty data. A run's data is never gathered whole: each
+    payload holds at most ``chunk_rows`` records, in ``case_index`` order. ``features`` and
+    ``subject`` are JSON texts in the cases and objects in the payload; the run's ``metadata``, JSON
+    text too, likewise. ``cases`` needs ``bot_id, run_id, case_index`` plus signal columns; ``runs`` needs
+    ``bot_id, run_id, status, as_of, summary`` and may have ``metadata``.
     """
-    record_cols = [c for c in cases.columns if c not in ("bot_id", "run_id")]
-    chunked = cases.withColumn("chunk", F.floor(F.col("case_index") / F.lit(chunk_rows)).cast("long"))
+    nested = [c for c in ("features", "subject") if c in cases.columns]
+    plain = [c for c in cases.columns if c not in ("bot_id", "run_id", "case_index", *nested)]
+    record = F.struct("case_index", *plain, *[F.parse_json(F.coalesce(F.col(c), F.lit("null"))).alias(c) for c in nested])
+    chunked = cases.select("bot_id", "run_id", "case_index", F.floor(F.col("case_index") / F.lit(chunk_rows)).cast("long").alias("chunk"),
+                           F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
     grouped = chunked.groupBy("bot_id", "run_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in record_cols]))).alias("data"),
-        F.count(F.lit(1)).alias("n_records"))
-    head = runs.select("bot_id", "run_id", "as_of", "summary")
-    joined = grouped.join(head, on=["bot_id", "run_id"], how="left")
-    payload = F.to_json(F.struct("bot_id", "run_id", "as_of", "summary", "chunk", "data"))
-    return joined.select("bot_id", "run_id", "chunk", "n_records", payload.alias("payload"))
+        F.array_sort(F.collect_list(F.struct("case_index", "record"))).alias("rows"), F.count(F.lit(1)).alias("n_records"))
+    about = F.col("metadata") if "metadata" in runs.columns else F.lit(None).cast("string")
+    head = runs.filter(F.col("status") == "completed").select("bot_id", "run_id", "as_of", "summary", F.coalesce(about, F.lit("{}")).alias("metadata"))
+    joined = head.join(grouped, on=["bot_id", "run_id"], how="left")
+    data = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("rows", lambda r: r["record"]), ","), F.lit("")), F.lit("]"))
+    chunk = F.coalesce("chunk", F.lit(0).cast("long"))
+    front = F.to_json(F.struct("bot_id", "run_id", "as_of", "summary", chunk.alias("chunk")), {"ignoreNullFields": "false"})
+    # The header's closing brace gives way to the two members that are JSON texts already.
+    payload = F.concat(F.regexp_replace(front, r"\}$", ""), F.lit(',"metadata":'), F.col("metadata"), F.lit(',"data":'), data, F.lit("}"))
+    return joined.select("bot_id", "run_id", chunk.alias("chunk"), F.coalesce("n_records", F.lit(0).cast("long")).alias("n_records"), payload.alias("payload"))
 
 
 def current_subscriptions(log: DataFrame) -> DataFrame:

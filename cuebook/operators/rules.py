@@ -3,7 +3,7 @@
 Plan shape (no shuffle, no join, no Python):
 
     Scan (pruned columns, pushed comparisons)
-      -> Filter   OR of the rules' loose forms        (only up to PREFILTER_MAX_RULES rules)
+      -> Filter   OR over the columns of the loosest bounds any rule sets (see ``_Ranges``)
       -> Project  array(when(rule_i matches, code_i) ...), target_id, subject
       -> Generate explode(array_compact(codes))
       -> Project  rule metadata looked up by ordinal in constant arrays
@@ -18,6 +18,7 @@ before that last projection and leaves the constants to a broadcast rules dimens
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -28,21 +29,70 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import Compiled, compile_criterion, python_text, qcol
 from ..functions.scores import confidence_band_py, normalise_score_py
-from ..model import Rule, Ruleset, load, never_fires
+from ..model import Criterion, Rule, Ruleset, load, never_fires
 from .signals import NOTE
 
 _CODE = "_cue_code"
-# Up to this many rules the OR of all rules is also a row filter ahead of the projection, so
-# plain comparisons reach the parquet scan. Beyond it the OR tree is large (and nested And/Or
-# code is never split, which can push a stage past the 64 KB method limit into interpreted
-# mode); then each rule is evaluated once, in the split-friendly array projection.
-PREFILTER_MAX_RULES = 16
+
 
 
 def _combine(parts: list[Column], how: str) -> Column:
     return reduce(lambda a, b: (a & b) if how == "and" else (a | b), parts)
 
 
+class _Ranges:
+    """A filter that lets pass every row a rule may match, as long as the columns are many, not the rules.
+
+    Each covered rule gives one pushable criterion (an "or" rule all of its criteria). Per
+    column these merge into its lowest lower bound, its highest upper bound and its set of values,
+    and the columns' conditions are joined by OR."""
+
+    NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+
+    def __init__(self, schema: T.StructType):
+        self.types = {f.name: f.dataType for f in schema.fields}
+        self.low: dict[str, float] = {}
+        self.high: dict[str, float] = {}
+        self.values: dict[str, set] = {}
+
+    def _fits(self, c: Criterion) -> bool:
+        kind, values = self.types.get(c.field), c.value if c.operator == "in" else [c.value]
+        if c.operator not in ("lt", "lte", "gt", "gte", "eq", "in") or not values:
+            return False
+        if isinstance(kind, T.StringType):
+            return c.operator in ("eq", "in") and all(type(v) is str for v in values)
+        return isinstance(kind, self.NUMBERS) and all(type(v) in (int, float) and abs(v) < 2**31 for v in values)
+
+    def cover(self, rule: Rule) -> bool:
+        """Take ``rule`` in; False if none of its criteria can stand for it."""
+        able = [c for c in rule.criteria if self._fits(c)]
+        if rule.combination == "or" and len(able) < len(rule.criteria) or not able:
+            return False
+        for c in able if rule.combination == "or" else able[:1]:
+            if c.operator in ("gt", "gte"):
+                self.low[c.field] = min(self.low.get(c.field, math.inf), c.value)
+            elif c.operator in ("lt", "lte"):
+                self.high[c.field] = max(self.high.get(c.field, -math.inf), c.value)
+            else:
+                self.values.setdefault(c.field, set()).update(c.value if c.operator == "in" else [c.value])
+        return True
+
+    def columns(self) -> list[Column]:
+        # Bounds move out to whole numbers for integer columns, and out by a little for floats.
+        def bound(name: str, value: float, out: int) -> Column:
+            kind = self.types[name]
+            if isinstance(kind, T.FloatType | T.DoubleType):
+                return F.lit(float(value) + out * (abs(value) * 1e-6 + 1e-6)).cast(kind)
+            edge = {T.ByteType: 2**7, T.ShortType: 2**15}.get(type(kind), 2**31)
+            return F.lit(max(-edge, min(edge - 1, math.floor(value) if out < 0 else math.ceil(value)))).cast(kind)
+
+        found = [qcol(n) >= bound(n, v, -1) for n, v in self.low.items()] + [qcol(n) <= bound(n, v, 1) for n, v in self.high.items()]
+        for n, values in self.values.items():
+            texts = isinstance(self.types[n], T.StringType)
+            found.append(qcol(n).isin(sorted(values)) if texts else (qcol(n) >= bound(n, min(values), -1)) & (qcol(n) <= bound(n, max(values), 1)))
+        return found
+
+
 @dataclass
 class _Program:
     runnable: list[Rule]
@@ -56,6 +106,7 @@ def _program(df_schema: T.StructType, ruleset: Ruleset, runnable: list[Rule]) ->
     n = len(runnable)
     mask_bits = 62 - n.bit_length()
     filters: list[Column] = []
+    ranges = _Ranges(df_schema)
     elements: list[Column] = []
     wide: dict[int, Column] = {}
     masked: list[bool] = []
@@ -63,7 +114,8 @@ def _program(df_schema: T.StructType, ruleset: Ruleset, runnable: list[Rule]) ->
         compiled: list[Compiled] = [compile_criterion(c, df_schema) for c in rule.criteria]
         # NULL means "no" here: no NOT is applied above these, and CASE WHEN NULL is not taken.
         matched = _combine([c.filter for c in compiled], rule.combination)
-        filters.append(_combine([c.prefilter for c in compiled], rule.combination))
+        if not ranges.cover(rule):
+            filters.append(_combine([c.prefilter for c in compiled], rule.combination))
         k = len(compiled)
         if rule.combination == "or" and k > 1:
             if k <= mask_bits:
@@ -82,17 +134,7 @@ def _program(df_schema: T.StructType, ruleset: Ruleset, runnable: list[Rule]) ->
             code = F.lit(i).cast("long")
             masked.append(False)
         elements.append(F.when(matched, code))
-    return _Program(runnable, _combine(filters, "or"), elements, wide, masked)
-
-
-def ensure_codegen_limit(spark) -> None:
-    """Large rule programs compile to one big generated method; HotSpot does not JIT methods
-    over 8000 bytes of bytecode, so such a stage would run in the bytecode interpreter. With the
-    limit at 8000 Spark leaves whole-stage codegen for that stage and uses its split, JIT-able
-    expression code instead (the setting Spark documents for HotSpot). Only a default is raised."""
-    key = "spark.sql.codegen.hugeMethodLimit"
-    if spark.conf.get(key, "65535") == "65535":
-        spark.conf.set(key, "8000")
+    return _Program(runnable, _combine([*ranges.columns(), *filters], "or"), elements, wide, masked)
 
 
 _SQL_TYPES = {"long": "bigint", "double": "double", "string": "string", "boolean": "boolean"}
@@ -117,7 +159,7 @@ def _matches(df: DataFrame, ruleset: Ruleset, prog: _Program, keep: list[str]) -
     # No filter on the codes array: Catalyst would push it below the projection and evaluate
     # every rule twice; the generator already drops rows without a match. target_id and subject
     # sit in the same projection so they are computed once per input row, not per signal.
-    src = df.filter(prog.prefilter) if n <= PREFILTER_MAX_RULES else df
+    src = df.filter(prog.prefilter)
     matched = src.select(
         *[qcol(k) for k in keep],
         python_text(id_col, id_type).alias("target_id"),
@@ -153,7 +195,6 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
     runnable = [r for r in ruleset.rules if not never_fires(r, known, ruleset.id_field)]
     if not runnable:
         return empty_signals(df)
-    ensure_codegen_limit(df.sparkSession)
     prog = _program(df.schema, ruleset, runnable)
     keep = list(keep or [])
     hit, n = _matches(df, ruleset, prog, keep)
@@ -206,7 +247,6 @@ def evaluate_compact(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
             F.lit(None).cast("string").alias("subject"), F.lit(None).cast("long").alias("rule_id"),
             F.lit(None).cast("long").alias("evidence_mask"),
             F.lit(None).cast("array<string>").alias("evidence_override"))
-    ensure_codegen_limit(df.sparkSession)
     prog = _program(df.schema, ruleset, runnable)
     hit, n = _matches(df, ruleset, prog, keep)
     code = F.col(_CODE)
@@ -238,9 +278,9 @@ def rule_dimension(spark, ruleset: Ruleset | dict[str, Any] | str) -> DataFrame:
 
 
 def expand(compact: DataFrame, rules: DataFrame) -> DataFrame:
-    """Compact signals + rules dimension -> full signal rows. The dimension has one row per
-    rule of a ruleset (a driver-side document), so it is broadcast."""
-    joined = compact.join(F.broadcast(rules), on="rule_id", how="inner")
+    """Compact signals + rules dimension -> full signal rows. Spark broadcasts the dimension where
+    its size allows; that of ``rule_dimension`` is known, as it is a local relation."""
+    joined = compact.join(rules, on="rule_id", how="inner")
     texts = F.col("evidence_texts")
     ev = F.coalesce(F.col("evidence_override"),
                     F.when(F.col("evidence_mask") == F.lit(-1), texts).otherwise(
@@ -251,16 +291,6 @@ def expand(compact: DataFrame, rules: DataFrame) -> DataFrame:
                          ev.alias("evidence"), "features", "subject", F.lit(NOTE).alias("note"))
 
 
-def unsupported(spark, df_columns: list[str], ruleset: Ruleset | dict[str, Any] | str) -> DataFrame:
-    """The never-fires report as a small DataFrame (one row per reported rule)."""
-    if not isinstance(ruleset, Ruleset):
-        ruleset = load(ruleset)
-    known = set(df_columns)
-    rows = [(r.rule_id, reason) for r in ruleset.rules
-            if (reason := never_fires(r, known, ruleset.id_field))]
-    return spark.createDataFrame(rows, "rule_id long, reason string")
-
-
 def rule_counts(signals: DataFrame) -> DataFrame:
     """Signals per rule (map-side partial aggregation; one row per rule)."""
     return signals.groupBy("rule_id", "label").agg(F.count(F.lit(1)).alias("n_signals"))
@@ -288,7 +318,7 @@ def rules_from_table(rows: list[dict[str, Any]]) -> dict[str, Any]:
     return {"rules": rules}
 
 
-def validate_rules(rules: DataFrame, known_fields: list[str] | None = None) -> DataFrame:
+def validate_rules(rules: DataFrame, known_fields: list[str] | None = None, id_field: str | None = None) -> DataFrame:
     """Hard checks and the never-fires report for a rules *table*, fully on executors.
 
     ``criteria.value`` holds JSON text so any JSON value can be expressed. Output rows:
@@ -306,7 +336,7 @@ def validate_rules(rules: DataFrame, known_fields: list[str] | None = None) -> D
     op = F.col("c.operator")
     loc = F.concat(F.lit("criteria."), F.col("pos").cast("string"))
     checks = [
-        (~F.array_contains(known_ops, op), F.concat(F.lit("unknown operator "), op)),
+        (~F.coalesce(F.array_contains(known_ops, op), F.lit(False)), F.concat(F.lit("unknown operator "), F.coalesce(op, F.lit("null")))),
         (F.array_contains(numeric_ops, op) & ~is_number, F.concat(op, F.lit(" needs a numeric value"))),
         ((op == "relative_decrease") & (F.coalesce(F.col("c.baseline_field"), F.lit("")) == ""),
          F.lit("relative_decrease needs 'baseline_field'")),
@@ -322,7 +352,7 @@ def validate_rules(rules: DataFrame, known_fields: list[str] | None = None) -> D
     shape = rules.select(
         "rule_id", F.lit("rule").alias("loc"),
         F.explode(F.array_compact(F.array(
-            F.when(~F.col("combination").isin("and", "or"), F.lit("combination must be 'and' or 'or'")),
+            F.when(~F.coalesce(F.col("combination").isin("and", "or"), F.lit(False)), F.lit("combination must be 'and' or 'or'")),
             F.when(F.col("score").isNull() | (F.col("score") < 0) | (F.col("score") > 1) | F.isnan("score"),
                    F.lit("score must be a number in [0, 1]")),
         ))).alias("msg"))
@@ -336,7 +366,9 @@ def validate_rules(rules: DataFrame, known_fields: list[str] | None = None) -> D
     if known_fields is None:
         reason = F.when(empty, F.lit("no criteria: the rule cannot match any row"))
     else:
+        no_id = F.lit(id_field is not None and id_field not in known_fields)
         reason = (F.when(empty, F.lit("no criteria: the rule cannot match any row"))
+                  .when(no_id, F.lit(f"id field {id_field!r} is absent from the data"))
                   .when(((F.col("combination") == "and") & any_missing)
                         | ((F.col("combination") == "or") & all_missing),
                         F.concat(F.lit("fields absent from the data: "),

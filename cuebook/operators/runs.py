@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 RUNNING, COMPLETED, FAILED = "running", "completed", "failed"
 EVENT_STATUS = {"run_started": RUNNING, "run_progress": RUNNING,
                 "run_completed": COMPLETED, "run_failed": FAILED}
-RUNS_SCHEMA = ("run_id string, bot_id string, as_of string, created_at timestamp, status string, "
-               "started_at timestamp, finished_at timestamp, summary string, error string")
+# One lifecycle event, as ``lifecycle_event`` makes it.
+EVENT_SCHEMA = ("run_id string, bot_id string, type string, ts timestamp, as_of string, stage string, summary string, "
+                "error string, record_count long, execution_ms long, metadata string")
 
 
 def run_state(events: DataFrame) -> DataFrame:
-    """Current state per run from its lifecycle events (map-side partial aggregation)."""
+    """Current state per run from its lifecycle events (map-side partial aggregation).
+
+    Events of other types say nothing about a run and are left out; a replayed event changes
+    nothing, so the fold may run over a log that holds replays, in any order."""
     status = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in EVENT_STATUS.items()])
-    ev = events.withColumn("_status", status).withColumn(
+    ev = events.filter(F.col("type").isin(*EVENT_STATUS)).withColumn("_status", status).withColumn(
         "_rank", F.when(F.col("type").isin("run_completed", "run_failed"), F.lit(1)).otherwise(F.lit(0)))
     last = F.max(F.struct("_rank", "ts", "_status", "summary", "error"))
     return ev.groupBy("run_id").agg(
@@ -64,8 +68,7 @@ def history(runs: DataFrame, limit: int = 20, status: str | None = None) -> Data
 
 
 def recent(runs: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest runs across all bots (a distributed top-k, TakeOrderedAndProject)."""
-    limit = max(1, min(200, int(limit)))
+    """Newest ``limit`` runs across all bots (a distributed top-k, TakeOrderedAndProject)."""
     return runs.orderBy(*_newest_first()).limit(limit)
 
 
@@ -108,17 +111,18 @@ def bot_overview(bots: DataFrame, runs: DataFrame, last: int = 10) -> DataFrame:
     return bots.join(history(runs, limit=last), on="bot_id", how="left")
 
 
-def lifecycle_rows(spark, bot_id: str, run_id: str, as_of: str, outcome: str, *,
-                   summary: str = "", error: str = "", record_count: int = 0,
-                   execution_ms: int = 0, started: dt.datetime | None = None,
-                   finished: dt.datetime | None = None) -> DataFrame:
-    """The two lifecycle events of one finished run, ready to append to ``run_events``."""
-    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-    started = started or now
-    finished = finished or now
-    end_type = "run_completed" if outcome == COMPLETED else "run_failed"
-    rows = [(run_id, bot_id, "run_started", started, as_of, None, None, None, None),
-            (run_id, bot_id, end_type, finished, as_of, summary, error, record_count, execution_ms)]
-    return spark.createDataFrame(rows, "run_id string, bot_id string, type string, ts timestamp, "
-                                       "as_of string, summary string, error string, "
-                                       "record_count long, execution_ms long")
+def lifecycle_event(spark, bot_id: str, run_id: str, kind: str, *, as_of: str = "", stage: str = "", summary: str = "",
+                    error: str = "", record_count: int | None = None, execution_ms: int | None = None,
+                    metadata: str | None = None, ts: dt.datetime | None = None) -> DataFrame:
+    """One lifecycle event (``kind``: a key of ``EVENT_STATUS``), ready to append to ``run_events``."""
+    if kind not in EVENT_STATUS:
+        raise ValueError(f"unknown event type {kind!r}")
+    ts = ts or dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    return spark.createDataFrame([(run_id, bot_id, kind, ts, as_of, stage, summary, error, record_count, execution_ms, metadata)],
+                                 EVENT_SCHEMA)
+
+
+def distinct_events(events: DataFrame) -> DataFrame:
+    """Replays dropped: events equal in run, type, time and stage count once, whenever they arrive."""
+    stage = F.col("stage") if "stage" in events.columns else F.lit("")
+    return events.withColumn("_stage", F.coalesce(stage, F.lit(""))).dropDuplicates(["run_id", "type", "ts", "_stage"]).drop("_stage")

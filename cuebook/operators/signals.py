@@ -70,9 +70,14 @@ def to_predictions(df: DataFrame, target_id: Column, score: Column, *, label: st
 
 
 def priority_key(score: str = "score") -> list[Column]:
-    """Descending score (missing = 0), then rule_id and target_id so ties are deterministic."""
+    """Descending score (missing = 0), then rule_id, target_id and a hash of the whole signal.
+
+    Signals may repeat a target, so the hash ends the key: equal keys are equal signals, and
+    which of two equal signals comes first cannot be seen."""
+    whole = F.sha2(F.concat_ws("\x1f", F.coalesce("label", F.lit("")), F.array_join("evidence", "\x1e", "\x00"),
+                               F.coalesce("features", F.lit("")), F.coalesce("subject", F.lit(""))), 256)
     return [F.coalesce(F.col(score), F.lit(0.0)).desc(), F.col("rule_id").asc_nulls_last(),
-            F.col("target_id").asc_nulls_last()]
+            F.col("target_id").asc_nulls_last(), whole]
 
 
 def summary_text(label: str, flagged: int, as_of: str = "", kind: str = "signal") -> str:

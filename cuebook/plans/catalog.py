@@ -443,23 +443,41 @@ def stats_masked(spark, sf):
     return src.scoped(["customer"]).stats("customer", "c_name")
 
 
-# Redaction: no SQL oracle. DuckDB's RE2 has only ASCII \b and \w, while the patterns are
-# Unicode-aware (Python semantics); the texts are full of accented letters. Tests compare these
-# queries with Python's ``re`` applied to every row of the sf0.01 tables.
-@query("redact_documents")
+# Redaction in DuckDB. RE2's \\w and \\b know ASCII only, the patterns are Unicode-aware: the e-mail classes
+# are spelled out, and letters beyond ASCII are wrapped in ASCII ones while \\b decides.
+_LETTERS = (r"[\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02FF}\x{0370}-\x{1FFF}"
+            r"\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}]")
+
+
+def redact_sql(text: str) -> str:
+    out = rf"regexp_replace({text}, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]+', '[EMAIL]', 'g')"
+    out = rf"regexp_replace({out}, '({_LETTERS})', 'ZQX\1XQZ', 'g')"
+    out = rf"regexp_replace({out}, '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '[SSN]', 'g')"
+    out = rf"regexp_replace({out}, '\b(?:\d[ -]?){{13,16}}\b', '[CARD]', 'g')"
+    return rf"regexp_replace({out}, 'ZQX(.)XQZ', '\1', 'g')"
+
+
+@query("redact_documents", f"""
+SELECT doc_id, {redact_sql('text')} AS redacted, {redact_sql('text')} <> text AS changed FROM documents
+""")
 def redact_documents(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text")
     red = docs.select("doc_id", "text", redact_text(F.col("text")).alias("redacted"))
     return red.select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
 
 
-@query("redact_conversations")
+@query("redact_conversations", f"""
+SELECT conv_id, turn, role, {redact_sql('text')} AS text FROM conversations
+""")
 def redact_conversations(spark, sf):
     c = _t(spark, sf, "conversations")
     return redact_nested(c, ["text"]).select("conv_id", "turn", "role", "text")
 
 
-@query("redact_by_model")
+@query("redact_by_model", f"""
+SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN 'local/assistant' ELSE 'remote/api' END AS model,
+       CASE WHEN role = 'assistant' THEN text ELSE {redact_sql('text')} END AS text FROM conversations
+""")
 def redact_by_model(spark, sf):
     """Model-gated redaction over every conversation turn: assistant turns go to a local model
     and stay as written; all other turns go to a remote model and are redacted."""
@@ -875,6 +893,7 @@ def conversation_append(spark, sf):
 
 def all_queries() -> dict[str, QueryFn]:
     from ..streaming import rules_stream  # noqa: F401 -- registers the streaming queries
+    from . import ledger  # noqa: F401 -- registers the queries over stores, logs and versions
 
     return dict(REGISTRY)
 

@@ -9,6 +9,7 @@ eagerly, so this must happen before the text ever reaches ``spark.sql``.
 from __future__ import annotations
 
 import re
+from typing import Any
 
 from pyspark.sql import SparkSession
 
@@ -67,32 +68,36 @@ def _check_expressions(node) -> None:
         stack.extend(_seq(e.children()))
 
 
-def walk(plan) -> tuple[set[str], set[str], bool]:
-    """(tables read, CTE names, uses a table-valued function); raises on a non-read node."""
+def walk(plan) -> tuple[set[str], bool]:
+    """(tables read, uses a table-valued function); raises on a node that is not read-only.
+
+    A CTE name hides a table only where SQL lets it: in later CTEs of the same WITH and in its
+    body, with all that is nested there; in its own definition only if the WITH is recursive."""
     root = _name(plan)
     if root not in READ_ROOTS:
         raise ReadOnlyViolation(f"only read-only queries are allowed (got {root})")
     tables: set[str] = set()
-    ctes: set[str] = set()
     tvf = False
-    stack = [plan]
+    stack: list[tuple[Any, frozenset[str]]] = [(plan, frozenset())]
     while stack:
-        node = stack.pop()
+        node, hidden = stack.pop()
         kind = _name(node)
         if kind not in READ_NODES:
             raise ReadOnlyViolation(f"statement node {kind} is not read-only")
         _check_expressions(node)
         if kind == "UnresolvedRelation":
-            tables.add(".".join(_seq(node.multipartIdentifier())).lower())
+            name = ".".join(_seq(node.multipartIdentifier())).lower()
+            if name not in hidden:
+                tables.add(name)
         elif kind == "UnresolvedTableValuedFunction":
             tvf = True
         elif kind == "UnresolvedWith":
-            for pair in _seq(node.cteRelations()):
-                ctes.add(str(pair._1()).lower())
-                stack.append(pair._2())
-        stack.extend(_seq(node.children()))
-        stack.extend(_seq(node.subqueries()))
-    return tables, ctes, tvf
+            for cte in _seq(node.cteRelations()):
+                own = str(cte._1()).lower()
+                stack.append((cte._2(), hidden | {own} if node.allowRecursion() else hidden))
+                hidden = hidden | {own}
+        stack.extend((x, hidden) for x in [*_seq(node.children()), *_seq(node.subqueries())])
+    return tables, tvf
 
 
 def audit_target(spark: SparkSession, sql: str) -> str:
@@ -126,16 +131,14 @@ def assert_read_only(spark: SparkSession, sql: str) -> None:
 
 
 def tables_referenced(spark: SparkSession, sql: str) -> set[str]:
-    """Lower-cased names of the real tables read; unqualified CTE names are dropped."""
-    tables, ctes, _ = walk(parse(spark, sql))
-    return {t for t in tables if "." in t or t not in ctes}
+    """Lower-cased names of the real tables read."""
+    return walk(parse(spark, sql))[0]
 
 
 def check_scope(spark: SparkSession, sql: str, allowed: list[str]) -> set[str]:
     """Raise ``ScopeViolation`` unless every table read is declared (exact, case-insensitive;
     bare and qualified names never match each other). Empty ``allowed`` means unscoped."""
-    tables, ctes, tvf = walk(parse(spark, sql))
-    read = {t for t in tables if "." in t or t not in ctes}
+    read, tvf = walk(parse(spark, sql))
     if not allowed:
         return read
     declared = {a.lower() for a in allowed}

@@ -1,12 +1,12 @@
 """Sinks: signal tables, JSON-safe output, and json/csv writers.
 
 Signals are stored one row per signal (not one blob per run), partitioned by bot, appended;
-a run's partition can be rewritten idempotently (``replace_run``) after a retry.
+a run's folder can be rewritten idempotently (``replace_run``) after a retry.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ def json_safe_column(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dtype, T.TimestampType | T.TimestampNTZType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
     if isinstance(dtype, T.DecimalType):
         return c.cast("double")
     if isinstance(dtype, T.ArrayType):
@@ -26,7 +26,8 @@ def json_safe_column(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.MapType):
         return F.transform_values(c, lambda _k, v: json_safe_column(v, dtype.valueType))
     if isinstance(dtype, T.StructType):
-        return F.struct(*[json_safe_column(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+        safe = F.struct(*[json_safe_column(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields])
+        return F.when(c.isNotNull(), safe)
     if isinstance(dtype, T.BinaryType):
         return F.base64(c)
     return c
@@ -43,16 +44,21 @@ def to_json_rows(df: DataFrame, column: str = "record") -> DataFrame:
                                  {"ignoreNullFields": "false"}).alias(column))
 
 
-def write_signals(signals: DataFrame, path: str, mode: str = "append") -> None:
+def write_signals(signals: DataFrame, path: str) -> None:
     """Append signal rows partitioned by bot and run (``bot_id``/``run_id`` columns required)."""
-    (signals.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bot_id", "run_id").parquet(path))
+    signals.write.mode("append").partitionBy("bot_id", "run_id").parquet(path)
 
 
-def replace_run(signals: DataFrame, path: str) -> None:
-    """Rewrite only the (bot, run) partitions present in ``signals`` -- a retried run replaces
-    its own output instead of duplicating it."""
-    write_signals(signals, path, mode="overwrite")
+def run_folder(spark: SparkSession, path: str, bot_id: str, run_id: str) -> str:
+    """The folder of one run's signals below ``path``, named as a partitioned write names it."""
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{path.rstrip('/')}/bot_id={escape(bot_id)}/run_id={escape(run_id)}"
+
+
+def replace_run(signals: DataFrame, path: str, bot_id: str, run_id: str) -> None:
+    """Rewrite the signals of one run: a retried run replaces its own output, also with no rows."""
+    own = signals.filter((F.col("bot_id") == bot_id) & (F.col("run_id") == run_id)).drop("bot_id", "run_id")
+    own.write.mode("overwrite").parquet(run_folder(signals.sparkSession, path, bot_id, run_id))
 
 
 def write_output(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:

@@ -1,12 +1,13 @@
 """Rules and history on Structured Streaming.
 
-* J1 ``evaluate`` works unchanged on a streaming DataFrame (stateless, append mode).
+* J1 ``evaluate`` works unchanged on a streaming DataFrame (stateless, append mode, file sink).
 * J2 ``hot_reload_sink``: ``foreachBatch`` re-reads the ruleset file for every micro-batch.
-* J3 idempotent sink: each micro-batch overwrites its own ``batch_id=`` partition, so a replayed
-  batch after a failure rewrites the same files instead of duplicating signals.
-* J4 ``lifecycle_stream``: run events deduplicated within a watermark, then folded to run state.
+* J3 idempotent sink: each micro-batch overwrites its own ``batch_id=`` folder, so a replayed
+  batch after a failure rewrites the same files, and one without rows empties them.
+* J4 ``stored_events``: run events are stored as they come; replays drop out and state is folded
+  when the store is read, so neither order nor the split into batches matters.
 * J5 ``tally_sink``: decisions are "last write wins", which streaming dedupe cannot express, so
-  each micro-batch recomputes the tally of the runs it touched from the full decision log.
+  each micro-batch recomputes the tally of the runs it touched from those runs' decisions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..model import load
 from ..operators.rules import evaluate
+from ..operators.runs import distinct_events
 from ..plans.catalog import RUNS_SQL, _flat, query, run_events
 from ..session import scratch_path
 
@@ -44,9 +46,8 @@ def stream_table(spark: SparkSession, folder: str, glob: str = "*.parquet",
 
 
 def write_batch_idempotent(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Overwrite exactly this batch's partition (a replay rewrites, never duplicates)."""
-    (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+    """Overwrite exactly this batch's folder (a replay rewrites, never duplicates; no rows clear it)."""
+    batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
 
 
 def hot_reload_sink(ruleset_path: str, out: str, keep: list[str] | None = None
@@ -58,38 +59,38 @@ def hot_reload_sink(ruleset_path: str, out: str, keep: list[str] | None = None
     return run
 
 
-def run_available(stream_df: DataFrame, name: str, checkpoint: str, *,
-                  foreach: Callable[[DataFrame, int], None] | None = None, memory: bool = True) -> None:
-    """Process everything available now, then stop (``availableNow`` trigger)."""
+def run_available(stream_df: DataFrame, checkpoint: str, *, out: str | None = None,
+                  foreach: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Process everything available now, then stop: into the Parquet folder ``out``, or by ``foreach``."""
     writer = stream_df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if foreach is not None:
-        writer = writer.foreachBatch(foreach)
-    elif memory:
-        writer = writer.format("memory").queryName(name).outputMode("append")
+    writer = writer.foreachBatch(foreach) if foreach is not None else writer.format("parquet").option("path", out).outputMode("append")
     q = writer.start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
 
-def lifecycle_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Lifecycle events with replays dropped (same run and type within the watermark)."""
-    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["run_id", "type"])
+def stored_events(spark: SparkSession, path: str) -> DataFrame:
+    """The lifecycle events of a store, replays dropped."""
+    return distinct_events(spark.read.parquet(path))
 
 
-def tally_sink(decisions_path: str, cases: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
+def tally_sink(decisions_path: str, cases_path: str, out: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch``: recompute the tally of the runs touched by this batch of decisions.
 
-    Store the decision log partitioned by ``bot_id``/``run_id``: the semi-join on the (small)
-    set of touched runs then lets dynamic partition pruning read only those runs' files, so a
-    micro-batch costs what it touches, not the whole log."""
+    Decisions and cases are stored in ``bot_id=/run_id=`` folders. The touched runs are written, and
+    the two stores are joined with that small table, broadcast if Spark finds it small: then dynamic
+    partition pruning reads the touched folders only, so a batch costs what it touches."""
     from ..operators.review import latest_decisions, tally
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("bot_id", "run_id").distinct()
-        log = batch.sparkSession.read.parquet(decisions_path)
-        log = log.join(touched, ["bot_id", "run_id"], "left_semi")
-        part = cases.join(touched, ["bot_id", "run_id"], "left_semi")
+        spark = batch.sparkSession
+        keys = f"{out.rstrip('/')}-touched/batch_id={batch_id}"
+        batch.select("bot_id", "run_id").distinct().write.mode("overwrite").parquet(keys)
+        touched = spark.read.parquet(keys).filter("bot_id is not null and run_id is not null")
+        pick = touched.filter(F.length("run_id") >= 0)  # a filter on this side lets Spark prune the other's folders
+        log = spark.read.parquet(decisions_path).join(pick, ["bot_id", "run_id"], "left_semi")
+        part = spark.read.parquet(cases_path).join(pick, ["bot_id", "run_id"], "left_semi")
         write_batch_idempotent(tally(part, latest_decisions(log)), batch_id, out)
     return run
 
@@ -129,13 +130,16 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
 
 
+MAX_FILES = 64  # per micro-batch
+
+
 @query("stream_rules_events", STREAM_RULES_SQL)
 def stream_rules_events(spark: SparkSession, sf: str) -> DataFrame:
-    """J1: the batch rule program on a file stream of ``events`` (availableNow, memory sink)."""
-    name = "cue_stream_rules"
-    run_available(_flat(evaluate(stream_table(spark, sf, "events.parquet"), STREAM_RULES)),
-                  name, _fresh(spark, "ckpt-stream-rules"))
-    return spark.table(name)
+    """J1: the batch rule program on a file stream of ``events`` (availableNow, file sink)."""
+    base = _fresh(spark, "stream-rules")
+    stream = stream_table(spark, sf, "events.parquet", MAX_FILES)
+    run_available(_flat(evaluate(stream, STREAM_RULES)), base + "/ckpt", out=base + "/signals")
+    return spark.read.parquet(base + "/signals")
 
 
 @query("stream_rules_hot_reload", STREAM_RULES_SQL)
@@ -145,8 +149,8 @@ def stream_rules_hot_reload(spark: SparkSession, sf: str) -> DataFrame:
     rules_file = base + "/ruleset"
     write_ruleset(spark, STREAM_RULES, rules_file)
     out = base + "/signals"
-    stream = stream_table(spark, sf, "events.parquet")
-    run_available(stream, "", base + "/ckpt", foreach=hot_reload_sink(rules_file, out))
+    stream = stream_table(spark, sf, "events.parquet", MAX_FILES)
+    run_available(stream, base + "/ckpt", foreach=hot_reload_sink(rules_file, out))
     return _flat(spark.read.parquet(out).drop("batch_id"))
 
 
@@ -154,14 +158,13 @@ def stream_rules_hot_reload(spark: SparkSession, sf: str) -> DataFrame:
 SELECT run_id, bot_id, status, epoch_us(created_at) AS started_us, finished_us FROM r
 """)
 def stream_run_state(spark: SparkSession, sf: str) -> DataFrame:
-    """J4: lifecycle events as a stream, replays dropped within a one-hour watermark (state),
-    then folded to the current state of every run."""
+    """J4: lifecycle events as a stream, stored as they come, then folded to each run's state."""
     from ..operators.runs import run_state
 
-    name = "cue_run_events"
-    events = run_events(spark, sf, stream_table(spark, sf, "events.parquet"))
-    run_available(lifecycle_stream(events), name, _fresh(spark, "ckpt-run-events"))
-    st = run_state(spark.table(name))
+    base = _fresh(spark, "run-events")
+    events = run_events(spark, sf, stream_table(spark, sf, "events.parquet", MAX_FILES))
+    run_available(events, base + "/ckpt", out=base + "/events")
+    st = run_state(stored_events(spark, base + "/events"))
     return st.select("run_id", "bot_id", "status", F.unix_micros("started_at").alias("started_us"),
                      F.unix_micros("finished_at").alias("finished_us"))
 
@@ -185,9 +188,11 @@ def stream_review_tally(spark: SparkSession, sf: str) -> DataFrame:
     cases = doc_cases(spark, sf)
     log_path = base + "/decisions"
     decision_log(spark, sf, cases).write.partitionBy("bot_id", "run_id").parquet(log_path)
+    cases_path = base + "/cases"
+    cases.write.partitionBy("bot_id", "run_id").parquet(cases_path)
     out = base + "/tally"
-    stream = spark.readStream.schema(spark.read.parquet(log_path).schema).parquet(log_path)
-    run_available(stream, "", base + "/ckpt", foreach=tally_sink(log_path, cases, out))
+    stream = spark.readStream.schema(spark.read.parquet(log_path).schema).option("maxFilesPerTrigger", str(MAX_FILES)).parquet(log_path)
+    run_available(stream, base + "/ckpt", foreach=tally_sink(log_path, cases_path, out))
     tallies = spark.read.parquet(out)
     newest = F.max_by(F.struct("accepted", "rejected", "reviewed", "total", "pending"), "batch_id")
     return tallies.groupBy("bot_id", "run_id").agg(newest.alias("t")).select("bot_id", "run_id", "t.*")

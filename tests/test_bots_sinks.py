@@ -71,8 +71,10 @@ def test_versions_propose_approve(spark):
     assert row.version == 2 and row.status == "staged"
     assert json.loads(row.ruleset)["source_table"] == "orders"
     versions = versions.unionByName(staged)
-    with pytest.raises(ValueError):
-        bots.propose(spark, versions, "b", {"rules": []})
+    # a second proposal takes the place of the pending one
+    versions = versions.unionByName(bots.propose(spark, versions, "b", {"task": "new", "rules": [{"rule_id": 8}]}))
+    pending = bots.pending_proposals(versions).collect()
+    assert [(p.version, json.loads(p.ruleset)["rules"]) for p in pending] == [(2, [{"rule_id": 8}])]
     versions = versions.unionByName(bots.decide_proposal(spark, versions, "b", approve=True, reviewer="bob"))
     live = bots.live_rulesets(versions).first()
     assert live.version == 2 and json.loads(live.ruleset)["task"] == "new"
@@ -88,7 +90,7 @@ def test_json_safe_and_writers(spark, tmp_path):
                                  [dt.date(2024, 1, 3)], None)],
                                "d date, ts timestamp, m decimal(10,2), ds array<date>, n string")
     rec = json.loads(to_json_rows(df).first().record)
-    assert rec == {"d": "2024-01-02", "ts": "2024-01-02T03:04:05.000000", "m": 1.5, "ds": ["2024-01-03"], "n": None}
+    assert rec == {"d": "2024-01-02", "ts": "2024-01-02T03:04:05", "m": 1.5, "ds": ["2024-01-03"], "n": None}
     assert dict(json_safe(df).dtypes)["m"] == "double"
     write_output(df, str(tmp_path / "j"), "json")
     write_output(df, str(tmp_path / "c"), "csv")
@@ -102,9 +104,32 @@ def test_signal_sink_replace_run(spark, tmp_path):
     rows = spark.createDataFrame([("b", "r1", "t1"), ("b", "r1", "t2"), ("b", "r2", "t3")],
                                  "bot_id string, run_id string, target_id string")
     write_signals(rows, out)
-    replace_run(rows.filter("run_id = 'r1'").limit(1), out)
+    replace_run(rows.filter("run_id = 'r1'").limit(1), out, "b", "r1")
     got = sorted((r.run_id, r.target_id) for r in spark.read.parquet(out).collect())
     assert [g[0] for g in got] == ["r1", "r2"]
+    replace_run(rows.filter("false"), out, "b", "r1")  # a retry that finds nothing leaves nothing
+    spark.catalog.refreshByPath(out)
+    assert [r.run_id for r in spark.read.parquet(out).collect()] == ["r2"]
+
+
+def test_run_bot_leaves_a_trace_when_it_dies(spark):
+    """The start is stored before the work; a transform gets the resolved day."""
+    events, sigs, seen = _d(spark, "events"), _d(spark, "signals"), {}
+    src = GovernedSource.open(spark, {"orders": f"parquet:{SF}/orders.parquet"})
+
+    def work(spark, source, as_of):
+        seen["as_of"] = as_of
+        seen["types"] = [r.type for r in spark.read.parquet(events).collect()]
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        bots.run_bot(spark, "b", work, src, ["orders"], events_path=events, signals_path=sigs, as_of="D-2", ref_date=dt.date(2024, 3, 1))
+    assert seen == {"as_of": "2024-02-28", "types": ["run_started"]}
+    stored = spark.read.parquet(events)
+    assert sorted(r.type for r in stored.collect()) == ["run_failed", "run_started"]
+    assert run_state(stored).first().error == "RuntimeError: lost"
+    unknown = stored.limit(1).withColumn("type", F.lit("run_paused")).withColumn("ts", F.expr("ts + interval 1 day"))
+    assert run_state(stored.unionByName(unknown)).first().status == "failed"
 
 
 def test_sources_and_catalog(spark, tmp_path):

@@ -1,5 +1,6 @@
 """Run lifecycle and history reads, as-of resolution, delivery tables, conversations."""
 
+import json
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -82,10 +83,24 @@ def test_effective_webhooks_and_subscription_log(spark):
 def test_outbox_chunks_bounded(spark):
     cases = spark.range(0, 2500).select(F.lit("b").alias("bot_id"), F.lit("r").alias("run_id"),
                                         F.col("id").alias("case_index"), F.col("id").cast("string").alias("target_id"))
-    runs = spark.createDataFrame([("b", "r", "2024-01-01", "ok")], "bot_id string, run_id string, as_of string, summary string")
-    box = ob.outbox(cases, runs, chunk_rows=1000).orderBy("chunk").collect()
-    assert [r.n_records for r in box] == [1000, 1000, 500]
-    assert '"case_index":0,' in box[0].payload and '"summary":"ok"' in box[0].payload
+    runs = spark.createDataFrame([("b", "r", "2024-01-01", "ok", "completed"), ("b", "none", "", "", "completed"), ("b", "broke", "", "", "failed")],
+                                 "bot_id string, run_id string, as_of string, summary string, status string")
+    box = ob.outbox(cases, runs, chunk_rows=1000).orderBy("run_id", "chunk").collect()
+    assert [(r.run_id, r.n_records) for r in box] == [("none", 0), ("r", 1000), ("r", 1000), ("r", 500)]
+    bodies = [json.loads(r.payload) for r in box]
+    assert bodies[0]["data"] == [] and bodies[1]["summary"] == "ok" and bodies[1]["metadata"] == {}
+    assert [x["case_index"] for b in bodies[1:] for x in b["data"]] == list(range(2500))
+
+
+def test_url_values_are_expanded_once(spark):
+    df = spark.createDataFrame([("http://h/${WEBHOOK_A}/${WEBHOOK_Z}${DB}",), ("plain",), (None,), ("${WEBHOOK_A}",)], "u string")
+    got = [r.e for r in df.select(ob.expand_url(F.col("u"), {"WEBHOOK_A": "<${WEBHOOK_B}>", "WEBHOOK_B": "secret"}).alias("e")).collect()]
+    assert got == ["http://h/<${WEBHOOK_B}>/${DB}", "plain", None, "<${WEBHOOK_B}>"]
+
+
+def test_recent_has_no_cap(spark):
+    runs = spark.range(500).selectExpr("'b' AS bot_id", "cast(id AS string) AS run_id", "timestamp_seconds(id) AS created_at")
+    assert rn.recent(runs, 400).count() == 400
 
 
 def test_conversations(spark):

@@ -118,14 +118,18 @@ def test_governed_source_audit_and_scope(spark, tmp_path):
     assert src.sample("customer", 3).filter("c_name != '***'").count() == 0
     assert src.sample("customer", 3).count() == 3
     assert {r.table for r in scoped.schema().collect()} == {"orders"}
-    rows = src.fetch("SELECT * FROM orders LIMIT 4", run_id="run_1")
+    rows = src.fetch("SELECT * FROM orders", limit=4, run_id="run_1")
     assert len(rows) == 4
     log = audit.entries().collect()
     outcomes = [(r.kind, r.target, r.outcome) for r in log]
     assert ("query", "customer", "denied") in outcomes
     assert ("query", "orders", "denied") in outcomes
     assert ("fetch", "orders", "ok") in outcomes
-    assert any(r.kind == "fetch" and r.row_count == 4 for r in log)
+    assert [r.row_count for r in log if r.kind == "fetch"] == [4]  # one row for one read
+    assert {r.outcome for r in log if r.kind == "query"} == {"planned", "denied"}
+    with pytest.raises(Exception):
+        src.fetch("SELECT raise_error('late') FROM orders", limit=1)
+    assert audit.entries().filter("kind = 'fetch' and outcome = 'error'").count() == 1
     # the isolated session does not see the caller's temp views
     spark.range(1).createOrReplaceTempView("outside_view")
     with pytest.raises(Exception):
@@ -199,3 +203,53 @@ def test_masking_by_output_name_vs_masked_views(spark):
     assert escaped != "***"  # masking by output name: an alias escapes (as in the source)
     strict = GovernedSource.open(spark, uri, mask_views=lambda d: mask_columns(d, ["c_name"]))
     assert strict.query("SELECT c_name AS who FROM customer").filter("who != '***'").count() == 0
+
+
+CTE_BYPASS = [
+    "WITH customer AS (SELECT * FROM customer) SELECT c_name FROM customer",
+    "SELECT count(*) FROM customer WHERE EXISTS (WITH customer AS (SELECT 1 AS x) SELECT x FROM customer)",
+    "WITH a AS (SELECT * FROM customer), customer AS (SELECT 1 AS x) SELECT * FROM a",
+    "SELECT * FROM (WITH customer AS (SELECT 1 AS x) SELECT * FROM customer) t, customer",
+    "WITH a AS (WITH customer AS (SELECT 1 AS x) SELECT * FROM customer) SELECT * FROM a, customer",
+    "SELECT (WITH customer AS (SELECT 1 AS x) SELECT max(x) FROM customer) AS m, c.c_name FROM customer c",
+]
+CTE_PLAIN = [
+    "WITH customer AS (SELECT o_custkey AS c FROM orders) SELECT c FROM customer",
+    "WITH a AS (SELECT 1 AS x), b AS (SELECT x FROM a) SELECT * FROM a JOIN b USING (x), orders",
+    "WITH a AS (SELECT 1 AS x) SELECT * FROM orders WHERE EXISTS (SELECT 1 FROM a)",
+    "WITH a AS (WITH customer AS (SELECT 1 AS x) SELECT x FROM customer) SELECT * FROM a",
+    "WITH a AS (SELECT 1 AS x) SELECT * FROM (WITH a AS (SELECT 2 AS y) SELECT y FROM a) t, a",
+    "WITH RECURSIVE n(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM n WHERE x < 3) SELECT x FROM n",
+]
+
+
+@pytest.mark.parametrize("sql", CTE_BYPASS)
+def test_a_cte_hides_a_table_only_where_it_is_in_scope(spark, sql):
+    with pytest.raises(guard.ScopeViolation):
+        guard.check_scope(spark, sql, ["orders"])
+
+
+@pytest.mark.parametrize("sql", CTE_PLAIN)
+def test_ctes_in_scope_are_no_tables(spark, sql):
+    assert guard.check_scope(spark, sql, ["orders"]) <= {"orders"}
+
+
+def test_scoped_session_holds_the_declared_views_only(spark):
+    src = GovernedSource.open(spark, {t: f"parquet:/root/testdata/sf0.001/{t}.parquet" for t in ("orders", "customer")})
+    inner = src.scoped(["orders"]).source
+    assert sorted(inner.tables) == ["orders"]
+    with pytest.raises(Exception):
+        inner.spark.sql("SELECT * FROM customer").collect()
+
+
+def test_redaction_is_linear_on_one_long_word(spark):
+    """A megabyte without a break, with an @ in the text, redacts in seconds."""
+    import time
+
+    texts = ["a" * 1_000_000 + " x@y.zz", "a.b-c+d@e.f @@ x@", "a@b.c@d.e", "x@y.z.w@q.r a@b", ".a@b.c+d@e.f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    clock = time.time()
+    got = {r.i: r.r for r in df.select("i", redact_text(F.col("t")).alias("r")).collect()}
+    assert time.time() - clock < 30
+    assert got[0].endswith("a [EMAIL]")
+    assert [got[i] for i in range(1, len(texts))] == [redact_text_py(t) for t in texts[1:]]

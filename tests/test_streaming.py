@@ -4,6 +4,7 @@ dedupe, per-batch tally recompute."""
 import datetime as dt
 import uuid
 
+import pytest
 
 from cuebook.operators.rules import evaluate
 from cuebook.session import scratch_path
@@ -32,12 +33,12 @@ def test_hot_reload_reads_ruleset_each_batch_and_replay_is_idempotent(spark, tmp
         {"field": "v", "operator": "gt", "value": 50}]}}]}, rules_path)
     out = base + "/out"
     stream = spark.readStream.schema("id long, v long").parquet(src + "/*")
-    rs.run_available(stream, "", base + "/ckpt", foreach=rs.hot_reload_sink(rules_path, out))
+    rs.run_available(stream, base + "/ckpt", foreach=rs.hot_reload_sink(rules_path, out))
     assert spark.read.parquet(out).count() == 4
     rs.write_ruleset(spark, {"id_field": "id", "rules": [{"rule_id": 2, "conditions": {"criteria": [
         {"field": "v", "operator": "lt", "value": 20}]}}]}, rules_path)
     spark.range(10, 20).selectExpr("id", "(id - 10) * 10 AS v").write.parquet(src + "/b")
-    rs.run_available(spark.readStream.schema("id long, v long").parquet(src + "/*"), "", base + "/ckpt",
+    rs.run_available(spark.readStream.schema("id long, v long").parquet(src + "/*"), base + "/ckpt",
                      foreach=rs.hot_reload_sink(rules_path, out))
     got = spark.read.parquet(out)
     assert sorted((r.rule_id, r.target_id) for r in got.collect()) == \
@@ -46,30 +47,34 @@ def test_hot_reload_reads_ruleset_each_batch_and_replay_is_idempotent(spark, tmp
     rs.write_batch_idempotent(evaluate(spark.read.parquet(src + "/a"), {"id_field": "id", "rules": [
         {"rule_id": 1, "conditions": {"criteria": [{"field": "v", "operator": "gt", "value": 50}]}}]}), 0, out)
     assert spark.read.parquet(out).count() == 6
+    # and one that finds nothing any more empties it
+    rs.write_batch_idempotent(got.filter("false").drop("batch_id"), 0, out)
+    assert sorted(r.target_id for r in spark.read.parquet(out).collect()) == ["10", "11"]
 
 
-def test_lifecycle_stream_drops_replayed_events(spark, tmp_path):
-    t = dt.datetime(2024, 1, 1)
-    rows = [("r1", "b", "run_started", t), ("r1", "b", "run_started", t),
-            ("r1", "b", "run_completed", t + dt.timedelta(minutes=1)), ("r2", "b", "run_started", t)]
-    src = str(tmp_path / "ev")
-    spark.createDataFrame(rows, "run_id string, bot_id string, type string, ts timestamp").write.parquet(src)
-    stream = spark.readStream.schema("run_id string, bot_id string, type string, ts timestamp").parquet(src)
-    name = "lifecycle_" + uuid.uuid4().hex[:6]
-    rs.run_available(rs.lifecycle_stream(stream), name, _dir(spark, "lc"))
-    assert spark.table(name).count() == 3
+@pytest.mark.parametrize("newest_first, per_batch", [(False, 1), (True, 1), (True, 100)])
+def test_stored_events_do_not_depend_on_the_split(spark, tmp_path, newest_first, per_batch):
+    """Late events stay, replays drop out, progress rows are told apart, in any order and batch size."""
+    schema, t = "run_id string, bot_id string, type string, ts timestamp, stage string", dt.datetime(2024, 1, 1)
+    rows = [(f"r{i}", "b", "run_started", t + dt.timedelta(hours=i), "") for i in range(6)]
+    rows += [("r0", "b", "run_progress", t + dt.timedelta(minutes=1), f"s{k}") for k in range(5)] + rows[:3]
+    for n, row in enumerate(reversed(rows) if newest_first else rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(str(tmp_path / "in"))
+    rs.run_available(stream, _dir(spark, "lc"), out=str(tmp_path / "store"))
+    assert rs.stored_events(spark, str(tmp_path / "store")).count() == 11
 
 
-def test_tally_sink_recomputes_touched_runs(spark, tmp_path):
-    cases = spark.createDataFrame([("b", "r1", "0"), ("b", "r1", "1"), ("b", "r2", "0")],
-                                  "bot_id string, run_id string, case_id string")
-    log = str(tmp_path / "decisions")
-    spark.createDataFrame([("b", "r1", "0", "accepted", "", "", dt.datetime(2024, 1, 1)),
-                           ("b", "r1", "0", "rejected", "", "", dt.datetime(2024, 1, 2))],
-                          "bot_id string, run_id string, case_id string, decision string, note string, "
-                          "reviewer string, updated_at timestamp").write.parquet(log)
+def test_tally_sink_reads_the_touched_runs_only(spark, tmp_path):
+    runs = [f"r{i}" for i in range(5)]
+    cases, log = str(tmp_path / "cases"), str(tmp_path / "decisions")
+    spark.createDataFrame([("b", r, str(k)) for r in runs for k in range(2)], "bot_id string, run_id string, case_id string") \
+        .write.partitionBy("bot_id", "run_id").parquet(cases)
+    schema = "bot_id string, run_id string, case_id string, decision string, note string, reviewer string, updated_at timestamp"
+    old = [("b", r, "1", "accepted", "", "", dt.datetime(2024, 1, 1)) for r in runs]
+    new = [("b", "r1", "0", "accepted", "", "", dt.datetime(2024, 1, 1)), ("b", "r1", "0", "rejected", "", "", dt.datetime(2024, 1, 2))]
+    spark.createDataFrame(old + new, schema).write.partitionBy("bot_id", "run_id").parquet(log)
     out = _dir(spark, "tally")
-    stream = spark.readStream.schema(spark.read.parquet(log).schema).parquet(log)
-    rs.run_available(stream, "", _dir(spark, "tally-ckpt"), foreach=rs.tally_sink(log, cases, out))
+    rs.tally_sink(log, cases, out)(spark.createDataFrame(new, schema), 0)
     t = spark.read.parquet(out).collect()
-    assert [(r.run_id, r.accepted, r.rejected, r.total, r.pending) for r in t] == [("r1", 0, 1, 2, 1)]
+    assert [(r.run_id, r.accepted, r.rejected, r.total, r.pending) for r in t] == [("r1", 1, 1, 2, 0)]
