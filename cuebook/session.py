@@ -29,6 +29,8 @@ DEFAULT_CONF = {
     # Call-site capture on every Column operation costs milliseconds per call on the driver
     # (stack walk); building a 100-rule program makes thousands of such calls.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # A checkpoint's files go when nothing refers to its frame any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -54,8 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and lineage-cutting tables.
 
     Reads ``spark.checkpoint.dir`` from the session. Only a local session without the setting
-    gets a fresh temp folder (tests); a cluster session without it is an error, because a
-    machine-local folder would not survive the loss of an executor.
+    gets a fresh temp folder (tests); a cluster session without it, or with a bare path on the
+    local file system, is an error, because a machine-local folder would not survive the loss of
+    an executor.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -65,6 +68,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
         path = tempfile.mkdtemp(prefix="cuebook-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
+    if not _is_local(spark) and "://" not in path and not path.startswith("file:"):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise RuntimeError(f"spark.checkpoint.dir {path!r} is a local folder; name a shared one by its full URI")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
