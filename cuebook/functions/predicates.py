@@ -210,9 +210,7 @@ def _in(c: Column, dtype: T.DataType, values: list[Any]) -> Compiled:
         elif isinstance(dtype, INTEGRAL):
             if isinstance(v, bool):
                 typed.append(int(v))
-            elif isinstance(v, float) and not v.is_integer() or not _in_64_bits(v):
-                continue
-            else:
+            elif isinstance(v, int | float) and _in_64_bits(v) and int(v) == v:
                 typed.append(int(v))
         elif isinstance(dtype, FRACTIONAL + (T.DecimalType,)):
             if isinstance(v, int | float) and (isinstance(v, float) or _in_64_bits(v)):
