@@ -27,11 +27,16 @@ from .common import fresh_folder, text_of, written
 from .graph import counted
 
 BYTES_PER_BATCH = 16 << 30  # of digest rows, not of texts
-# The state store: RocksDB, with bounded memory in each executor.
+# The state store: RocksDB, with bounded memory and small write buffers. A store is closed once its task
+# has committed, so an executor's memory and disk follow its running tasks, not the number of partitions (an open
+# store holds some megabytes of disk however few keys it has).
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
