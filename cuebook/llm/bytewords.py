@@ -16,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+SLICE = 512  # rows
 _SPAN = 1 << 18  # bytes that one round of prefix sums covers
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 3)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -66,19 +67,18 @@ def blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.n
     A null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
-    n = len(texts)
-    if not n:
-        return
-    _, offs, data = texts.buffers()
-    offsets = np.frombuffer(offs, dtype=np.int64)[texts.offset:texts.offset + n + 1]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        hi = min(hi, n)
-        yield lo, hi, raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-        lo = hi
+    for first in range(0, len(texts), SLICE):  # only a slice of the batch is copied at a time
+        part = texts.slice(first, SLICE).cast(pa.large_string()).fill_null("")
+        n = len(part)
+        _, offs, data = part.buffers()
+        offsets = np.frombuffer(offs, dtype=np.int64)[part.offset:part.offset + n + 1]
+        raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+            hi = min(hi, n)
+            yield first + lo, first + hi, raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+            lo = hi
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

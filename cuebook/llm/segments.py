@@ -57,8 +57,8 @@ def cut(raw: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np
 class SegmentCache:
     """Open-addressing table from segment hashes to slots; starts anew beyond ``limit`` segments."""
 
-    def __init__(self, limit: int = 1 << 20):
-        self.limit, self.bits = limit, (2 * limit).bit_length()
+    def __init__(self, limit: int = 1 << 19):
+        self.limit, self.bits = limit, limit.bit_length()  # at most half full
         self.clear()
 
     def clear(self) -> None:
@@ -99,7 +99,7 @@ class SegmentCache:
 class CachedEncoder:
     """Token ids (``ids=True``) or token counts of segments, each distinct one encoded once."""
 
-    def __init__(self, encode, kind: str, ids: bool, limit: int = 1 << 20):
+    def __init__(self, encode, kind: str, ids: bool, limit: int = 1 << 19):
         self.encode, self.kind, self.ids = encode, kind, ids
         self.cache = SegmentCache(limit)
         self._reset()
@@ -176,7 +176,7 @@ def _lines(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def byte_bpe(path: str, limit: int = 1 << 20) -> CachedEncoder:
+def byte_bpe(path: str, limit: int = 1 << 19) -> CachedEncoder:
     """Ids as the ``tokenizers`` file at ``path`` gives them, without added special tokens.
 
     Where the same vocabulary lies beside it as ranks (``.tiktoken``), unknown segments go
@@ -207,7 +207,7 @@ def byte_bpe(path: str, limit: int = 1 << 20) -> CachedEncoder:
     return CachedEncoder(encode, "byte", True, limit)
 
 
-def piece_model(path: str, limit: int = 1 << 20) -> CachedEncoder:
+def piece_model(path: str, limit: int = 1 << 19) -> CachedEncoder:
     """Token counts as the sentencepiece model at ``path`` gives them, without begin or end.
 
     Texts are cut only if no piece of the model has its word mark behind another character and
