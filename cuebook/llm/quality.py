@@ -29,7 +29,7 @@ from .bytewords import _TABLE, SPACE_BYTES, blocks, grams, hashes, mix, words
 from .common import text_of
 
 BUCKETS = 1 << 16
-MAX_ROWS = 2500  # labelled rows that are fitted on at most
+MAX_ROWS = 1500  # labelled rows that are fitted on at most
 CHUNK = 1 << 19  # bytes of text at a time; bounds the temporaries of the byte n-grams
 SIZES = (3, 5)
 BLANKS = 64  # zero vectors added to each average, so that a word or two do not decide
