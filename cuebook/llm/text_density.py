@@ -36,7 +36,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
                   "summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head header iframe input "
-                  "label legend link map math menu meta meter nav noembed noframes noscript object optgroup option output progress "
+                  "label legend link map menu meta meter nav noembed noframes noscript object optgroup option output progress "
                   "script select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog directory form menu menubar navigation search status "
                   "tablist toolbar".split())
@@ -44,7 +44,7 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising alert ban
                   "commentlist consent cookie cookies copyright dialog discussion disqus footer header login masthead menu modal nav navbar "
                   "navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion "
                   "recommended related reply replies respond responses search share sharing sidebar signin signup skip social sponsor "
-                  "sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
+                  "sponsored subscribe subscription toolbar topbar widget widgets".split())
 KEEP = frozenset("html body article main".split())
 # An open element (key) ends where one of these starts.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
