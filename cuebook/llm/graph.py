@@ -15,26 +15,31 @@ def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node reachable.
 
-    Each round takes the least label among the neighbours, hooks the old label's node to it, and
-    halves the way to the root, so rounds grow with the logarithm of a chain's length. Labels
-    are written between rounds. Aggregates combine before the shuffle; joins are plain
-    shuffle joins whose hot keys Spark may split. Rows with a null end are ignored."""
-    links = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
-    links = written(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(links.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumn("moved", F.lit(True)), "labels")
-    while True:
-        old = labels.select("a", "label")
-        near = links.join(old.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        near = near.join(old, "a")
-        best = near.select("a", F.least("near", "label").alias("label")) \
-            .unionAll(near.filter("near < label").select(F.col("label").alias("a"), F.col("near").alias("label"))) \
-            .groupBy("a").agg(F.min("label").alias("label"))
-        ahead = best.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        jumped = best.join(ahead, "label", "left").select("a", F.coalesce(F.least("label", "next"), "label").alias("label"))
-        labels = written(jumped.join(old.select("a", F.col("label").alias("old")), "a")
-                         .select("a", "label", (F.col("label") < F.col("old")).alias("moved")), "labels")
-        if labels.filter("moved").isEmpty():
-            return labels.select(F.col("a").alias("node"), F.col("label").alias("root"))
+    Each round moves every node to its smallest neighbour, if that is smaller, or on to the place
+    that one moves to, and contracts the edges to the nodes moved to; a node that others moved to while it moved itself leaves an edge. So
+    edges and nodes shrink from round to round, and rounds grow with the logarithm of a chain's
+    length. Edges and moves are written between rounds. Aggregates combine before the shuffle;
+    joins are plain joins of written tables, whose hot keys Spark may split. Rows with a null end
+    are ignored."""
+    links = written(_pairs(edges.select("a", "b").filter("a is not null and b is not null")), "links")
+    roots = written(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "nodes")
+    while not links.isEmpty():
+        ends = links.select(F.col("b").alias("node"), F.col("a").alias("near")).unionAll(links.select(F.col("a").alias("node"), F.col("b").alias("near")))
+        step = ends.groupBy("node").agg(F.min("near").alias("to")).filter("to < node")
+        ahead = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        moves = written(step.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "moves")
+        first = moves.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
+        second = moves.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
+        moved = links.join(first, "a", "left").join(second, "b", "left") \
+            .select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        chains = moves.select(F.col("to").alias("b")).distinct().join(second, "b").select(F.col("to_b").alias("a"), "b")
+        links = written(_pairs(moved.unionAll(chains)), "links")
+        roots = written(roots.join(moves.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+    return roots.select("node", "root")
