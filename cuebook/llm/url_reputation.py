@@ -57,36 +57,36 @@ def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
         .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("x"))
     named = written(counted.select("host", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0).alias("domain"),
                                    F.substring_index("host", ".", -1).alias("suffix"), "n", "x"), "outcomes")
-    top = named.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("x"), F.lit(0)).alias("x")) \
-        .select(F.lit("").alias("key"), (F.col("x") + 1.0).alias("a"), (F.col("n") - F.col("x") + 1.0).alias("b"))
-    above, found = top, top
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("x"), F.lit(0)).alias("x")).first()
+    top = (float(total.x) + 1.0, float(total.n - total.x) + 1.0)  # two numbers
+    found = outcomes.sparkSession.createDataFrame([("", *top)], "key string, a double, b double")
+    above = None
     for level, parent in zip(LEVELS, ("", *LEVELS), strict=False):
-        up = F.lit("") if level == "suffix" else F.col(parent)
-        own = named.filter(F.col(level) != "").groupBy(F.col(level).alias("key"), up.alias("up")).agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-        # Parents are few per level and Spark broadcasts them only if they are small.
-        prior = above.select(F.col("key").alias("up"), (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-        own = own.join(prior, "up")
+        own = named.filter(F.col(level) != "")
+        if above is None:
+            own = own.groupBy(F.col(level).alias("key")).agg(F.sum("n").alias("n"), F.sum("x").alias("x")).withColumn("m", F.lit(top[0] / sum(top)))
+        else:
+            prior = above.select(F.col("key").alias("up"), (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
+            own = own.groupBy(F.col(level).alias("key"), F.col(parent).alias("up")).agg(F.sum("n").alias("n"), F.sum("x").alias("x")).join(prior, "up")
         even = F.col("m") * (1 - F.col("m"))
         spread = own.agg(F.sum(F.pow(F.col("x") - F.col("n") * F.col("m"), 2) - F.col("n") * even).alias("over"),
-                         F.sum(F.col("n") * (F.col("n") - 1) * even).alias("room"))
-        share = F.least(F.greatest(F.coalesce(F.col("over") / F.when(F.col("room") > 0, F.col("room")), F.lit(0.0)), F.lit(0.01)), F.lit(0.9))
-        strength = spread.select((1 / share - 1).alias("s"), F.lit(1).alias("one"))
-        own = own.withColumn("one", F.lit(1)).join(F.broadcast(strength), "one")  # one row
-        above = written(own.select("key", (F.col("s") * F.col("m") + F.col("x")).alias("a"),
-                                   (F.col("s") * (1 - F.col("m")) + F.col("n") - F.col("x")).alias("b")), level)
+                         F.sum(F.col("n") * (F.col("n") - 1) * even).alias("room")).first()
+        share = min(max(spread.over / spread.room if spread.room else 0.0, 0.01), 0.9)
+        strength = F.lit(1 / share - 1)  # one number per level
+        above = written(own.select("key", (strength * F.col("m") + F.col("x")).alias("a"),
+                                   (strength * (1 - F.col("m")) + F.col("n") - F.col("x")).alias("b")), level)
         found = found.unionAll(above.select(F.concat(F.lit(level + ":"), "key").alias("key"), "a", "b"))
-    total = F.col("a") + F.col("b")
-    mean = F.col("a") / total
+    both = F.col("a") + F.col("b")
+    mean = F.col("a") / both
     return found.select("key", F.round(mean, 6).alias("bad_mean"),
-                        F.round(mean - z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1))), 6).alias("bad_bound"))
+                        F.round(mean - z * F.sqrt(F.col("a") * F.col("b") / (both * both * (both + 1))), 6).alias("bad_bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = LIMIT, z: float = Z,
           id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, bad_mean, bad_bound) for each page."""
-    url = F.col("_cue_url")
     own = pages.select(pages[id_col].alias("_cue_id"), pages[url_col].alias("_cue_url")) \
-        .select("_cue_id", host_of(url).alias("host"), path_of(url).alias("path"))
+        .select("_cue_id", host_of(F.col("_cue_url")).alias("host"), path_of(F.col("_cue_url")).alias("path"))
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     known = reputations(outcomes.select("url", "bad"), z)
     rep = known.select("key", F.struct("bad_mean", "bad_bound").alias("r"))
@@ -97,8 +97,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], l
         F.struct(F.lit(2).alias("depth"), F.concat(F.lit("domain:"), "domain").alias("key")),
         F.struct(F.lit(1).alias("depth"), F.concat(F.lit("suffix:"), "suffix").alias("key")),
         F.struct(F.lit(0).alias("depth"), F.lit("").alias("key")))).alias("k")).select("host", "k.*")
-    best = keyed.join(rep, "key").groupBy(F.col("host").alias("_cue_host")).agg(F.max(F.struct("depth", "r")).alias("b")) \
-        .select("_cue_host", "b.r.*")
+    # Written, so that the join below is one of two plain tables, where Spark may split a host with many pages.
+    best = written(keyed.join(rep, "key").groupBy(F.col("host").alias("_cue_host")).agg(F.max(F.struct("depth", "r")).alias("b"))
+                   .select("_cue_host", "b.r.*"), "hosts")
     judged = own.join(best, own["host"] == best["_cue_host"], "left")
     by_method = F.when(F.col("bad_bound") > limit, "block").otherwise("allow")
     return judged.select(F.col("_cue_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(said, by_method).alias("verdict"),
@@ -108,6 +109,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], l
 def allowed(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = LIMIT, z: float = Z,
             url_col: str = "url") -> DataFrame:
     """The rows of ``pages``, all columns, whose url is not blocked."""
-    uid = pages.withColumn("_cue_uid", F.monotonically_increasing_id())
-    bad = judge(uid, outcomes, rules, limit, z, "_cue_uid", url_col).filter("verdict = 'block'").select("_cue_uid")
-    return uid.join(bad, "_cue_uid", "left_anti").select(*pages.columns)
+    judged = judge(pages, outcomes, rules, limit, z, url_col, url_col).filter("verdict = 'block'")
+    blocked = judged.select(F.col(url_col).alias("_cue_blocked")).distinct()  # a verdict follows from the url alone
+    return pages.join(blocked, pages[url_col].eqNullSafe(F.col("_cue_blocked")), "left_anti")
