@@ -88,7 +88,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      partitions: int | None = None, digest: Callable[[Column], Column] = digest_of) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for each row; the last is the ``digest``."""
     rows, state = states(docs, id_col, text_col, batch, partitions, digest)
-    state = state.select("digest", F.col("kept.id").alias("keep_id"), F.col("copies").alias("group_size"))
+    # Written, so that the joins with it are of plain tables, where Spark may split a hot digest.
+    state = written(state.select("digest", F.col("kept.id").alias("keep_id"), F.col("copies").alias("group_size")), "state")
     hits = written(state.filter("group_size > 1"), "hits")
     # Full bytes: the texts of hits only, against the text that stays.
     text = text_of(docs[text_col])
