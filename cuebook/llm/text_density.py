@@ -1,7 +1,11 @@
 """Main text of HTML pages by composite text density.
 
-A page becomes a tree of elements. What is never article text goes first: elements whose name, role
-or class words say menu, header, footer, sidebar, notice, advert, form, script, style or comments.
+A page becomes a tree of elements. What is never article text goes first: elements whose name or role
+says menu, header, footer, notice, form, script or style. A class or id that is a plain name for such
+a thing (``ad``, ``site-footer``, ``comment-list``, but neither ``has-sidebar`` nor ``search-result``)
+drops its element too, unless that holds an article or main element with unlinked text. A hint word
+does not count on a page where the elements it names hold the larger part of the unlinked characters
+and no article or main element stands apart from them; for comments that takes all of them.
 For every node left, with C characters and T tags below it, of which LC and LT in links,
 
     density = C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
@@ -23,7 +27,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,6 +50,12 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising alert ban
                   "navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion "
                   "recommended related reply replies respond responses search share sharing sidebar signin signup skip social sponsor "
                   "sponsored subscribe subscription toolbar topbar widget widgets".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus reply replies respond responses".split())
+# Words that make a name tell what a page has or lacks, and words that add nothing to one.
+ABOUT = frozenset("has have having with without no non not hide hides show shows".split())
+PLAIN = frozenset("area articles author bar block body bottom box button buttons col column container content desktop entries form group "
+                  "holder home icon icons inner item items left link links list main meta mobile outer pages panel posts primary right row "
+                  "secondary section slot stories text thread title toggle top trail unit wrap wrapper".split())
 KEEP = frozenset("html body article main".split())
 # An open element (key) ends where one of these starts.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
@@ -74,14 +85,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "", page[at:]
 
 
-def _never(name: str, rest: str) -> bool:
-    if name in NEVER:
-        return True
-    if name in KEEP or "=" not in rest:
-        return False
-    given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(rest)}
-    said = set(WORD.findall(f"{given.get('class', '')} {given.get('id', '')}"))
-    return given.get("role", "") in ROLES or bool(said & HINTS)
+def _given(rest: str) -> dict[str, str]:
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(rest)} if "=" in rest else {}
+
+
+def _never(name: str, given: dict[str, str]) -> bool:
+    return name in NEVER or name not in KEEP and given.get("role", "") in ROLES
+
+
+def _named(given: dict[str, str]) -> set[str]:
+    """The hint words that a class or id is a plain name for: its last word that says something, in names without has-, with-, no-."""
+    found = set()
+    for token in f"{given.get('class', '')} {given.get('id', '')}".split():
+        words = WORD.findall(token.split("--")[0])
+        while len(words) > 1 and (words[-1] in PLAIN or words[-1][0].isdigit() or len(words[-1]) == 1):
+            words.pop()
+        if words and words[-1] in HINTS and not ABOUT & set(words):
+            found.add(words[-1])
+    return found
 
 
 class Page:
@@ -90,6 +111,7 @@ class Page:
     def __init__(self, page: str):
         self.name, self.parent, self.end, self.texts = ["#root"], [0], [0], []
         self.marks: list[tuple[int, str]] = []  # (node, text), or (node, "") where a block begins or ends
+        self.hints: dict[int, set[str]] = {}  # hint words that name a node
         stack, dropped = [0], 0
         for kind, name, rest in tokens(page):
             if kind == "text":
@@ -98,11 +120,14 @@ class Page:
             elif kind == "open":
                 if not dropped:
                     self._finish(stack, name)
-                if dropped or (name not in VOID and _never(name, rest)):
+                given = {} if dropped or name in VOID else _given(rest)
+                if dropped or (name not in VOID and _never(name, given)):
                     dropped = self._skip(stack, name, dropped)
                 elif name == "br":
                     self.marks.append((stack[-1], " "))
                 else:
+                    if words := _named(given):
+                        self.hints[len(self.name)] = words
                     self._open(stack, name)
             elif name in VOID:
                 continue
@@ -113,6 +138,8 @@ class Page:
         while len(stack) > 1:
             self._pop(stack) if isinstance(stack[-1], int) else stack.pop()
         self.end[0] = len(self.name)
+        self.gone = self._gone()
+        self.marks = [m for m in self.marks if not self.gone[m[0]]]
 
     def _open(self, stack: list, name: str) -> None:
         node = len(self.name)
@@ -173,6 +200,53 @@ class Page:
             return 0
         return dropped
 
+    def unlinked(self) -> list[int]:
+        """Characters below each node outside links."""
+        n = len(self.name)
+        chars, linked = [0] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.name[i] == "a"
+        for node, text in self.marks:
+            chars[node] += 0 if linked[node] else len(text.strip())
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        return chars
+
+    def _gone(self) -> list[bool]:
+        """For each node: whether it lies in an element that a hint word drops."""
+        gone = [False] * len(self.name)
+        if not self.hints:
+            return gone
+        chars = self.unlinked()
+        articles = [i for i, name in enumerate(self.name) if name in ("article", "main") and chars[i] and i not in self.hints]
+
+        def holds(i: int, sorted_nodes: list[int]) -> bool:
+            at = bisect_right(sorted_nodes, i)
+            return at < len(sorted_nodes) and sorted_nodes[at] < self.end[i]
+
+        named = {i: words for i, words in self.hints.items() if self.name[i] not in KEEP and not holds(i, articles)}
+
+        def outermost(words: Set[str]) -> list[int]:
+            found, end = [], 0
+            for i in named:
+                if i >= end and named[i] & words:
+                    found.append(i)
+                    end = self.end[i]
+            return found
+
+        said = sum(chars[i] for i in outermost(COMMENTS))
+        void = set()
+        for word in set().union(*named.values()):
+            mine = outermost({word})
+            held = sum(chars[i] for i in mine)
+            larger = held == chars[0] if word in COMMENTS else 2 * held > chars[0] - said
+            if larger and all(holds(a, mine) for a in articles):
+                void.add(word)
+        for i in named:
+            if named[i] - void:
+                gone[i:self.end[i]] = [True] * (self.end[i] - i)
+        return gone
+
     def densities(self) -> list[float]:
         n = len(self.name)
         chars, links, tags, anchors = [0] * n, [0] * n, [0] * n, [0] * n
@@ -180,11 +254,11 @@ class Page:
             chars[node] += len(text.strip())
         for i in range(n - 1, 0, -1):
             if self.name[i] == "a":
-                links[i], anchors[i] = chars[i], anchors[i] + 1
+                links[i], anchors[i] = chars[i], anchors[i] + (not self.gone[i])
             p = self.parent[i]
             chars[p] += chars[i]
             links[p] += links[i]
-            tags[p] += tags[i] + 1
+            tags[p] += tags[i] + (not self.gone[i])
             anchors[p] += anchors[i]
         ratio = links[0] / max(chars[0], 1)
         out = []

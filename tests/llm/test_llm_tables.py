@@ -260,3 +260,23 @@ def test_main_text(spark):
     for (i, _, h, _, _) in rows:
         assert got[i] == (PAGES[h], len(PAGES[h])), h
     assert text_density.extract(pages.limit(0)).collect() == []
+
+
+STORY = "<p>The first part of the story, told at length.</p><p>And the second one.</p>"
+TOLD = "The first part of the story, told at length.\n\nAnd the second one."
+THREAD = "<div class='comment-list'><p>No, no, no, and here is why, at much greater length than the whole of the story itself was told.</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'><article>{STORY}</article></div>", f"<div id='page' class='with-header'><article>{STORY}</article></div>",
+    f"<section class='search-result'><article>{STORY}</article></section>", f"<div class='sidebar'><main>{STORY}</main></div>",
+    f"<div class='no-comments'>{STORY}</div>", f"<div class='widget'>{STORY}</div><div class='site-footer'>Imprint.</div>{THREAD}",
+    f"<div><p class='ad'>Buy this!{STORY}</div>"])
+def test_main_text_stays_in_wrappers_with_hint_words(page):
+    assert text_density.main_text(page) == TOLD
+
+
+def test_main_text_drops_plain_names():
+    assert text_density.main_text(f"<article>{STORY}</article>{THREAD}<div class='sidebar'><p>{'About us. ' * 40}</p></div>") == TOLD
+    assert text_density.main_text("<article><p>Pay is due.</p><p class='notice-period'>Three months.</p><p class='cookie-notice'>We bake.</p></article>") \
+        == "Pay is due.\n\nThree months."
