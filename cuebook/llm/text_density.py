@@ -11,9 +11,12 @@ For every node left, with C characters and T tags below it, of which LC and LT i
     density = C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
 
 so text without links is dense and lists of links are thin. The node whose children's densities
-sum highest is the core. If the core lies in an article or main element, that element is the text.
-Otherwise the least density on the path from the core to the body is the threshold, and the core,
-with those subtrees beside the path that reach the threshold, is the text.
+sum highest is the core. The least density on the path from the core to the body is the threshold,
+and the core, with those subtrees and bare blocks beside the path that reach the threshold, is the
+text. Article and main elements only add: inside the nearest one that holds the core, what stands
+beside the path is text too unless most of its characters are linked; and another article or main
+element is text, as the density of a short one is low, where it has at least half as many unlinked
+characters a tag as some node of the path, and most of its characters are unlinked.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by a blank line; a line break inside a block is white space.
@@ -247,9 +250,10 @@ class Page:
                 gone[i:self.end[i]] = [True] * (self.end[i] - i)
         return gone
 
-    def densities(self) -> list[float]:
+    def _densities(self) -> None:
+        """Characters, tags, and those of them in links, below each node; densities."""
         n = len(self.name)
-        chars, links, tags, anchors = [0] * n, [0] * n, [0] * n, [0] * n
+        chars, links, tags, anchors = self.counts = [0] * n, [0] * n, [0] * n, [0] * n
         for node, text in self.marks:
             chars[node] += len(text.strip())
         for i in range(n - 1, 0, -1):
@@ -260,48 +264,79 @@ class Page:
             links[p] += links[i]
             tags[p] += tags[i] + (not self.gone[i])
             anchors[p] += anchors[i]
-        ratio = links[0] / max(chars[0], 1)
-        out = []
-        for c, lc, t, lt in zip(chars, links, tags, anchors, strict=True):
-            if not c:
-                out.append(0.0)
-                continue
-            base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
-            out.append(c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / max(math.log(base), 0.1))
-        return out
+        self.ratio = links[0] / max(chars[0], 1)
+        self.density = [self._dense(*x) for x in zip(*self.counts, strict=True)]
+
+    def _dense(self, c: int, lc: int, t: int, lt: int) -> float:
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + self.ratio * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / max(math.log(base), 0.1)
+
+    def _blocks(self) -> Iterator[list[int]]:
+        """The marks of each block, by their places."""
+        now: list[int] = []
+        for k, (_, text) in enumerate(self.marks):
+            if text:
+                now.append(k)
+            else:
+                yield now
+                now = []
+        yield now
 
-    def selected(self) -> list[tuple[int, int]]:
-        """Ranges of nodes that are the text."""
-        density = self.densities()
+    def selected(self) -> list[bool]:
+        """For each mark: whether it is the text."""
+        self._densities()
+        density, (chars, links, tags, _) = self.density, self.counts
         sums = [0.0] * len(density)
         for i in range(1, len(density)):
             sums[self.parent[i]] += density[i]
         core = max(range(len(sums)), key=lambda i: (sums[i], -i))
+        if not core:
+            return [True] * len(self.marks)
         path = [core]
         while path[-1]:
             path.append(self.parent[path[-1]])
-        for node in path:
-            if self.name[node] in ("article", "main"):
-                return [(node, self.end[node])]
-        floor = min(density[i] for i in path if self.name[i] not in ("#root", "html")) if len(path) > 2 else min(density[i] for i in path)
-        above = set(path[1:])
-        beside = [i for i in range(1, len(density)) if self.parent[i] in above and i not in path and density[i] >= floor]
-        return [(core, self.end[core]), *((i, self.end[i]) for i in beside)] if core else [(0, self.end[0])]
+        measured = [i for i in path if self.name[i] not in ("#root", "html")] if len(path) > 2 else path
+        floor = min(density[i] for i in measured)
+        article = [i for i, name in enumerate(self.name) if name in ("article", "main") and i not in self.hints]
+        evidence = set(article)
+        home = next((k for k, i in enumerate(path) if i in evidence), 0)
+        within, above = set(path[1:home + 1]), set(path[1:])
+
+        inside = [False] * len(density)
+
+        def take(i: int) -> None:
+            inside[i:self.end[i]] = [True] * (self.end[i] - i)
+
+        take(core)
+        for i in range(1, len(density)):
+            p = self.parent[i]
+            if p in above and i not in above and chars[i] and (density[i] >= floor or p in within and 2 * links[i] <= chars[i]):
+                take(i)
+        rate = min((chars[i] - links[i]) / max(tags[i], 1) for i in measured)
+        for i in article:
+            if i not in above and not inside[i] and chars[i] and 2 * links[i] <= chars[i] and 2 * (chars[i] - links[i]) / max(tags[i], 1) >= rate:
+                take(i)
+
+        kept = [inside[node] for node, _ in self.marks]
+        for block in self._blocks():
+            if bare := [self.marks[k][0] for k in block if self.marks[k][0] in above]:
+                nodes = {self.marks[k][0] for k in block} - above
+                anchors = {i for i in nodes if self.name[i] == "a"}
+                size = {k: len(self.marks[k][1].strip()) for k in block}
+                c, lc = sum(size.values()), sum(size[k] for k in block if self.marks[k][0] in anchors)
+                if c and (self._dense(c, lc, len(nodes), len(anchors)) >= floor or within.issuperset(bare) and 2 * lc <= c):
+                    for k in block:
+                        kept[k] = True
+        return kept
 
     def text(self) -> str:
-        chosen = self.selected()
-        inside = [False] * len(self.name)
-        for a, b in chosen:
-            inside[a:b] = [True] * (b - a)
-        blocks, now = [], []
-        for node, text in [*self.marks, (0, "")]:
-            if text:
-                if inside[node]:
-                    now.append(text)
-            elif now:
-                if block := " ".join("".join(now).split()):
-                    blocks.append(block)
-                now = []
+        kept = self.selected()
+        blocks = []
+        for marks in self._blocks():
+            if block := " ".join("".join(self.marks[k][1] for k in marks if kept[k]).split()):
+                blocks.append(block)
         return "\n\n".join(blocks)
 
 

@@ -280,3 +280,29 @@ def test_main_text_drops_plain_names():
     assert text_density.main_text(f"<article>{STORY}</article>{THREAD}<div class='sidebar'><p>{'About us. ' * 40}</p></div>") == TOLD
     assert text_density.main_text("<article><p>Pay is due.</p><p class='notice-period'>Three months.</p><p class='cookie-notice'>We bake.</p></article>") \
         == "Pay is due.\n\nThree months."
+
+
+def paragraphs(name, n, words):
+    return "".join(f"<p>{name}{i} {'abcde ' * words}</p>" for i in range(n))
+
+
+ONE, LINKS = paragraphs("one", 10, 40), "<ul>" + "<li><a href=/x>elsewhere</a>" * 30 + "</ul>"
+BESIDE = {f"<body><main><article>{ONE}</article><article>{paragraphs('two', 10, 40)}</article></main>": "one0 one9 two0 two9",
+          f"<body><article>{ONE}</article><article>{paragraphs('two', 3, 30)}</article><article>{paragraphs('three', 6, 35)}</article>{LINKS}": "one0 two0 two2 three5",
+          f"<body><div><div><article>{ONE}</article></div><div><article>{paragraphs('two', 4, 20)}</article></div></div>": "one0 one9 two0 two3",
+          f"<body><div>{paragraphs('before', 8, 40)}</div><article>{ONE}</article>{LINKS}": "before0 before7 one0 one9",
+          f"<body>bare {'abcde ' * 900}<article>{ONE}</article>{LINKS}": "bare one0 one9",
+          f"<body><main><h1>title</h1>lead <b>in</b> brief<div>{ONE}</div>{LINKS}</main>": "title lead in brief one0 one9"}
+
+
+@pytest.mark.parametrize("page", BESIDE)
+def test_main_text_stands_in_several_places(page):
+    got = text_density.main_text(page)
+    at = [f" {' '.join(got.split())} ".find(f" {w} ") for w in BESIDE[page].split()]
+    assert -1 not in at and at == sorted(at)
+    assert "elsewhere" not in got
+
+
+def test_main_text_without_teasers():
+    teaser = "<article><h3><a href=/x>elsewhere there is more to read</a></h3><p>and more</p></article>"
+    assert text_density.main_text(f"<main><article>{STORY}</article>{teaser * 3}</main>") == TOLD
