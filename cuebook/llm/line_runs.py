@@ -11,7 +11,8 @@ whose longest common prefix is at least ``min_lines``. Doubling ends at that dep
 only divide intervals and change nothing about what is a copy. The smallest place of an
 interval (by id, then line) stays, the others are later copies; their windows together are the
 later copies of all maximal repeated runs, and those are deleted. A line of at least
-``long_words`` words is a run by itself.
+``long_words`` words is a run by itself. With ``run_words``, so are fewer than ``min_lines`` lines that
+have as many words together; ranks then grow by one line a round, so that each depth is seen.
 
 Lines are compared as they are; blank lines are kept. Null and empty texts have one blank line. Rows
 equal in id and text are one document, and all get its result; rows with a null id count as
@@ -20,6 +21,8 @@ smallest. Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +60,8 @@ def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.size(F.array_remove(F.split(F.col("x.s"), r"[ \t\r\f\x0B]+"), "")).alias("words"))
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text",
+                 run_words: int | None = None) -> DataFrame:
     """(doc, line) of every line to delete, once."""
     place = F.struct("id", "doc", "i")
     lines = _ranked(sequences(docs, id_col, text_col), ["key"], "r").drop("key")
@@ -68,21 +72,31 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int =
         return rows.join(first, keys).filter(place != F.col("_cue_first"))
 
     gone = copies(lines.filter(F.col("words") >= long_words), ["r"]).select("doc", "line")
-    suffixes, depth = lines.select("doc", "id", "i", "r"), 1
+
+    def windows(suffixes: DataFrame, depth: int) -> DataFrame:
+        return copies(suffixes, ["r"]).select("doc", F.explode(F.sequence("i", F.col("i") + (depth - 1))).alias("i"))
+
+    # For run_words a suffix has the words of its first ``depth`` lines, and those of the last of them.
+    sized = [F.col("words"), F.col("words").alias("last")] if run_words else []
+    suffixes, depth, found = lines.select("doc", "id", "i", "r", *sized), 1, []
     while depth < min_lines:
-        h = min(depth, min_lines - depth)  # the last round overlaps, and ends at min_lines exactly
-        ahead = suffixes.select("doc", (F.col("i") - h).alias("i"), F.col("r").alias("r2"))
+        h = 1 if run_words else min(depth, min_lines - depth)  # the last round overlaps, and ends at min_lines exactly
+        ahead = suffixes.select("doc", (F.col("i") - h).alias("i"), F.col("r").alias("r2"), *[F.col("last").alias("last2") for _ in sized[:1]])
         pairs = written(suffixes.join(ahead, ["doc", "i"]), "pairs")
-        suffixes = written(_ranked(pairs, ["r", "r2"], "rank").select("doc", "id", "i", F.col("rank").alias("r")), "suffixes")
+        sums = [(F.col("words") + F.col("last2")).alias("words"), F.col("last2").alias("last")] if run_words else []
+        suffixes = written(_ranked(pairs, ["r", "r2"], "rank").select("doc", "id", "i", F.col("rank").alias("r"), *sums), "suffixes")
         depth += h
-    windows = copies(suffixes, ["r"]).select("doc", F.explode(F.sequence("i", F.col("i") + (min_lines - 1))).alias("i"))
-    runs = windows.distinct().join(lines.select("doc", "i", "line"), ["doc", "i"]).select("doc", "line")
+        if run_words and depth < min_lines:
+            found.append(windows(suffixes.filter(F.col("words") >= run_words), depth))
+    found.append(windows(suffixes, min_lines))
+    runs = reduce(DataFrame.unionAll, found).distinct().join(lines.select("doc", "i", "line"), ["doc", "i"]).select("doc", "line")
     return gone.unionAll(runs).distinct()
 
 
-def delete_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def delete_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text",
+                run_words: int | None = None) -> DataFrame:
     """(id, n_lines, n_deleted, text): what is left of each text, its lines joined by line feeds."""
-    copies = later_copies(docs, min_lines, long_words, id_col, text_col)
+    copies = later_copies(docs, min_lines, long_words, id_col, text_col, run_words)
     # Deleted lines as sorted runs [a, b): numbers less their index in the sorted list are equal inside a run.
     listed = copies.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("l"))
     step = F.transform("l", lambda x, n: F.struct((x - n).alias("run"), x.alias("at")))

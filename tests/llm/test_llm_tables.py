@@ -111,6 +111,31 @@ def test_line_runs_of_any_length(spark, run):
     assert rows_of(line_runs.delete_runs(df, run)) == sorted(brute.line_runs(rows, run), key=repr)
 
 
+@pytest.mark.parametrize(("run", "least"), [(3, 50), (3, 51), (4, 50), (5, 70), (2, 50)])
+def test_line_runs_of_many_words(spark, run, least):
+    """Fewer than ``run`` lines are a run if they have ``least`` words together."""
+    a, b, c, d = (f"{x} " * n for x, n in (("a", 25), ("b", 25), ("c", 20), ("d", 3)))
+    rows = [(1, f"{a}\n{b}\n{c}\n{d}"), (2, f"{a}\n\n{b}\nz"), (3, f"y\n{b}\n{c}\n{d}"), (4, f"{c}\n{a}\n{b}\n{c}\nx"), (5, f"{b}\n{a}"),
+            (6, f"{b}\n{a}\n{b}\n{a}"), (7, f"{d}\n{d}\n{d}"), (8, None), (9, "e " * 40), (10, "e " * 40 + "\nw")]
+    seen, want = set(), []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        full, gone = [n for n, x in enumerate(lines) if x.strip()], set()
+        for p, _ in enumerate(full):
+            for k in range(1, run + 1):
+                w = full[p:p + k]
+                words = sum(len(lines[n].split()) for n in w)
+                if len(w) == k and (k == run or words >= (30 if k == 1 else least)):
+                    key = (k, *[lines[n] for n in w])
+                    gone.update(w if key in seen else [])
+                    seen.add(key)
+        want.append((i, len(lines), len(gone), "\n".join(x for n, x in enumerate(lines) if n not in gone)))
+    got = line_runs.delete_runs(spark.createDataFrame(rows, "doc_id long, text string"), run, run_words=least)
+    assert rows_of(got) == sorted(want, key=repr)
+    if (run, least) == (3, 50):
+        assert dict((r[0], r[3]) for r in want)[2] == "\nz"
+
+
 def exact(rows):
     groups = {}
     for i, t in rows:
