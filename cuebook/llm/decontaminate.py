@@ -7,9 +7,9 @@ left out, so the array is sparse and exact. Every test suffix is then found by b
 the range of the array that starts with its window gives all places, and places on one
 diagonal that follow each other merge into the longest verbatim match.
 
-The benchmark is the stated query set. It is sent to the executors in blocks of at most
-``block_bytes`` of text; one block is one scan of the documents without a shuffle, more blocks are
-more scans whose sparse hits meet by the hash of the text.
+The benchmark is the stated query set. It passes through the driver to the executors in blocks of
+about ``block_bytes`` of text, whole items, one block at a time; one block is one scan of the
+documents without a shuffle, more blocks are more scans whose sparse hits meet by the hash of the text.
 
 Null and empty texts have no words and no hits. Items without words, or with a null id, have no
 window. Repeated items count once, repeated rows each get a row. Extra columns are ignored by
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .bytewords import NON_ALNUM_BYTES, blocks, hashes, words
 from .common import text_of, written
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20  # a set of 590,000 windows of ten words: 340 MB of the driver at its peak, 54 MB sent
 FOUND = "struct<n_words:long,n_hit:long,items:array<string>,spans:array<struct<a:long,b:long>>>"
 MATCHES = "array<struct<item_id:string,item_start:long,doc_start:long,length:long>>"
 
@@ -210,25 +210,34 @@ def _covered(spans: Column) -> Column:
     return step["n"]
 
 
-def test_sets(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text") -> list[TestSet]:
-    """The benchmark in blocks of about ``block_bytes`` of text, read to the driver one at a time."""
+def test_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """The benchmark's items (i, t) in blocks of about ``block_bytes`` of text; an item is never cut."""
     items = benchmark.select(benchmark[id_col].cast("string").alias("i"), text_of(benchmark[text_col]).alias("t")).filter("i is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    return [TestSet([(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()], window) for k in range(n)]
+    if n == 1:
+        return [items]
+    cut = items.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(n)))
+    cut = written(cut.repartitionByRange("block").sortWithinPartitions("block"), "items")  # a block reads its own row groups only
+    return [cut.filter(F.col("block") == k).select("i", "t") for k in range(n)]
 
 
-test_sets.__test__ = False
+test_blocks.__test__ = False
+
+
+def _built(block: DataFrame, window: int) -> TestSet:
+    """The driver holds one block's set at a time: callers write what it finds before they build the next."""
+    return TestSet([(r.i, r.t) for r in block.collect()], window)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, text_col: str) -> DataFrame:
     """``docs`` with a column ``_cue_found``."""
-    tests = test_sets(benchmark, window, block_bytes)
+    tests = test_blocks(benchmark, block_bytes)
     text = text_of(docs[text_col])
     if len(tests) == 1:
-        return docs.withColumn("_cue_found", _hits(tests[0], text))
+        return docs.withColumn("_cue_found", _hits(_built(tests[0], window), text))
     key = F.sha2(text, 256)
-    parts = [written(docs.select(key.alias("k"), _hits(t, text).alias("f")).filter("f.n_hit > 0")
+    parts = [written(docs.select(key.alias("k"), _hits(_built(t, window), text).alias("f")).filter("f.n_hit > 0")
                      .groupBy("k").agg(F.first("f").alias("f")), "hits") for t in tests]
     union = parts[0]
     for p in parts[1:]:
@@ -254,10 +263,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                     F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verbatim_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
+                     block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, item_start, doc_start, length) of every maximal verbatim match, in words."""
-    parts = [docs.select(docs[id_col].alias(id_col), F.explode(_longest(tests, text_of(docs[text_col]))).alias("m")).select(id_col, "m.*")
-             for tests in test_sets(benchmark, window)]
+    def matches(tests: TestSet) -> DataFrame:
+        return docs.select(docs[id_col].alias(id_col), F.explode(_longest(tests, text_of(docs[text_col]))).alias("m")).select(id_col, "m.*")
+
+    blocks_ = test_blocks(benchmark, block_bytes)
+    if len(blocks_) == 1:
+        return matches(_built(blocks_[0], window))
+    parts = [written(matches(_built(t, window)), "matches") for t in blocks_]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

@@ -1,6 +1,8 @@
 """Every operator on the awkward table: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import gc
 import hashlib
+import weakref
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,6 +218,26 @@ def test_longest_match(spark):
     assert rows_of(decontaminate.verbatim_matches(docs, bench)) == [(1, "7", 0, 23, 10), (1, "7", 5, 2, 20)]
 
 
+def test_benchmark_blocks_pass_one_at_a_time(spark, monkeypatch):
+    """The driver lets a block's set go before it builds the next."""
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(6)]
+    docs = spark.createDataFrame([(1, f"a {items[1][1]} b {items[4][1]}"), (2, items[5][1][:20])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    once = rows_of(decontaminate.contamination(docs, bench)), rows_of(decontaminate.verbatim_matches(docs, bench))
+    sets, most, build = weakref.WeakSet(), [], decontaminate.TestSet.__init__
+
+    def watched(self, given, window):
+        gc.collect()
+        most.append(len(sets))
+        if given:
+            sets.add(self)
+        build(self, given, window)
+
+    monkeypatch.setattr(decontaminate.TestSet, "__init__", watched)
+    cut = rows_of(decontaminate.contamination(docs, bench, block_bytes=100)), rows_of(decontaminate.verbatim_matches(docs, bench, block_bytes=100))
+    assert cut == once and len(most) > 2 and max(most) == 0
+
+
 def test_quality(spark, docs, none):
     good = [(i, f"the quick fox number {i} walks over a calm hill and sings a song {i % 7}", 1) for i in range(200)]
     bad = [(i, f"BUY!!! $$$ CHEAP*** PILLS### NOW {i}!!! " * 5, 0) for i in range(200, 400)]
