@@ -423,7 +423,10 @@ SELECT c_custkey, '***' AS c_name, c_nationkey, c_acctbal, c_mktsegment
 FROM customer ORDER BY c_custkey LIMIT 10
 """)
 def sample_masked(spark, sf):
-    return mask_columns(_t(spark, sf, "customer").orderBy("c_custkey").limit(10), ["c_name"])
+    """A sample that cuts its growing table; the source's own order says which rows."""
+    own = spark.newSession()  # so that the caller's views stay as they are
+    src = GovernedSource.open(own, {"customer": _t(own, sf, "customer").orderBy("c_custkey")}, masking=lambda d: mask_columns(d, ["c_name"]))
+    return src.scoped(["customer"]).sample("customer", 10)
 
 
 @query("value_stats_top50", """

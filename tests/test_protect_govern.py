@@ -253,3 +253,15 @@ def test_redaction_is_linear_on_one_long_word(spark):
     assert time.time() - clock < 30
     assert got[0].endswith("a [EMAIL]")
     assert [got[i] for i in range(1, len(texts))] == [redact_text_py(t) for t in texts[1:]]
+
+
+def test_sample_masked_samples_a_growing_table_through_the_source(spark, monkeypatch):
+    from cuebook.plans import catalog
+
+    taken, sample = [], GovernedSource.sample
+    monkeypatch.setattr(GovernedSource, "sample", lambda self, table, n, **how: taken.append((table, n)) or sample(self, table, n, **how))
+    got = catalog.sample_masked(spark, "/root/testdata/sf0.001")
+    rows, whole = got.collect(), catalog._t(spark, "/root/testdata/sf0.001", "customer")
+    assert taken == [("customer", 10)] and len(rows) == 10 < whole.count()
+    assert [r.c_custkey for r in rows] == [r.c_custkey for r in whole.select("c_custkey").orderBy("c_custkey").limit(10).collect()]
+    assert {r.c_name for r in rows} == {"***"}
