@@ -4,13 +4,15 @@ The word classes used here are byte classes: every separator is ASCII, so a UTF-
 is never cut. A column is walked in blocks of at most ``BLOCK`` bytes (a longer text is a
 block of its own) and all temporaries are bounded by the block.
 
-A word's hash is ``sum(T[b_i] * B**i) mod 2**64`` with a random table T, taken from prefix sums,
-then mixed. Equal words have equal hashes; two of a million different words share one with a
-probability around 1e-8.
+The hash of a word of at most ``LONG`` bytes is ``sum(T[b_i] * B**i) mod 2**64`` with a random table T,
+taken from prefix sums, then mixed. Such a sum has collisions for any B once words are some hundred bytes long
+(Thue-Morse words), so the hash of a longer word is a BLAKE2b digest. Equal words have equal hashes; two of a
+million different words share one with a probability around 1e-8.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,7 @@ import pyarrow as pa
 
 BLOCK = 1 << 19
 SLICE = 512  # rows
+LONG = 64  # bytes
 _SPAN = 1 << 18  # bytes that one round of prefix sums covers
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 3)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -100,27 +103,27 @@ def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each span; ``lower`` folds A-Z first."""
     table = _TABLE_LOWER if lower else _TABLE
-    out = np.empty(len(starts), dtype=np.uint64)
-    i, n = 0, len(starts)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    long = np.flatnonzero(ends - starts > LONG)
+    some = np.flatnonzero(ends - starts <= LONG) if len(long) else np.arange(len(starts))
+    first, last = starts[some], ends[some]
+    i, n = 0, len(some)
     with np.errstate(over="ignore"):
         while i < n:
-            base = int(starts[i])
-            j = int(np.searchsorted(ends, base + _SPAN, side="right"))
-            if j <= i:  # one span longer than a round: chained rounds
-                acc = np.uint64(0)
-                for at in range(base, int(ends[i]), _SPAN):
-                    part = raw[at:min(at + _SPAN, int(ends[i]))]
-                    acc = acc * _MULT + np.uint64(len(part)) + (table[part] * _POWER[:len(part)]).sum(dtype=np.uint64)
-                out[i] = acc
-                i += 1
-                continue
-            part = raw[base:int(ends[j - 1])]
+            base = int(first[i])
+            j = int(np.searchsorted(last, base + _SPAN, side="right")) if len(raw) > _SPAN else n
+            part = raw[base:int(last[j - 1])]
             sums = np.zeros(len(part) + 1, dtype=np.uint64)
             np.cumsum(table[part] * _POWER[:len(part)], out=sums[1:])
-            a, b = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (sums[b] - sums[a]) * _INVERSE[a]
+            a, b = first[i:j] - base, last[i:j] - base
+            out[some[i:j]] = (sums[b] - sums[a]) * _INVERSE[a]
             i = j
-        return mix(out)
+        out = mix(out)
+    for k in long.tolist():
+        span = raw[starts[k]:ends[k]]
+        span = (_LOWER[span] if lower else span).tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
+    return out
 
 
 def grams(h: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

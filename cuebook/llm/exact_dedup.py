@@ -118,6 +118,8 @@ def _apart(docs: DataFrame, state: DataFrame, stays: DataFrame, other: DataFrame
 
 
 def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay."""
-    gone = written(exact_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_cue_gone")).distinct(), "gone")
-    return docs.join(counted(gone), docs[id_col].eqNullSafe(F.col("_cue_gone")), "left_anti")
+    """The rows of ``docs``, all columns, that stay. A row goes by its id and digest, as an id may be on several texts."""
+    gone = written(exact_duplicates(docs, id_col, text_col).filter("not kept")
+                   .select(F.col(id_col).alias("_cue_gone"), F.col("text_sha256").alias("_cue_digest")).distinct(), "gone")
+    return docs.join(counted(gone), docs[id_col].eqNullSafe(F.col("_cue_gone"))
+                     & (digest_of(text_of(docs[text_col])) == F.col("_cue_digest")), "left_anti")

@@ -199,6 +199,13 @@ def _blocks_null(own: DataFrame, docs: int, shingles: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
                     block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row."""
+    rows = _decided(docs, k, percent, id_col, text_col, block_docs, block_shingles)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), "kept")
+
+
+def _decided(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, block_docs: int = BLOCK_DOCS,
+             block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(id, n, k1, k2, root, kept) for each row; k1 and k2 are the fingerprint of its set."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("t"))
     signed = written(texts.select("id", _signatures(F.col("t"), k).alias("s")).select("id", "s.*"), "signatures")
@@ -227,13 +234,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     named = classes.select("k1", "k2", "rep").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left") \
         .select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     own = signed.select("id", "n", "k1", "k2", F.when(F.col("id").isNull() | (F.col("n") == 0), True).otherwise(False).alias("alone"))
-    joined = own.filter("not alone").join(named, ["k1", "k2"]).select("id", "n", "root") \
-        .unionAll(own.filter("alone").select("id", "n", F.col("id").alias("root")))
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"),
-                         F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))
+    joined = own.filter("not alone").join(named, ["k1", "k2"]).select("id", "n", "k1", "k2", "root") \
+        .unionAll(own.filter("alone").select("id", "n", "k1", "k2", F.col("id").alias("root")))
+    return joined.withColumn("kept", F.coalesce(F.col("id") == F.col("root"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of the document with the smallest id of each component."""
-    gone = written(near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_cue_gone")).distinct(), "gone")
+    """The rows of ``docs``, all columns, of the document with the smallest id of each component.
+
+    An id that is on different texts does not say which of them is the copy: its rows all stay."""
+    gone = written(_decided(docs, k, percent, id_col, text_col).groupBy("id")
+                   .agg(F.max("kept").alias("kept"), F.min("k1").alias("a1"), F.max("k1").alias("b1"), F.min("k2").alias("a2"), F.max("k2").alias("b2"))
+                   .filter("not kept and a1 = b1 and a2 = b2").select(F.col("id").alias("_cue_gone")), "gone")
     return docs.join(counted(gone), docs[id_col] == F.col("_cue_gone"), "left_anti")

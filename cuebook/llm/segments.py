@@ -2,7 +2,8 @@
 
 A text is cut at safe boundaries: single spaces between two plain characters, where neither
 kind of tokenizer can form a token across the cut. Each distinct segment is encoded once
-per cache life, so a Zipf-like corpus costs a table lookup per segment. Boundaries next to
+per cache life, so a Zipf-like corpus costs a table lookup per segment; what the table finds by hash is
+compared byte by byte. Boundaries next to
 white space, or next to characters whose UTF-8 form starts like non-ASCII white space, are not
 cut, so the segments there are longer, and still exact.
 
@@ -96,56 +97,102 @@ class SegmentCache:
         return new
 
 
-class CachedEncoder:
-    """Token ids (``ids=True``) or token counts of segments, each distinct one encoded once."""
+class SegmentStore:
+    """Slots of segments: one for each distinct text, found by hash and confirmed byte by byte.
 
-    def __init__(self, encode, kind: str, ids: bool, limit: int = 1 << 19):
-        self.encode, self.kind, self.ids = encode, kind, ids
-        self.cache = SegmentCache(limit)
-        self._reset()
+    What is kept for a slot is up to ``keep``, which gets new slots with their texts."""
 
-    def _reset(self) -> None:
-        self.cache.clear()
-        self.counts = np.zeros(1 << 12, dtype=np.int32)
-        self.begin = np.zeros(1 << 12, dtype=np.int64)
-        self.pool = np.zeros(1 << 14, dtype=np.uint16)
-        self.used = 0
+    def __init__(self, limit: int = 1 << 19):
+        self.limit = limit
+        self.reset()
+
+    def reset(self) -> None:
+        self.cache = SegmentCache(self.limit)
+        self.size_of, self.place_of = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        self.bytes, self.filled = np.zeros(1 << 14, dtype=np.uint8), 0
+
+    def keep(self, numbers: np.ndarray, texts: list[str]) -> None:
+        raise NotImplementedError
 
     @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
+    def room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
 
+    def _store(self, numbers: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        parts = [raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        size, end = ends - starts, int(numbers[-1]) + 1
+        self.size_of, self.place_of = self.room(self.size_of, end), self.room(self.place_of, end)
+        self.size_of[numbers], self.place_of[numbers] = size, self.filled + np.cumsum(size) - size
+        joined = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.bytes = self.room(self.bytes, self.filled + len(joined))
+        self.bytes[self.filled:self.filled + len(joined)] = joined
+        self.filled += len(joined)
+        self.keep(numbers, [p.decode("utf-8") for p in parts])
+
+    def _differ(self, slots: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Segments whose bytes are not those of their slot."""
+        size = ends - starts
+        wrong = size != self.size_of[slots]
+        like = np.flatnonzero(~wrong)
+        before = np.zeros(len(like) + 1, dtype=np.int64)
+        np.cumsum(size[like], out=before[1:])
+        step = np.arange(int(before[-1]))
+        own = raw[step + np.repeat(starts[like] - before[:-1], size[like])]
+        kept = self.bytes[step + np.repeat(self.place_of[slots[like]] - before[:-1], size[like])]
+        wrong[like[np.searchsorted(before, np.flatnonzero(own != kept), side="right") - 1]] = True
+        return np.flatnonzero(wrong)
+
     def slots(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = hashes(raw, starts, ends, lower=False)
         slots = self.cache.find(h)
         miss = np.flatnonzero(slots < 0)
-        if not len(miss):
-            return slots
-        new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-        if self.cache.size and self.cache.size + len(new) > self.cache.limit:
-            self._reset()
-            return self.slots(raw, starts, ends)
-        if self.cache.size + len(new) > self.cache.limit:  # one block with more than the table holds
-            self.cache = SegmentCache(2 * len(new))
-        at = miss[first]
-        data = raw.tobytes()
-        texts = [data[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if len(miss):
+            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            if self.cache.size and self.cache.size + len(new) > self.cache.limit:
+                self.reset()
+                return self.slots(raw, starts, ends)
+            if self.cache.size + len(new) > self.cache.limit:  # one block with more than the table holds
+                self.cache = SegmentCache(2 * len(new))
+            numbers = self.cache.add(new)
+            self._store(numbers, raw, starts[miss[first]], ends[miss[first]])
+            slots[miss] = numbers[back]
+        wrong = self._differ(slots, raw, starts, ends)
+        if len(wrong):  # another text has their hash: slots that the table does not name
+            numbers = np.arange(self.cache.size, self.cache.size + len(wrong), dtype=np.int32)
+            self.cache.size += len(wrong)
+            self._store(numbers, raw, starts[wrong], ends[wrong])
+            slots[wrong] = numbers
+        return slots
+
+
+class CachedEncoder(SegmentStore):
+    """Token ids (``ids=True``) or token counts of segments, each distinct one encoded once."""
+
+    def __init__(self, encode, kind: str, ids: bool, limit: int = 1 << 19):
+        self.encode, self.kind, self.ids = encode, kind, ids
+        super().__init__(limit)
+
+    def reset(self) -> None:
+        super().reset()
+        self.counts = np.zeros(1 << 12, dtype=np.int32)
+        self.begin = np.zeros(1 << 12, dtype=np.int64)
+        self.pool = np.zeros(1 << 14, dtype=np.uint32)
+        self.used = 0
+
+    def keep(self, numbers: np.ndarray, texts: list[str]) -> None:
         got = self.encode(texts)
-        numbers = self.cache.add(new)
-        end = self.cache.size
-        self.counts, self.begin = self._room(self.counts, end), self._room(self.begin, end)
+        end = int(numbers[-1]) + 1
+        self.counts, self.begin = self.room(self.counts, end), self.room(self.begin, end)
         if self.ids:
             sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            self.pool = self._room(self.pool, self.used + int(sizes.sum()))
+            self.pool = self.room(self.pool, self.used + int(sizes.sum()))
             self.pool[self.used:self.used + int(sizes.sum())] = np.fromiter(
-                (i for g in got for i in g), dtype=np.uint16, count=int(sizes.sum()))
+                (i for g in got for i in g), dtype=np.uint32, count=int(sizes.sum()))
             self.begin[numbers] = self.used + np.cumsum(sizes) - sizes
             self.used += int(sizes.sum())
         else:
             sizes = np.asarray(got, dtype=np.int64)
         self.counts[numbers] = sizes
-        slots[miss] = numbers[back]
-        return slots
 
     def count_rows(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each row."""
@@ -160,7 +207,7 @@ class CachedEncoder:
         """All rows' ids in one array, and the number of ids before each row (one more at the end)."""
         starts, ends, rows = cut(raw, offsets, self.kind)
         if not len(starts):
-            return np.zeros(0, dtype=np.uint16), np.zeros(len(offsets), dtype=np.int64)
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
         slots = self.slots(raw, starts, ends)
         n = self.counts[slots].astype(np.int64)
         before = np.zeros(len(slots) + 1, dtype=np.int64)
