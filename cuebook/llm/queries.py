@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, license_scan, line_runs, odd_sketch, oracles, packing, quality, text_density, token_counts,
+from . import (alignment, decontaminate, exact_dedup, license_scan, line_runs, odd_sketch, oracles, packing, quality, text_density, token_counts,
                url_reputation)
 from .common import table
 
@@ -69,6 +69,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_pair_alignment": op11_pair_alignment,
 }
 
 ORACLES: dict[str, str] = {

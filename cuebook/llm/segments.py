@@ -9,6 +9,7 @@ cut, so the segments there are longer, and still exact.
 
 * ``byte``: byte-level BPE, the space stays at the head of its segment; a single line feed
   between plain characters is a segment of its own.
+* ``head``: cut before spaces and single line feeds, which stay at the head of their segments.
 * ``piece``: pieces with a word mark; the space is dropped, as the encoder puts one before
   each text it is given.
 """
@@ -48,6 +49,9 @@ def cut(raw: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np
         starts = np.sort(np.concatenate([heads, spaces + 1]))
         is_head = np.isin(starts, heads, assume_unique=True)
         ends = np.append(starts[1:], n) - np.append(~is_head[1:], False)
+    elif kind == "head":
+        starts = np.sort(np.concatenate([heads, spaces, safe(np.flatnonzero(raw == 0x0A))]))  # no place twice
+        ends = np.append(starts[1:], n)
     else:
         lines = safe(np.flatnonzero(raw == 0x0A))
         starts = np.unique(np.concatenate([heads, spaces, lines, lines + 1]))
@@ -223,49 +227,53 @@ def _lines(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def byte_bpe(path: str, limit: int = 1 << 19) -> CachedEncoder:
-    """Ids as the ``tokenizers`` file at ``path`` gives them, without added special tokens.
+def byte_encode(path: str, specials: bool = True):
+    """texts -> lists of ids as the ``tokenizers`` file at ``path`` gives them, without added special tokens.
 
-    Where the same vocabulary lies beside it as ranks (``.tiktoken``), unknown segments go
-    through that faster encoder, which gives the same ids; segments that may hold the
-    string of a special token always go through ``tokenizers`` itself."""
+    ``specials``: strings of special tokens inside texts are those tokens, else plain text. Where the same
+    vocabulary lies beside it as ranks (``.tiktoken``), plain texts go through that faster encoder, which gives the
+    same ids; texts that may hold the string of a special token go through ``tokenizers`` itself."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    tokenizer.encode_special_tokens = not specials
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if specials else []
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks) or any(" " in s or "\n" in s for s in special):
-        return CachedEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)],
-                             "byte", True, limit)
+        return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     import public_tokenizers
     import tiktoken
 
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_lines(ranks), special_tokens={})
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        # Only letters of long standing: the two libraries may carry Unicode tables of different age.
-        return [tokenizer.encode(t, add_special_tokens=False).ids if not plain(t) else fast.encode_ordinary(t)
-                for t in texts]
+    def plain(t: str) -> bool:  # only letters of long standing: the two libraries may carry Unicode tables of different age
+        return (t.isascii() or max(t) < "ɐ") and not (special and any(s in t for s in special))
+
+    return lambda texts: [fast.encode_ordinary(t) if plain(t) else tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def byte_bpe(path: str, limit: int = 1 << 19) -> CachedEncoder:
+    """Ids as the ``tokenizers`` file at ``path`` gives them, without added special tokens."""
+    return CachedEncoder(byte_encode(path), "byte", True, limit)
 
-    def plain(t: str) -> bool:
-        return not any(s in t for s in special) and max(t, default=" ") < "ɐ"
 
-    return CachedEncoder(encode, "byte", True, limit)
+def cuts_pieces(model) -> bool:
+    """Whether texts may be cut at spaces: no piece of the model has its word mark behind another
+    character, and the model puts the mark before a text."""
+    mark = "▁"
+    inner = any(mark in model.id_to_piece(i).lstrip(mark) for i in range(model.get_piece_size()))
+    return not inner and "".join(model.id_to_piece(i) for i in model.encode("a  a")) == f"{mark}a{mark}{mark}a"
 
 
 def piece_model(path: str, limit: int = 1 << 19) -> CachedEncoder:
     """Token counts as the sentencepiece model at ``path`` gives them, without begin or end.
 
-    Texts are cut only if no piece of the model has its word mark behind another character and
-    the model puts the mark before a text; else each text is one segment."""
+    Texts are cut only if the model allows it; else each text is one segment."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    mark = "▁"
-    inner = any(mark in model.id_to_piece(i).lstrip(mark) for i in range(model.get_piece_size()))
-    plain = "".join(model.id_to_piece(i) for i in model.encode("a  a")) == f"{mark}a{mark}{mark}a"
-    if inner or not plain:
+    if not cuts_pieces(model):
         encoder = CachedEncoder(None, "piece", False, limit)
         encoder.count_rows = lambda raw, offsets: np.array(
             [len(model.encode(raw[a:b].tobytes().decode())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.int64)
