@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import blocks, mix
+from .bytewords import blocks, counted, distinct, mix
 from .common import once, text_of, written
 from .segments import SegmentStore, byte_encode, cut, cuts_pieces
 
@@ -176,19 +176,6 @@ class PairTable:
         return count, best, met
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    """The distinct numbers of ``x``, sorted. (numpy's own goes through a hash table, which is slower.)"""
-    x = np.sort(x)
-    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
-
-
-def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct numbers of ``x``, sorted, and how often each is there)."""
-    x = np.sort(x)
-    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, dtype=np.int64)
-    return x[at], np.diff(np.append(at, len(x)))
-
-
 def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all bytes in a row, length of each part, where each begins)."""
     length = np.array([len(x) for x in parts], dtype=np.int64)

@@ -120,3 +120,26 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.l, '')) AS items_sha256,
   coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)"""
+
+# Scores as contracted, from all postings of the items' terms.
+RANKED = r"""
+WITH found AS (SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+               FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, len(ts)::BIGINT AS n, ts FROM found WHERE len(ts) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+i AS (SELECT row_number() OVER () AS i, item_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+      FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT i, t, count(*)::BIGINT AS c FROM (SELECT i, unnest(ts) AS t FROM i) GROUP BY i, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM p, s WHERE t IN (SELECT t FROM q) GROUP BY t),
+h AS (SELECT r, p.t, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // total)))) AS impact
+      FROM p JOIN w USING (t) JOIN d USING (r), s),
+m AS (SELECT i, r, sum(c * impact)::BIGINT AS score FROM q JOIN h USING (t) GROUP BY i, r HAVING score > 0),
+k AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM m JOIN d USING (r))
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN i USING (i) WHERE rank <= 20
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (alignment, decontaminate, exact_dedup, license_scan, line_runs, odd_sketch, oracles, packing, quality, text_density, token_counts,
+from . import (alignment, decontaminate, exact_dedup, license_scan, line_runs, odd_sketch, oracles, packing, quality, ranked_search, text_density, token_counts,
                url_reputation)
 from .common import table
 
@@ -73,6 +73,10 @@ def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
     "op11_pair_alignment": op11_pair_alignment,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -96,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op5_odd_sketch": oracles.NEAR_DUPLICATES,
     "op6_license_scan": oracles.LICENSES,
     "op9_decontamination": oracles.CONTAMINATION,
+    "op12_ranked_search": oracles.RANKED,
 }
