@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (alignment, decontaminate, exact_dedup, license_scan, line_runs, odd_sketch, oracles, packing, quality, ranked_search, text_density, token_counts,
-               url_reputation)
+               toxicity, url_reputation)
 from .common import table
 
 
@@ -77,6 +77,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), limit=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_pair_alignment": op11_pair_alignment,
     "op12_ranked_search": op12_ranked_search,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES: dict[str, str] = {
