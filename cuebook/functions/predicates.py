@@ -270,11 +270,13 @@ def _relative_decrease(cur: tuple[Column, bool] | None, base: tuple[Column, bool
     """(baseline - current) / baseline * 100 >= v; zero/NULL/unconvertible baseline -> false."""
     if cur is None or base is None or _is_nan_value(v):
         return _false()
-    c, _ = cur
-    b, _ = base
-    ratio = F.try_divide(b - c, b) * F.lit(100.0)
-    expr = (b != F.lit(0.0)) & ~F.isnan(ratio) & (ratio >= F.lit(float(v)))
-    return _both(expr)
+    ratio = decrease_ratio(cur[0], base[0])
+    return _both(~F.isnan(ratio) & (ratio >= F.lit(float(v))))
+
+
+def decrease_ratio(current: Column, baseline: Column) -> Column:
+    """(baseline - current) / baseline * 100, null for a zero or missing baseline."""
+    return F.when(baseline != F.lit(0.0), F.try_divide(baseline - current, baseline) * F.lit(100.0))
 
 
 def compile_criterion(crit: Criterion, schema: T.StructType) -> Compiled:

@@ -4,11 +4,12 @@ Plan shape (no shuffle, no join, no Python):
 
     Scan (pruned columns, pushed comparisons)
       -> Filter   OR over the columns of the loosest bounds any rule sets (see ``_Ranges``)
-      -> Project  array(when(rule_i matches, code_i) ...), target_id, subject
-      -> Generate explode(array_compact(codes))
+      -> Project  target_id, subject, array(when(or_rule_i matches, code_i) ...)
+      -> Projects the threshold index: place on each axis, bitmaps, ordinals of the matching rules (``rule_index.py``)
+      -> Generate words of the bitmap, those without a bit go; Generate codes
       -> Project  rule metadata looked up by ordinal in constant arrays
 
-``code_i`` is the rule's ordinal, plus (for OR rules) a bitmask of the criteria that passed,
+A code is the rule's ordinal, plus (for OR rules) a bitmask of the criteria that passed,
 so the evidence texts can be filtered after the generator without re-evaluating anything.
 Rule metadata (labels, scores, features JSON, evidence texts) are literals of the ruleset, so
 they are constant arrays in the plan instead of a joined table. ``evaluate_compact`` stops
@@ -30,12 +31,12 @@ from pyspark.sql import types as T
 from ..functions.predicates import Compiled, compile_criterion, python_text, qcol
 from ..functions.scores import confidence_band_py, normalise_score_py
 from ..model import Criterion, Rule, Ruleset, load, never_fires
+from .rule_index import RuleIndex, const_array
 from .signals import NOTE
 
 _CODE = "_cue_code"
 
 
-
 def _combine(parts: list[Column], how: str) -> Column:
     return reduce(lambda a, b: (a & b) if how == "and" else (a | b), parts)
 
@@ -97,7 +98,8 @@ class _Ranges:
 class _Program:
     runnable: list[Rule]
     prefilter: Column
-    elements: list[Column]
+    index: RuleIndex
+    elements: list[Column]             # codes of the OR rules, null where a rule does not match
     wide_evidence: dict[int, Column]   # ordinal -> evidence array for very wide OR rules
     masked: list[bool]                 # ordinal -> evidence filtered by the bitmask
 
@@ -110,11 +112,14 @@ def _program(df_schema: T.StructType, ruleset: Ruleset, runnable: list[Rule]) ->
     elements: list[Column] = []
     wide: dict[int, Column] = {}
     masked: list[bool] = []
+    index = RuleIndex(runnable, df_schema)
     for i, rule in enumerate(runnable):
+        covered = ranges.cover(rule)
+        masked.append(False)
+        if covered and (rule.combination == "and" or len(rule.criteria) == 1):
+            continue
         compiled: list[Compiled] = [compile_criterion(c, df_schema) for c in rule.criteria]
-        # NULL means "no" here: no NOT is applied above these, and CASE WHEN NULL is not taken.
-        matched = _combine([c.filter for c in compiled], rule.combination)
-        if not ranges.cover(rule):
+        if not covered:
             filters.append(_combine([c.prefilter for c in compiled], rule.combination))
         k = len(compiled)
         if rule.combination == "or" and k > 1:
@@ -123,27 +128,15 @@ def _program(df_schema: T.StructType, ruleset: Ruleset, runnable: list[Rule]) ->
                     F.when(c.filter, F.lit(1 << j)).otherwise(F.lit(0)).cast("long")
                     for j, c in enumerate(compiled)])
                 code = F.lit(i).cast("long") + F.lit(n).cast("long") * mask
-                masked.append(True)
+                masked[i] = True
             else:
                 texts = [F.when(c.filter, F.lit(crit.evidence_text()))
                          for c, crit in zip(compiled, rule.criteria, strict=True)]
                 wide[i] = F.array_compact(F.array(*texts))
                 code = F.lit(i).cast("long")
-                masked.append(False)
-        else:
-            code = F.lit(i).cast("long")
-            masked.append(False)
-        elements.append(F.when(matched, code))
-    return _Program(runnable, _combine([*ranges.columns(), *filters], "or"), elements, wide, masked)
-
-
-_SQL_TYPES = {"long": "bigint", "double": "double", "string": "string", "boolean": "boolean"}
-
-
-def _const_array(values: list[Any], dtype: str) -> Column:
-    """A constant array built from one JSON literal: Catalyst folds it into a literal array,
-    and the driver makes one call instead of two per element (matters at hundreds of rules)."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{_SQL_TYPES.get(dtype, dtype)}>")
+            # NULL means "no" here: no NOT is applied above these, and CASE WHEN NULL is not taken.
+            elements.append(F.when(_combine([c.filter for c in compiled], "or"), code))
+    return _Program(runnable, _combine([*ranges.columns(), *filters], "or"), index, elements, wide, masked)
 
 
 def _matches(df: DataFrame, ruleset: Ruleset, prog: _Program, keep: list[str]) -> tuple[DataFrame, int]:
@@ -151,32 +144,22 @@ def _matches(df: DataFrame, ruleset: Ruleset, prog: _Program, keep: list[str]) -
     n = len(prog.runnable)
     id_type = df.schema[ruleset.id_field].dataType
     id_col = qcol(ruleset.id_field)
-    # Rules are evaluated in a plain projection (whole-stage codegen, split into methods by the
-    # array builder); only the small array of rule codes meets the null-dropping generator.
     wide_cols = [prog.wide_evidence[i].alias(f"_cue_ev{i}") for i in sorted(prog.wide_evidence)]
     wide_names = [f"_cue_ev{i}" for i in sorted(prog.wide_evidence)]
-    codes = F.array(*prog.elements).alias("_cue_codes")
-    # No filter on the codes array: Catalyst would push it below the projection and evaluate
-    # every rule twice; the generator already drops rows without a match. target_id and subject
-    # sit in the same projection so they are computed once per input row, not per signal.
-    src = df.filter(prog.prefilter)
-    matched = src.select(
-        *[qcol(k) for k in keep],
-        python_text(id_col, id_type).alias("target_id"),
-        F.to_json(F.struct(id_col.alias(ruleset.id_field)), {"ignoreNullFields": "false"}).alias("subject"),
-        *wide_cols, codes)
-    hit = matched.select(
-        *[qcol(k) for k in keep], "target_id", "subject", *wide_names,
-        # array_compact runs a small interpreted lambda over the codes only; measured faster
-        # than array_except (a hash set per row) and than flattening singleton arrays.
-        F.explode(F.array_compact("_cue_codes")).alias(_CODE))
+    # The generator drops rows without a match. target_id and subject are computed once per input row, not
+    # per signal. array_compact runs over the codes of OR rules only.
+    hit = prog.index.codes(
+        df.filter(prog.prefilter),
+        [*[qcol(k) for k in keep], python_text(id_col, id_type).alias("target_id"),
+         F.to_json(F.struct(id_col.alias(ruleset.id_field)), {"ignoreNullFields": "false"}).alias("subject"), *wide_cols],
+        [*keep, "target_id", "subject", *wide_names], _CODE, F.array_compact(F.array(*prog.elements)) if prog.elements else None)
     return hit, n
 
 
 def empty_signals(df: DataFrame) -> DataFrame:
     """A signal-shaped empty result that keeps the input's streaming/batch nature."""
     cols = [F.lit(None).cast(t).alias(c) for c, t in (
-        ("target_id", "string"), ("rule_id", "long"), ("label", "string"), ("score", "double"),
+        ("target_id", "string"), ("rule_id", "bigint"), ("label", "string"), ("score", "double"),
         ("confidence", "string"), ("evidence", "array<string>"), ("features", "string"),
         ("subject", "string"), ("note", "string"))]
     return df.filter(F.lit(False)).select(*cols)
@@ -204,10 +187,10 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
     mask = F.expr(f"{_CODE} div {n}")
     at = ordinal + F.lit(1)
     scores = [normalise_score_py(r.score) for r in runnable]
-    texts = _const_array([[c.evidence_text() for c in r.criteria] for r in runnable], "array<string>")
+    texts = const_array([[c.evidence_text() for c in r.criteria] for r in runnable], "array<string>")
     evidence_all = F.element_at(texts, at)
     if any(prog.masked):
-        evidence = F.when(F.element_at(_const_array(prog.masked, "boolean"), at),
+        evidence = F.when(F.element_at(const_array(prog.masked, "boolean"), at),
                           F.filter(evidence_all, lambda x, j: F.getbit(mask, j) == F.lit(1)))
     else:
         evidence = None
@@ -218,12 +201,12 @@ def evaluate(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
     return hit.select(
         *[qcol(k) for k in keep],
         "target_id",
-        F.element_at(_const_array([r.rule_id for r in runnable], "long"), at).alias("rule_id"),
-        F.element_at(_const_array([r.label for r in runnable], "string"), at).alias("label"),
-        F.element_at(_const_array(scores, "double"), at).alias("score"),
-        F.element_at(_const_array([confidence_band_py(s) for s in scores], "string"), at).alias("confidence"),
+        F.element_at(const_array([r.rule_id for r in runnable], "bigint"), at).alias("rule_id"),
+        F.element_at(const_array([r.label for r in runnable], "string"), at).alias("label"),
+        F.element_at(const_array(scores, "double"), at).alias("score"),
+        F.element_at(const_array([confidence_band_py(s) for s in scores], "string"), at).alias("confidence"),
         evidence.alias("evidence"),
-        F.element_at(_const_array([r.features_json() for r in runnable], "string"), at).alias("features"),
+        F.element_at(const_array([r.features_json() for r in runnable], "string"), at).alias("features"),
         "subject",
         F.lit(NOTE).alias("note"),
     )
@@ -252,15 +235,15 @@ def evaluate_compact(df: DataFrame, ruleset: Ruleset | dict[str, Any] | str,
     code = F.col(_CODE)
     ordinal = (code % F.lit(n)).cast("int")
     at = ordinal + F.lit(1)
-    full = _const_array([(1 << len(r.criteria)) - 1 if len(r.criteria) < 63 else -1 for r in runnable], "long")
-    mask = F.when(F.element_at(_const_array(prog.masked, "boolean"), at), F.expr(f"{_CODE} div {n}")) \
+    full = const_array([(1 << len(r.criteria)) - 1 if len(r.criteria) < 63 else -1 for r in runnable], "bigint")
+    mask = F.when(F.element_at(const_array(prog.masked, "boolean"), at), F.expr(f"{_CODE} div {n}")) \
         .otherwise(F.element_at(full, at))
     override = None
     for i in sorted(prog.wide_evidence):
         override = (override if override is not None else F).when(ordinal == F.lit(i), F.col(f"_cue_ev{i}"))
     override = override if override is not None else F.lit(None).cast("array<string>")
     return hit.select(*[qcol(k) for k in keep], "target_id", "subject",
-                      F.element_at(_const_array([r.rule_id for r in runnable], "long"), at).alias("rule_id"),
+                      F.element_at(const_array([r.rule_id for r in runnable], "bigint"), at).alias("rule_id"),
                       mask.alias("evidence_mask"), override.alias("evidence_override"))
 
 

@@ -331,6 +331,23 @@ def rule_counts_lineitem_10(spark, sf):
     return rule_counts(evaluate(_t(spark, sf, "lineitem"), many_lineitem_rules(10)))
 
 
+def narrow_lineitem_rules(k: int) -> dict:
+    """``k`` rules of three criteria, each a narrow price range: many rules, few matches."""
+    return {"id_field": "l_orderkey", "rules": [
+        {"rule_id": i, "label": "price_band", "conditions": {"criteria": [
+            {"field": "l_extendedprice", "operator": "gt", "value": 1000 + 97.5 * i},
+            {"field": "l_extendedprice", "operator": "lte", "value": 1500 + 97.5 * i},
+            {"field": "l_quantity", "operator": "gte", "value": i % 50}]}} for i in range(k)]}
+
+
+@query("rule_counts_lineitem_500", """
+SELECT i AS rule_id, 'price_band' AS label, count(*) AS n_signals FROM lineitem, range(500) r(i)
+WHERE l_extendedprice > 1000 + 97.5::DOUBLE * i AND l_extendedprice <= 1500 + 97.5::DOUBLE * i AND l_quantity >= i % 50 GROUP BY i
+""")
+def rule_counts_lineitem_500(spark, sf):
+    return rule_counts(evaluate(_t(spark, sf, "lineitem"), narrow_lineitem_rules(500)))
+
+
 # ------------------------------------------------------------------ D: signals and predictions
 
 def doc_signals(spark, sf) -> DataFrame:
