@@ -20,6 +20,7 @@ from ..operators import runs as rn
 from ..operators.govern import scope_violations
 from ..functions.text import redact_text
 from ..operators.protect import mask_columns, redact_nested
+from ..operators.rule_join import evaluate_table
 from ..operators.rules import evaluate, rule_counts
 from ..operators.signals import NOTE, check_contract, frame, to_predictions, to_signals
 from ..sources.governed import GovernedSource, value_counts
@@ -348,6 +349,45 @@ def rule_counts_lineitem_500(spark, sf):
     return rule_counts(evaluate(_t(spark, sf, "lineitem"), narrow_lineitem_rules(500)))
 
 
+def part_rules(spark, sf) -> DataFrame:
+    """Rules derived from ``part``: about its own line items, a price range, one of two flags."""
+    num = "CAST({} AS STRING)"
+    return _t(spark, sf, "part").selectExpr(
+        "p_partkey AS rule_id", "CAST(0.5 AS DOUBLE) AS score", "CASE p_partkey % 3 WHEN 0 THEN 'own' WHEN 1 THEN 'band' ELSE 'either' END AS label",
+        "CASE WHEN p_partkey % 3 = 2 THEN 'or' ELSE 'and' END AS combination",
+        f"""CASE p_partkey % 3
+          WHEN 0 THEN array(named_struct('field', 'l_quantity', 'operator', 'gt', 'value', {num.format('p_size')}, 'baseline_field', CAST(NULL AS STRING)),
+                            named_struct('field', 'l_partkey', 'operator', 'eq', 'value', {num.format('p_partkey')}, 'baseline_field', CAST(NULL AS STRING)))
+          WHEN 1 THEN array(named_struct('field', 'l_extendedprice', 'operator', 'gte', 'value', {num.format('p_partkey * 40')}, 'baseline_field', CAST(NULL AS STRING)),
+                            named_struct('field', 'l_extendedprice', 'operator', 'lt', 'value', {num.format('p_partkey * 40 + 100')}, 'baseline_field', CAST(NULL AS STRING)),
+                            named_struct('field', 'l_returnflag', 'operator', 'ne', 'value', '"R"', 'baseline_field', CAST(NULL AS STRING)))
+          ELSE array(named_struct('field', 'l_partkey', 'operator', 'in', 'value', concat('[', p_partkey, ',', p_partkey + 1, ']'), 'baseline_field', CAST(NULL AS STRING)),
+                     named_struct('field', 'l_suppkey', 'operator', 'eq', 'value', {num.format('p_partkey')}, 'baseline_field', CAST(NULL AS STRING)))
+        END AS criteria""")
+
+
+@query("rules_table_joined", """
+WITH m AS (
+  SELECT p_partkey, p_partkey % 3 AS k, l_orderkey,
+    CASE p_partkey % 3 WHEN 0 THEN 'l_quantity gt ' || p_size || ';l_partkey eq ' || p_partkey
+      WHEN 1 THEN 'l_extendedprice gte ' || p_partkey * 40 || ';l_extendedprice lt ' || (p_partkey * 40 + 100) || ';l_returnflag ne R'
+      ELSE concat_ws(';', CASE WHEN l_partkey IN (p_partkey, p_partkey + 1) THEN 'l_partkey in [' || p_partkey || ', ' || (p_partkey + 1) || ']' END,
+                     CASE WHEN l_suppkey = p_partkey THEN 'l_suppkey eq ' || p_partkey END) END AS evidence
+  FROM part, lineitem
+  WHERE (p_partkey % 3 = 0 AND l_partkey = p_partkey AND l_quantity > p_size)
+     OR (p_partkey % 3 = 1 AND l_extendedprice >= p_partkey * 40 AND l_extendedprice < p_partkey * 40 + 100 AND l_returnflag <> 'R')
+     OR (p_partkey % 3 = 2 AND (l_partkey IN (p_partkey, p_partkey + 1) OR l_suppkey = p_partkey)))
+SELECT p_partkey AS rule_id, CASE k WHEN 0 THEN 'own' WHEN 1 THEN 'band' ELSE 'either' END AS label, count(*) AS n_signals,
+  min(CAST(l_orderkey AS VARCHAR)) AS first_target, min(evidence) AS first_evidence, max(evidence) AS last_evidence
+FROM m GROUP BY ALL
+""")
+def rules_table_joined(spark, sf):
+    signals = evaluate_table(_t(spark, sf, "lineitem"), part_rules(spark, sf), "l_orderkey")
+    text = F.array_join("evidence", ";")
+    return signals.groupBy("rule_id", "label").agg(F.count("*").alias("n_signals"), F.min("target_id").alias("first_target"),
+                                                   F.min(text).alias("first_evidence"), F.max(text).alias("last_evidence"))
+
+
 # ------------------------------------------------------------------ D: signals and predictions
 
 def doc_signals(spark, sf) -> DataFrame:
