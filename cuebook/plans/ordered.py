@@ -1,23 +1,21 @@
 """Ordered numbering and running totals that never put one whole group into one task.
 
 ``row_number() OVER (PARTITION BY g ORDER BY k)`` sends each group to a single task, so a
-group holding a third of all rows becomes one straggler. Here the rows are range-partitioned
-on ``(g, k)`` instead; a hot group spans many partitions. Each partition numbers its own rows,
-and a small table of per-(partition, group) counts supplies the offset a partition adds.
+group holding a third of all rows becomes one straggler. Here rows are dealt to ranges of
+``(g, k)`` instead; a hot group spans many ranges. Each range numbers its own rows,
+and a small table of per-(range, group) counts supplies the offset a range adds.
 
 * ``ordered_index``: 0-based position of each row inside its group, in ``order`` order.
 * ``running_totals``: cumulative sums in one order, optionally per group (plus grand totals).
 
-Both cost one range shuffle plus one hash shuffle of the rows (the local window needs its
-rows clustered by partition id). Windows over the offset tables see at most ``partitions``
-rows per group. ``ordered_index`` broadcasts only the offsets of groups that cross a range
-boundary (at most 2 x partitions rows), so the numbered rows are not shuffled a third time.
+``ordered_index`` moves whole rows once. The bounds of the ranges come from a bounded sample of
+the narrow key columns and become constants, so a row's range follows from its values alone: it is the same
+in the pass that counts (which reads only the key columns, and combines before its shuffle) and in the pass that numbers,
+whatever order rows come in, and nothing has to be written in between. Only groups that
+cross a bound need an offset: at most 2 x ranges rows, a proven bound, broadcast.
 
-The partition id is read twice (for the local numbers and for the counts). Two independent
-range exchanges could sample different bounds when the input order is not deterministic, so
-the numbered rows are checkpointed (reliably, in ``spark.checkpoint.dir``) before the counts
-are taken: both uses then read one materialised partitioning, and an executor loss re-reads
-the checkpoint instead of re-running the shuffle.
+``running_totals`` costs one range shuffle plus one hash shuffle of its rows, which are aggregates already, and
+checkpoints them (reliably, in ``spark.checkpoint.dir``), as its ranges are Spark's own.
 """
 
 from __future__ import annotations
@@ -40,32 +38,74 @@ def _sort_cols(order: list[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+_SAMPLE = 20  # sampled keys for each range
+
+
+def _direction(c: Column) -> tuple[Column, bool, bool]:
+    """(what a sort column sorts by, descending, nulls last)."""
+    node = c._jc.node()
+    if node.getClass().getSimpleName() != "SortOrder":
+        return c, False, False
+    return _column(c, node.child()), "Descending" in node.sortDirection().toString(), "NullsLast" in node.nullOrdering().toString()
+
+
+def _column(like: Column, node) -> Column:
+    from pyspark import SparkContext
+
+    return type(like)(SparkContext._active_spark_context._jvm.org.apache.spark.sql.Column(node))
+
+
+def _range_of(df: DataFrame, keys: list[Column], ranges: int) -> Column:
+    """The number of the range of ``keys`` that a row lies in: 0 up to ``ranges`` - 1, growing with the keys' order."""
+    parts = [_direction(c) for c in keys]
+    narrow = df.select(*[value.alias(f"k{i}") for i, (value, _, _) in enumerate(parts)])
+    sorting = [{(False, False): c.asc_nulls_first(), (False, True): c.asc_nulls_last(), (True, False): c.desc_nulls_first(), (True, True): c.desc_nulls_last()}[how]
+               for c, how in ((F.col(f"k{i}"), (down, last)) for i, (_, down, last) in enumerate(parts))]
+    sample = narrow.withColumn("_cue_r", F.rand(17)).orderBy("_cue_r").limit(_SAMPLE * ranges).drop("_cue_r").distinct()
+    found = [r[0] for r in sample.orderBy(*sorting).select(F.to_json(F.struct(*narrow.columns), _JSON)).collect()]
+    every = max(1, -(-len(found) // ranges))
+    found = found[every::every]
+    if not found:
+        return F.lit(0)
+    kind = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in narrow.schema.fields)
+    bounds = F.from_json(F.lit("[" + ",".join(found) + "]"), f"array<struct<{kind}>>", _JSON)
+
+    def reached(bound: Column) -> Column:
+        """Whether the bound is not after the row."""
+        result = F.lit(True)
+        for i, (value, down, last) in reversed(list(enumerate(parts))):
+            b = bound[f"k{i}"]
+            before = (b > value) if down else (b < value)
+            missing = (value.isNull() & b.isNotNull()) if last else (b.isNull() & value.isNotNull())
+            result = F.coalesce(before, F.lit(False)) | missing | (b.eqNullSafe(value) & result)
+        return result
+
+    steps = [1 << k for k in range(len(found).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(
+        (at + step <= len(found)) & reached(F.get(bounds, at + step - 1)), at + step).otherwise(at))
+
+
 def ordered_index(df: DataFrame, group: list[str], order: list[Column | str], out: str = "idx",
                   partitions: int | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row within ``group`` ordered by ``order``.
 
-    ``order`` should end in a unique tie-breaker, or equal keys may swap between runs.
+    ``order`` should end in a unique tie-breaker, or equal keys may swap between runs. ``df`` is read three times (a sample,
+    counts, rows; the first two only its key columns) and has to give the same rows each time.
     """
     p = _partitions(df, partitions)
-    gcols = [F.col(g) for g in group]
-    keys = gcols + _sort_cols(order)
-    ranged = df.repartitionByRange(p, *keys).withColumn(_PID, F.spark_partition_id())
+    ranged = df.withColumn(_PID, _range_of(df, [F.col(g) for g in group] + _sort_cols(order), p))
     local = Window.partitionBy(_PID, *group).orderBy(*_sort_cols(order))
     numbered = ranged.withColumn("_cue_local", F.row_number().over(local) - F.lit(1))
-    checkpoint_dir(df.sparkSession)
-    numbered = numbered.checkpoint(eager=True)
-    counts = numbered.groupBy(_PID, *group).agg(F.count(F.lit(1)).alias("_cue_n"))
-    # Only a group that crosses a range boundary needs an offset in a later partition. Each of
-    # the p - 1 boundaries falls inside at most one group, so these groups cover at most 2p
-    # (partition, group) pairs: a proven bound, broadcast. Every other row's offset is 0, and
-    # the numbered rows are never shuffled again.
-    spans = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_cue_np")).filter(F.col("_cue_np") > 1)
-    spanning = counts.join(spans, on=_null_safe(counts, spans, group), how="left_semi")
-    before = Window.partitionBy(*group).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spanning.select(F.col(_PID).alias("_cue_opid"), *[F.col(g).alias(f"_cue_o_{g}") for g in group],
-                              F.coalesce(F.sum("_cue_n").over(before), F.lit(0)).alias("_cue_off"))
-    cond = [numbered[_PID] == offsets["_cue_opid"]] + \
-        [numbered[g].eqNullSafe(offsets[f"_cue_o_{g}"]) for g in group]
+    counts = ranged.groupBy(_PID, *group).agg(F.count(F.lit(1)).alias("_cue_n"))
+    # Each of the p - 1 bounds falls inside at most one group, so the groups that cross one cover at most 2p
+    # (range, group) pairs. Every other row's offset is 0.
+    per_group = Window.partitionBy(*group)
+    before = per_group.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_cue_np", F.count(F.lit(1)).over(per_group)) \
+        .withColumn("_cue_off", F.coalesce(F.sum("_cue_n").over(before), F.lit(0))).filter(F.col("_cue_np") > 1) \
+        .select(F.col(_PID).alias("_cue_opid"), *[F.col(g).alias(f"_cue_o_{g}") for g in group], "_cue_off")
+    cond = [F.col(_PID) == F.col("_cue_opid")] + [F.col(g).eqNullSafe(F.col(f"_cue_o_{g}")) for g in group]
     joined = numbered.join(F.broadcast(offsets), on=cond, how="left")
     idx = F.coalesce(F.col("_cue_off"), F.lit(0)) + F.col("_cue_local")
     return joined.withColumn(out, idx.cast("long")).drop(

@@ -50,9 +50,13 @@ def test_case_index_has_no_single_partition_step(spark):
     cases = build_cases(doc_signals(spark, SF))
     p = plan(cases)
     assert "SinglePartition" not in p
-    # the numbered rows come from a reliable checkpoint, read once per use
-    assert "rangepartitioning" not in p.lower()
-    assert "Scan ExistingRDD" in p
+    # whole rows are shuffled once, by range and run, and nothing is written in between
+    assert "rangepartitioning" not in p.lower() and "Scan ExistingRDD" not in p
+    exchanges = [line for line in p.split("\n") if "Exchange hashpartitioning" in line]
+    assert len([x for x in exchanges if "_cue_pid" in x]) == 2  # the rows, and the counts of (range, run)
+    assert len(exchanges) == 3  # and the counts' window by run, over ranges of a run
+    assert p.count("FileScan") == 2  # to count, to number
+    assert "NestedLoop" not in p and "Cartesian" not in p
 
 
 def test_sweep_single_partition_only_on_partition_totals(spark):
