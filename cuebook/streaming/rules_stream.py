@@ -4,10 +4,14 @@
 * J2 ``hot_reload_sink``: ``foreachBatch`` re-reads the ruleset file for every micro-batch.
 * J3 idempotent sink: each micro-batch overwrites its own ``batch_id=`` folder, so a replayed
   batch after a failure rewrites the same files, and one without rows empties them.
-* J4 ``stored_events``: run events are stored as they come; replays drop out and state is folded
-  when the store is read, so neither order nor the split into batches matters.
-* J5 ``tally_sink``: decisions are "last write wins", which streaming dedupe cannot express, so
-  each micro-batch recomputes the tally of the runs it touched from those runs' decisions.
+* J4 ``run_states``: a keyed aggregation holds each run's state; a micro-batch stores the states it changed. The fold is a
+  set of maxima, so replays, late rows and the split into batches change nothing. ``stored_events`` keeps the log itself.
+* J5 ``decision_states``: a keyed aggregation holds each case's newest decision. A micro-batch stores the cases whose
+  decision changed and how that moves the tally of their runs: plus the new decision, minus the one before. A tally is
+  the sum of these moves; neither the log nor the cases of a run are read again.
+
+State is in RocksDB (``state_session``), with a changelog in the checkpoint folder, and never expires. Every store has a folder for
+each micro-batch, which a replay overwrites.
 """
 
 from __future__ import annotations
@@ -15,12 +19,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import load
+from ..operators.review import DECISION_KEY, latest_decisions
 from ..operators.rules import evaluate
-from ..operators.runs import distinct_events
+from ..operators.runs import distinct_events, run_state
 from ..plans.catalog import RUNS_SQL, _flat, query, run_events
 from ..session import scratch_path
 
@@ -75,24 +80,81 @@ def stored_events(spark: SparkSession, path: str) -> DataFrame:
     return distinct_events(spark.read.parquet(path))
 
 
-def tally_sink(decisions_path: str, cases_path: str, out: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch``: recompute the tally of the runs touched by this batch of decisions.
+# The state store: RocksDB with small buffers and a changelog; a store closes when its task has committed.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+}
+BUCKETS = 64  # of a store of decisions, by run
 
-    Decisions and cases are stored in ``bot_id=/run_id=`` folders. The touched runs are written, and
-    the two stores are joined with that small table, broadcast if Spark finds it small: then dynamic
-    partition pruning reads the touched folders only, so a batch costs what it touches."""
-    from ..operators.review import latest_decisions, tally
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session for streams with keyed state; the caller's own settings stay as they are."""
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(key, spark.conf.get(key))
+    for key, value in STATE_CONF.items():
+        session.conf.set(key, value)
+    return session
+
+
+def run_keyed(stream_df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
+    """Process everything available now; ``sink`` gets the keys each micro-batch changed."""
+    q = stream_df.writeStream.outputMode("update").option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).foreachBatch(sink).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def run_states(events: DataFrame, checkpoint: str, out: str) -> None:
+    """J4: the states of runs that a stream of lifecycle events changes, in ``out/batch_id=N``."""
+    run_keyed(run_state(events), checkpoint, lambda batch, n: write_batch_idempotent(batch, n, out))
+
+
+def current(store: DataFrame, key: list[str]) -> DataFrame:
+    """The newest row of each key in a store of changes (one row a key and batch that changed it)."""
+    rest = [c for c in store.columns if c not in (*key, "batch_id")]
+    return store.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("_n")).select(*key, "_n.*")
+
+
+def decision_states(decisions: DataFrame, checkpoint: str, out: str) -> None:
+    """J5: the cases whose newest decision a stream of decisions changes, in ``out/latest``, and what that does to the
+    tallies of their runs, in ``out/moves``."""
+    out = out.rstrip("/")
+
+    def sink(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        keys = f"{out.rstrip('/')}-touched/batch_id={batch_id}"
-        batch.select("bot_id", "run_id").distinct().write.mode("overwrite").parquet(keys)
-        touched = spark.read.parquet(keys).filter("bot_id is not null and run_id is not null")
-        pick = touched.filter(F.length("run_id") >= 0)  # a filter on this side lets Spark prune the other's folders
-        log = spark.read.parquet(decisions_path).join(pick, ["bot_id", "run_id"], "left_semi")
-        part = spark.read.parquet(cases_path).join(pick, ["bot_id", "run_id"], "left_semi")
-        write_batch_idempotent(tally(part, latest_decisions(log)), batch_id, out)
-    return run
+        bucket = F.pmod(F.xxhash64("bot_id", "run_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        batch.select(*DECISION_KEY, "decision", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/latest/batch_id={n}")
+        store = spark.read.schema(LATEST_SCHEMA).option("basePath", f"{out}/latest").parquet(f"{out}/latest")
+        touched = [r[0] for r in store.filter(F.col("batch_id") == n).select("bucket").distinct().collect()]  # at most BUCKETS
+        mine = store.filter((F.col("batch_id") <= n) & F.col("bucket").isin(touched))  # a replay sees what the first run saw
+        now, old = F.col("batch_id") == n, F.when(F.col("batch_id") < n, F.col("batch_id"))
+        change = mine.groupBy(*DECISION_KEY).agg(F.max(F.when(now, F.col("decision"))).alias("new"), F.max_by("decision", old).alias("old")) \
+            .filter("new is not null")
+
+        def move(kind: str) -> Column:
+            return (F.count_if(F.col("new") == kind) - F.count_if(F.col("old") == kind)).alias(kind)
+
+        write_batch_idempotent(change.groupBy("bot_id", "run_id").agg(move("accepted"), move("rejected")), n, f"{out}/moves")
+
+    run_keyed(latest_decisions(decisions), checkpoint, sink)
+
+
+LATEST_SCHEMA = "bot_id string, run_id string, case_id string, decision string, batch_id int, bucket int"
+
+
+def stream_tally(cases: DataFrame, moves: DataFrame) -> DataFrame:
+    """The tally of every run that has moves: the columns of ``review.tally``."""
+    totals = cases.groupBy("bot_id", "run_id").agg(F.count(F.lit(1)).alias("total"))
+    counts = moves.groupBy("bot_id", "run_id").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    reviewed = F.col("accepted") + F.col("rejected")
+    return totals.join(counts, ["bot_id", "run_id"]).select("bot_id", "run_id", "accepted", "rejected", reviewed.alias("reviewed"), "total",
+                                                            (F.col("total") - reviewed).alias("pending"))
 
 
 # --------------------------------------------------------------- registered streaming queries
@@ -158,13 +220,10 @@ def stream_rules_hot_reload(spark: SparkSession, sf: str) -> DataFrame:
 SELECT run_id, bot_id, status, epoch_us(created_at) AS started_us, finished_us FROM r
 """)
 def stream_run_state(spark: SparkSession, sf: str) -> DataFrame:
-    """J4: lifecycle events as a stream, stored as they come, then folded to each run's state."""
-    from ..operators.runs import run_state
-
-    base = _fresh(spark, "run-events")
-    events = run_events(spark, sf, stream_table(spark, sf, "events.parquet", MAX_FILES))
-    run_available(events, base + "/ckpt", out=base + "/events")
-    st = run_state(stored_events(spark, base + "/events"))
+    """J4: lifecycle events as a stream into keyed state; the newest state of each run."""
+    base = _fresh(spark, "run-states")
+    run_states(run_events(spark, sf, stream_table(state_session(spark), sf, "events.parquet", MAX_FILES)), base + "/ckpt", base + "/states")
+    st = current(spark.read.parquet(base + "/states"), ["run_id"])
     return st.select("run_id", "bot_id", "status", F.unix_micros("started_at").alias("started_us"),
                      F.unix_micros("finished_at").alias("finished_us"))
 
@@ -179,20 +238,13 @@ SELECT c.bot_id, c.run_id, count(d.decision) FILTER (WHERE d.decision = 'accepte
 FROM c LEFT JOIN d ON c.doc_id = d.doc_id GROUP BY c.bot_id, c.run_id HAVING count(d.decision) > 0
 """)
 def stream_review_tally(spark: SparkSession, sf: str) -> DataFrame:
-    """J5: decisions arrive as a stream; each micro-batch recomputes the tally of the runs it
-    touched from the whole decision log (last write wins). The newest batch row per run is the
-    current tally."""
+    """J5: decisions arrive as a stream, several micro-batches; each moves the tallies of the runs it touches."""
     from ..plans.catalog import decision_log, doc_cases
 
     base = _fresh(spark, "review-tally")
     cases = doc_cases(spark, sf)
-    log_path = base + "/decisions"
-    decision_log(spark, sf, cases).write.partitionBy("bot_id", "run_id").parquet(log_path)
-    cases_path = base + "/cases"
-    cases.write.partitionBy("bot_id", "run_id").parquet(cases_path)
-    out = base + "/tally"
-    stream = spark.readStream.schema(spark.read.parquet(log_path).schema).option("maxFilesPerTrigger", str(MAX_FILES)).parquet(log_path)
-    run_available(stream, base + "/ckpt", foreach=tally_sink(log_path, cases_path, out))
-    tallies = spark.read.parquet(out)
-    newest = F.max_by(F.struct("accepted", "rejected", "reviewed", "total", "pending"), "batch_id")
-    return tallies.groupBy("bot_id", "run_id").agg(newest.alias("t")).select("bot_id", "run_id", "t.*")
+    log = decision_log(spark, sf, cases)
+    log.repartition(3).write.parquet(base + "/log")
+    stream = state_session(spark).readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(base + "/log")
+    decision_states(stream, base + "/ckpt", base)
+    return stream_tally(cases, spark.read.parquet(base + "/moves"))
