@@ -68,18 +68,23 @@ def outbox(cases: DataFrame, runs: DataFrame, chunk_rows: int = CHUNK_ROWS) -> D
     A run without cases gets one chunk with empty data. A run's data is never gathered whole: each
     payload holds at most ``chunk_rows`` records, in ``case_index`` order. ``features`` and
     ``subject`` are JSON texts in the cases and objects in the payload; the run's ``metadata``, JSON
-    text too, likewise. ``cases`` needs ``bot_id, run_id, case_index`` plus signal columns; ``runs`` needs
+    text too, likewise. A text there that is not JSON goes out as a string. ``cases`` needs ``bot_id, run_id, case_index`` plus signal columns; ``runs`` needs
     ``bot_id, run_id, status, as_of, summary`` and may have ``metadata``.
     """
+    def as_json(c: Column) -> Column:
+        """JSON text as it is; a text that is not JSON as a JSON string."""
+        quoted = F.to_json(F.array(c))
+        return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+
     nested = [c for c in ("features", "subject") if c in cases.columns]
     plain = [c for c in cases.columns if c not in ("bot_id", "run_id", "case_index", *nested)]
-    record = F.struct("case_index", *plain, *[F.parse_json(F.coalesce(F.col(c), F.lit("null"))).alias(c) for c in nested])
+    record = F.struct("case_index", *plain, *[F.parse_json(as_json(F.coalesce(F.col(c), F.lit("null")))).alias(c) for c in nested])
     chunked = cases.select("bot_id", "run_id", "case_index", F.floor(F.col("case_index") / F.lit(chunk_rows)).cast("long").alias("chunk"),
                            F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
     grouped = chunked.groupBy("bot_id", "run_id", "chunk").agg(
         F.array_sort(F.collect_list(F.struct("case_index", "record"))).alias("rows"), F.count(F.lit(1)).alias("n_records"))
     about = F.col("metadata") if "metadata" in runs.columns else F.lit(None).cast("string")
-    head = runs.filter(F.col("status") == "completed").select("bot_id", "run_id", "as_of", "summary", F.coalesce(about, F.lit("{}")).alias("metadata"))
+    head = runs.filter(F.col("status") == "completed").select("bot_id", "run_id", "as_of", "summary", as_json(F.coalesce(about, F.lit("{}"))).alias("metadata"))
     joined = head.join(grouped, on=["bot_id", "run_id"], how="left")
     data = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("rows", lambda r: r["record"]), ","), F.lit("")), F.lit("]"))
     chunk = F.coalesce("chunk", F.lit(0).cast("long"))

@@ -43,10 +43,31 @@ def no_masking(df: DataFrame) -> DataFrame:
     return df
 
 
+# A JSON text as tokens: a string (with the colon that makes it a key), or what lies between strings. Possessive, so that
+# a string of any length and any number of escapes is one flat loop.
+_JSON_TOKENS = r'''"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?|[^"]++'''
+
+
+def redact_json(text: Column) -> Column:
+    """A JSON text with every string value redacted, at any depth; keys, numbers, order and layout stay as written.
+
+    A text that is not JSON, or repeats a key in one object, is redacted as plain text, keys and all; null stays null."""
+    def token(t: Column) -> Column:
+        value = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]
+        written = F.to_json(F.array(redact_text(value)))
+        return F.when(t.startswith('"') & t.endswith('"') & (F.length(t) > 1) & ~redact_text(value).eqNullSafe(value),
+                      F.substring(written, F.lit(2), F.length(written) - 2)).otherwise(t)
+
+    walked = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_JSON_TOKENS), F.lit(0)), token), "")
+    return F.when(F.try_parse_json(text).isNotNull(), walked).otherwise(redact_text(text))
+
+
 def _redact_any(c: Column, dtype: T.DataType) -> Column:
     """Redact every string at any depth (values, never keys)."""
     if isinstance(dtype, T.StringType):
         return redact_text(c)
+    if isinstance(dtype, T.VariantType):
+        return F.try_parse_json(redact_json(F.to_json(c)))
     if isinstance(dtype, T.ArrayType):
         return F.transform(c, lambda x: _redact_any(x, dtype.elementType))
     if isinstance(dtype, T.MapType):
@@ -59,12 +80,14 @@ def _redact_any(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
-def redact_nested(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Redact all strings inside the chosen (default: all) columns, whatever their nesting."""
-    chosen = set(columns) if columns is not None else set(df.columns)
+def redact_nested(df: DataFrame, columns: Iterable[str] | None = None, json: Iterable[str] = ()) -> DataFrame:
+    """Redact all strings inside the chosen (default: all) columns, whatever their nesting.
+
+    Text columns named in ``json`` hold free-form JSON and are walked too (``redact_json``), as VARIANT columns always are."""
+    chosen, parsed = set(columns) if columns is not None else set(df.columns), set(json)
     return df.select(*[
-        _redact_any(qcol(f.name), f.dataType).alias(f.name) if f.name in chosen else qcol(f.name)
-        for f in df.schema.fields])
+        (redact_json(qcol(f.name)) if f.name in parsed else _redact_any(qcol(f.name), f.dataType)).alias(f.name)
+        if f.name in chosen | parsed else qcol(f.name) for f in df.schema.fields])
 
 
 def is_local_model(model: Column) -> Column:

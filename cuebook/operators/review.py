@@ -142,9 +142,9 @@ def recommend(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     return points.groupBy(*by).agg(best.alias("_b")).select(*by, *[F.col(f"_b.{c}").alias(c) for c in metrics])
 
 
-def tuning_header(labels: DataFrame) -> DataFrame:
-    """labelled, accepted, rejected, unscored -- one row."""
-    return labels.agg(
+def tuning_header(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """labelled, accepted, rejected, unscored -- one row, or one for each ``by`` group (e.g. ``["bot_id"]``)."""
+    return labels.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("labelled"),
         F.count_if(F.col("accepted")).alias("accepted"),
         F.count_if(~F.col("accepted")).alias("rejected"),

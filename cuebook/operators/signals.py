@@ -114,8 +114,11 @@ def frame(signals: DataFrame, label: str, *, threshold: float | None = None, as_
     return Framed(data, meta)
 
 
-def check_contract(signals: DataFrame) -> DataFrame:
-    """One row of contract counts: records, wrong notes, scores out of range, bad bands."""
+def check_contract(signals: DataFrame, summary: str | None = None) -> DataFrame:
+    """One row of contract counts: records, wrong notes, scores out of range, bad bands.
+
+    Records carry the note themselves. An output without any carries it in its ``summary``, or is not ok."""
+    noted = NOTE in (summary or "")
     s = F.col("score")
     bad_band = F.col("confidence") != confidence_band(s)
     return signals.agg(
@@ -125,4 +128,4 @@ def check_contract(signals: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(bad_band, F.lit(True))).alias("bad_band"),
         F.count_if(F.col("target_id").isNull()).alias("missing_target"),
     ).withColumn("ok", (F.col("bad_note") + F.col("bad_score") + F.col("bad_band")
-                        + F.col("missing_target")) == 0)
+                        + F.col("missing_target") == 0) & ((F.col("records") > 0) | F.lit(noted)))

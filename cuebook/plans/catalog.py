@@ -869,6 +869,15 @@ def tuning_header(spark, sf):
     return rv.tuning_header(doc_labels(spark, sf))
 
 
+@query("tuning_header_by_bot", CASES_SQL + """
+SELECT 'docs' AS bot_id, count(*) AS labelled, count(*) FILTER (WHERE decision = 'accepted') AS accepted,
+       count(*) FILTER (WHERE decision = 'rejected') AS rejected, count(*) FILTER (WHERE score IS NULL) AS unscored
+FROM d HAVING count(*) > 0
+""")
+def tuning_header_by_bot(spark, sf):
+    return rv.tuning_header(doc_labels(spark, sf), by=["bot_id"])
+
+
 # ------------------------------------------------------------------------------ G: delivery
 
 def page_subscriptions(spark, sf) -> DataFrame:

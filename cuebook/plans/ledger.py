@@ -28,11 +28,16 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 # --------------------------------------------------------------------------------- governed reads
 
-@query("governed_sample", "SELECT n_nationkey, '***' AS n_name, n_regionkey FROM nation")
+@query("governed_sample", "SELECT count(*) // 2 AS n_rows, count(*) // 2 AS n_known, 0 AS n_unmasked, 0 AS n_twice FROM orders")
 def governed_sample(spark, sf):
-    """A sample as large as its table, so that it is the same for any order of rows."""
-    src = _source(spark, sf, "nation", masking=lambda d: mask_columns(d, ["n_name"]))
-    return src.scoped(["nation"]).sample("nation", src.tables["nation"].count())
+    """Half of the orders, and what holds whichever they are: how many, all of them orders, none twice, all masked."""
+    src = _source(spark, sf, "orders", masking=lambda d: mask_columns(d, ["o_clerk", "o_orderpriority"]))
+    orders = src.tables["orders"]
+    got = src.scoped(["orders"]).sample("orders", orders.count() // 2)
+    known = got.join(orders.select("o_orderkey", F.lit(1).alias("known")), "o_orderkey", "left")
+    return known.agg(F.count("*").alias("n_rows"), F.count("known").alias("n_known"),
+                     F.count_if(F.col("o_orderpriority") != "***").alias("n_unmasked"),
+                     (F.count("*") - F.countDistinct("o_orderkey")).alias("n_twice"))
 
 
 @query("governed_masked_query", """
@@ -55,16 +60,19 @@ def governed_truncated(spark, sf):
 SELECT 'fetch' AS kind, 'nation' AS target, (SELECT count(*) FROM nation) AS row_count, 'ok' AS outcome
 UNION ALL SELECT 'write', 'orders', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), 'ok'
 UNION ALL SELECT 'query', 'orders', -1, 'planned'
+UNION ALL SELECT 'query', 'orders', (SELECT count(*) FROM orders), 'read'
+UNION ALL SELECT 'query', 'customer', -1, 'planned'
 UNION ALL SELECT 'query', 'customer', 0, 'denied'
 UNION ALL SELECT 'fetch', 'nation', 0, 'error'
 """)
 def audit_entries(spark, sf):
     """One row for each action, also for those refused and those that fail while they run."""
     audit = AuditLog(spark, _folder(spark, "audit"))
-    src = _source(spark, sf, "nation", "orders", "customer", audit=audit)
+    src = _source(spark, sf, "nation", "orders", "customer", audit=audit, count_reads=True)
     src.fetch("SELECT * FROM nation", limit=1000)
     src.write("SELECT * FROM orders WHERE o_orderstatus = 'F'", _folder(spark, "audited"))
-    src.query("SELECT * FROM orders")
+    src.query("SELECT * FROM orders").write.format("noop").mode("overwrite").save()
+    src.query("SELECT * FROM customer")  # never read
     refused = PermissionError, PySparkException
     for act in (lambda: src.scoped(["orders"]).query("SELECT * FROM customer"),
                 lambda: src.fetch("SELECT raise_error(n_name) FROM nation", limit=10)):
@@ -75,6 +83,23 @@ def audit_entries(spark, sf):
     return audit.entries().select("kind", "target", "row_count", "outcome")
 
 
+@query("redact_json_payloads", f"""
+SELECT conv_id, turn, {redact_sql('text')} AS text, {redact_sql('text')} AS listed, 'me@example.org' AS key, turn AS number, true AS same_shape
+FROM conversations
+""")
+def redact_json_payloads(spark, sf):
+    """Message payloads as free-form JSON text: strings redacted at any depth, keys and numbers as they were."""
+    t = _t(spark, sf, "conversations")
+    inner = F.struct(F.array(F.struct("text", F.lit(None).cast("int").alias("n")), F.struct(F.lit(None).cast("string").alias("text"), F.lit(1).alias("n"))).alias("parts"), F.col("turn").alias("me@example.org"))
+    payload = F.to_json(F.struct("role", "text", inner.alias("body")))
+    red = redact_nested(t.select("conv_id", "turn", payload.alias("payload")), [], json=["payload"])
+    shape = "struct<role:string,text:string,body:struct<parts:array<struct<text:string,n:int>>,`me@example.org`:bigint>>"
+    back = F.from_json("payload", shape)
+    return red.select("conv_id", "turn", back["text"].alias("text"), back["body"]["parts"][0]["text"].alias("listed"),
+                      F.when(F.contains("payload", F.lit('"me@example.org":')), F.lit("me@example.org")).alias("key"),
+                      back["body"]["me@example.org"].alias("number"), (back["body"]["parts"][1]["n"] == 1).alias("same_shape"))
+
+
 @query("redact_nested_documents", f"""
 SELECT doc_id, {redact_sql('text')} AS in_list, {redact_sql('text')} AS in_map, {redact_sql('text')} AS in_struct, n_chars FROM documents
 """)
