@@ -43,8 +43,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
                   "summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head header iframe input "
-                  "label legend link map menu meta meter nav noembed noframes noscript object optgroup option output progress "
+NEVER = frozenset("applet aside audio button canvas datalist dialog embed footer form frame frameset head header iframe input "
+                  "label legend link menu meta meter nav noembed noframes noscript optgroup option output progress "
                   "script select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog directory form menu menubar navigation search status "
                   "tablist toolbar".split())
@@ -108,6 +108,10 @@ def _named(given: dict[str, str]) -> set[str]:
     return found
 
 
+# Open elements that the start of another may end, or must not look past; it passes by all others.
+HALTS = BLOCK | CLOSES.keys() | frozenset().union(*SCOPES.values())
+
+
 class Page:
     """Nodes in page order: name, parent, the node after the subtree; text pieces (node, text) in order."""
 
@@ -116,6 +120,12 @@ class Page:
         self.marks: list[tuple[int, str]] = []  # (node, text), or (node, "") where a block begins or ends
         self.hints: dict[int, set[str]] = {}  # hint words that name a node
         stack, dropped = [0], 0
+        # Places on the stack: of each name, of blocks, of elements that a start tag may end or must not look past. With
+        # these a tag costs what it ends, however deep the page is.
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.halts: list[int] = []
+        self.skipped: dict[str, int] = {}  # names open inside an element that goes
         for kind, name, rest in tokens(page):
             if kind == "text":
                 if not dropped:
@@ -154,33 +164,44 @@ class Page:
         if name in VOID:
             self.end[node] = node + 1
         else:
+            place = len(stack)
+            self.places.setdefault(name, []).append(place)
+            if name in BLOCK:
+                self.blocks.append(place)
+            if name in HALTS:
+                self.halts.append(place)
             stack.append(node)
 
     def _pop(self, stack: list) -> None:
         node = stack.pop()
+        self.places[self.name[node]].pop()
+        for places in (self.blocks, self.halts):
+            if places and places[-1] == len(stack):
+                places.pop()
         self.end[node] = len(self.name)
         if self.name[node] in BLOCK:
             self.marks.append((self.parent[node], ""))
 
     def _finish(self, stack: list, name: str) -> None:
-        """End the open elements that the start of ``name`` ends."""
-        for k in range(len(stack) - 1, 0, -1):
+        """End the open elements that the start of ``name`` ends: a row its cell and the row before, too."""
+        i = len(self.halts) - 1
+        while i >= 0:  # few steps: of each name at most one before a scope
+            k = self.halts[i]
             open_ = self.name[stack[k]]
             if name in CLOSES.get(open_, ()):
                 while len(stack) > k:
                     self._pop(stack)
+                i = len(self.halts)
+            elif open_ in BLOCK and open_ not in CLOSES or any(open_ in SCOPES[c] for c in SCOPES if name in CLOSES[c]):
                 return
-            if open_ in BLOCK and open_ not in CLOSES or any(open_ in SCOPES[c] for c in SCOPES if name in CLOSES[c]):
-                return
+            i -= 1
 
     def _close(self, stack: list, name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.name[stack[k]] == name:
-                while len(stack) > k:
-                    self._pop(stack)
-                return
-            if name not in BLOCK and self.name[stack[k]] in BLOCK:
-                return
+        places = self.places.get(name)
+        if places and (name in BLOCK or not self.blocks or places[-1] > self.blocks[-1]):
+            k = places[-1]
+            while len(stack) > k:
+                self._pop(stack)
 
     def _skip(self, stack: list, name: str, dropped: int) -> int:
         """Inside an element that goes: only its own nesting is followed, on the stack as names."""
@@ -189,16 +210,20 @@ class Page:
         if name in VOID:
             return dropped
         stack.append(name)
+        self.skipped[name] = self.skipped.get(name, 0) + 1
         return dropped + 1
 
     def _unskip(self, stack: list, name: str, dropped: int) -> int:
-        inside = stack[len(stack) - dropped:]
-        if name in inside:
-            k = len(inside) - 1 - inside[::-1].index(name)
-            del stack[len(stack) - dropped + k:]
-            return k
-        if name in KEEP and any(self.name[n] == name for n in stack[1:len(stack) - dropped]):
+        if self.skipped.get(name):
+            ended = ""
+            while ended != name:
+                ended = stack.pop()
+                self.skipped[ended] -= 1
+                dropped -= 1
+            return dropped
+        if name in KEEP and self.places.get(name):
             del stack[len(stack) - dropped:]  # an element that goes was never closed
+            self.skipped.clear()
             self._close(stack, name)
             return 0
         return dropped
