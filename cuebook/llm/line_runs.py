@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 from .graph import counted
 
-MIN_LINES, LONG_WORDS = 3, 30
+MIN_LINES, LONG_WORDS, RUN_WORDS = 3, 30, 50
 
 
 def _key(c: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import K, NOTICES, PHRASES, SHARE, SLIP, template_rows
-from .line_runs import LONG_WORDS, MIN_LINES
+from .line_runs import LONG_WORDS, MIN_LINES, RUN_WORDS
 from .url_reputation import LEVELS, LIMIT, Z
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,8 +57,13 @@ seq AS (
 runs AS (
   SELECT doc_id, i, list(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {MIN_LINES - 1} FOLLOWING) AS w FROM seq),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM runs WHERE len(w) = {MIN_LINES}) WHERE n > 1),
+pairs AS (
+  SELECT doc_id, i, list(s) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS w,
+    sum(words) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS words FROM seq),
+wordy AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM pairs WHERE len(w) = 2 AND words >= {RUN_WORDS}) WHERE n > 1),
 gone AS (
-  SELECT s.doc_id, s.line FROM later l JOIN seq s ON s.doc_id = l.doc_id AND s.i BETWEEN l.i AND l.i + {MIN_LINES - 1}
+  SELECT s.doc_id, s.line FROM wordy l JOIN seq s ON s.doc_id = l.doc_id AND s.i BETWEEN l.i AND l.i + 1
+  UNION SELECT s.doc_id, s.line FROM later l JOIN seq s ON s.doc_id = l.doc_id AND s.i BETWEEN l.i AND l.i + {MIN_LINES - 1}
   UNION SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM seq WHERE words >= {LONG_WORDS}) WHERE n > 1)
 SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_deleted,
   coalesce(string_agg(CASE WHEN g.line IS NULL THEN l.s END, chr(10) ORDER BY l.line), '') AS text

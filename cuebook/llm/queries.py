@@ -37,7 +37,7 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.delete_runs(table(spark, sf_dir, "documents"))
+    return line_runs.delete_runs(table(spark, sf_dir, "documents"), run_words=line_runs.RUN_WORDS)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
