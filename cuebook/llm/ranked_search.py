@@ -275,9 +275,14 @@ def _block(docs: DataFrame, rows: pa.Table, k: int, id_col: str, text_col: str,
 
     lengths = vectors.withColumn("norm", norm("n", "terms", "tfs")).filter("norm > 0")
     least = np.ones(len(items), dtype=np.int64)
-    start = _probed(lengths.orderBy(F.desc("norm"), "salt").limit(seed), shared, least, k, bucket)
-    kth = start.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == k).toArrow()
-    least[np.searchsorted(items, kth["item"].to_numpy())] = kth["score"].to_numpy()
+    # The longest ones by their lengths alone: no task gathers vectors, at most ``seed`` scores meet for an item.
+    longest = lengths.select("norm", "salt").orderBy(F.desc("norm"), "salt").limit(seed).collect()
+    if longest:
+        norm_at, salt_at = longest[-1]
+        top = lengths.filter((F.col("norm") > norm_at) | (F.col("norm") == norm_at) & (F.col("salt") <= salt_at))
+        start = _probed(top, shared, least, k, bucket).groupBy("item").agg(F.sort_array(F.collect_list("score"), False).alias("scores"))
+        kth = start.filter(F.size("scores") >= k).select("item", F.get("scores", F.lit(k - 1)).alias("score")).toArrow()
+        least[np.searchsorted(items, kth["item"].to_numpy())] = kth["score"].to_numpy()
     ordered = lengths.repartitionByRange(F.desc("norm"), "salt").sortWithinPartitions(F.desc("norm"))
     return _probed(ordered, shared, least, k, bucket)
 
