@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import Compiled, compile_criterion, python_text, qcol
 from ..functions.scores import confidence_band_py, normalise_score_py
-from ..model import Criterion, Rule, Ruleset, load, never_fires
+from ..model import NUMERIC_OPERATORS, OPERATORS, Criterion, Rule, Ruleset, load, never_fires
 from .rule_index import RuleIndex, const_array
 from .signals import NOTE
 
@@ -307,9 +307,8 @@ def validate_rules(rules: DataFrame, known_fields: list[str] | None = None, id_f
     ``criteria.value`` holds JSON text so any JSON value can be expressed. Output rows:
     ``rule_id, loc, msg, severity`` with severity ``error`` or ``unsupported``.
     """
-    numeric_ops = F.array(*[F.lit(o) for o in ("lt", "lte", "gt", "gte", "relative_decrease")])
-    known_ops = F.array(*[F.lit(o) for o in ("eq", "ne", "lt", "lte", "gt", "gte", "in",
-                                             "text_present", "relative_decrease")])
+    numeric_ops = F.array(*[F.lit(o) for o in NUMERIC_OPERATORS])
+    known_ops = F.array(*[F.lit(o) for o in OPERATORS])
     crit = rules.select("rule_id", "combination", F.posexplode_outer("criteria").alias("pos", "c"))
     v = F.col("c.value")
     first = F.substring(F.ltrim(v), 1, 1)
