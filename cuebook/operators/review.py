@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.asof import as_of_join
 from ..plans.ordered import ordered_index, running_totals
 from .signals import priority_key
 
@@ -51,6 +52,15 @@ def latest_decisions(log: DataFrame) -> DataFrame:
         F.col("_d.reviewer").alias("reviewer"), F.col("_d.updated_at").alias("updated_at"))
 
 
+def decided_when(looks: DataFrame, log: DataFrame, at: str) -> DataFrame:
+    """Each look at a case (``bot_id, run_id, case_id`` and the time ``at``) with the decision that stood then; ``pending`` before the
+    first. Invalid entries never stood; of entries at one time the greatest decision text counts, as in ``latest_decisions``."""
+    valid, _ = split_decisions(log)
+    found = as_of_join(looks, valid, DECISION_KEY, at, "updated_at", {"decision": "decision", "note": "review_note", "reviewer": "reviewer"})
+    return found.withColumns({"decision": F.coalesce("decision", F.lit("pending")), "review_note": F.coalesce("review_note", F.lit("")),
+                              "reviewer": F.coalesce("reviewer", F.lit(""))})
+
+
 def decisions_for(decisions: DataFrame, bot_id: str, run_id: str, case_id: str | None = None) -> DataFrame:
     """Latest decisions of one run, or of one case when ``case_id`` is given."""
     cond = (F.col("bot_id") == bot_id) & (F.col("run_id") == run_id)

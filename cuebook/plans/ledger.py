@@ -13,9 +13,12 @@ from ..operators import bots, outbox, review, rules, runs
 from ..operators.protect import mask_columns, redact_nested, redact_unless_local
 from ..operators.signals import frame, to_signals
 from ..session import scratch_path
+from ..operators.top_values import top_values
 from ..sources.governed import AuditLog, GovernedSource, masked_query, truncated
+from ..sources.review_store import ReviewStore
 from ..sources.sinks import replace_run, to_json_rows, write_signals
-from .catalog import (CASES_SQL, ORDERS_RULES, RUNS_SQL, _t, decision_log, doc_cases, page_subscriptions, query, redact_sql, runs_table, table_path)
+from .catalog import (CASES_SQL, ORACLES, ORDERS_RULES, RUNS_SQL, _t, decision_log, doc_cases, page_subscriptions, query, redact_sql, runs_table,
+                      table_path)
 
 
 def _source(spark: SparkSession, sf: str, *names: str, **how) -> GovernedSource:
@@ -131,8 +134,79 @@ def json_rows(spark, sf):
     return to_json_rows(ev.select("event_id", "ts", F.to_date("ts").alias("day"), F.date_trunc("hour", "ts").alias("hour"), who.alias("who")))
 
 
+# ---------------------------------------------------------------- tables, schemas and value counts
+
+LISTED = ("customer", "documents", "events", "nation", "orders")
+
+
+def _filled_sql(names) -> str:
+    """``tab, col, ordinal, n_filled`` of every column of the named tables."""
+    counts = " UNION ALL ".join(f"SELECT '{n}' AS tab, name AS col, n_filled FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {n}) ON COLUMNS(*) INTO NAME name VALUE n_filled)"
+                                for n in names)
+    return (f"SELECT c.tab, c.col, i.ordinal_position - 1 AS ordinal, c.n_filled FROM ({counts}) c "
+            "JOIN information_schema.columns i ON i.table_name = c.tab AND i.column_name = c.col")
+
+
+def _filled(schema: DataFrame, src: GovernedSource) -> DataFrame:
+    """A listed schema with the filled values of each column: one aggregate a table."""
+    tables = {r.table: src.tables[r.table] for r in schema.select("table").distinct().collect()}
+    parts = [df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "n_filled").withColumn("table", F.lit(n))
+             for n, df in sorted(tables.items())]
+    counts = parts[0]
+    for part in parts[1:]:
+        counts = counts.unionByName(part)
+    return schema.join(counts, ["table", "column"]).select(F.col("table").alias("tab"), F.col("column").alias("col"), "ordinal", "n_filled")
+
+
+@query("tables_listed", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM {n}" for n in LISTED))
+def tables_listed(spark, sf):
+    """The tables that a source lists, each with its rows."""
+    src = _source(spark, sf, *LISTED)
+    names = [r.name for r in src.list_tables().orderBy("name").collect()]
+    counted = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows FROM {n}" for n in names)
+    return src.query(counted)
+
+
+@query("table_schemas", _filled_sql(LISTED))
+def table_schemas(spark, sf):
+    src = _source(spark, sf, *LISTED)
+    return _filled(src.schema(), src)
+
+
+@query("scoped_schemas", _filled_sql(("documents", "orders")))
+def scoped_schemas(spark, sf):
+    """A scope lists the declared tables only."""
+    src = _source(spark, sf, *LISTED)
+    return _filled(src.scoped(["orders", "documents"]).schema(), src)
+
+
+@query("top_values_flat", ORACLES["value_stats_top50"])
+def top_values_flat(spark, sf):
+    """A flat column: nearly all buckets stay open."""
+    return top_values(_t(spark, sf, "lineitem"), "l_partkey", 50)
+
+
+WORD_SQL = "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 50"
+
+
+@query("top_values_words", WORD_SQL)
+def top_values_words(spark, sf):
+    """A skewed column: words of all documents."""
+    return top_values(_t(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word")), "word", 50)
+
+
 # ------------------------------------------------------------------------------------ run history
 
+@query("runs_ruleset_as_of", RUNS_SQL + """,
+v AS (SELECT 'bot_' || user_id AS bot_id, ts, max(event_id) AS version FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT r.run_id, r.bot_id, v.version AS ruleset_version, '{"rules":[],"n":' || v.version || '}' AS ruleset
+FROM r ASOF LEFT JOIN v ON r.bot_id = v.bot_id AND r.created_at >= v.ts
+""")
+def runs_ruleset_as_of(spark, sf):
+    """Which ruleset version was live when each run started."""
+    return bots.live_when(runs_table(spark, sf), version_log(spark, sf)).select("run_id", "bot_id", "ruleset_version", "ruleset")
+
+
 @query("run_get", RUNS_SQL + """
 SELECT run_id, bot_id, status FROM r WHERE run_id = (SELECT 'run_' || max(event_id) FROM events)
 """)
@@ -224,6 +298,42 @@ def decisions_unknown_case(spark, sf):
     return review.unknown_case_decisions(log, gone).agg(F.count("*").alias("n"))
 
 
+LOOKS = tuple(dt.datetime(2024, 2, 2, h, m) for h, m in ((8, 30), (9, 0), (9, 59), (12, 0)))
+
+
+@query("decisions_as_of", CASES_SQL + """
+SELECT c.run_id, CAST(c.case_index AS VARCHAR) AS case_id, k.seen,
+       CASE WHEN k.seen = 830 OR l.doc_id IS NULL THEN 'pending' WHEN l.quality <> 1 OR (l.toxic = 1 AND k.seen = 1200) THEN 'rejected' ELSE 'accepted' END AS decision
+FROM c LEFT JOIN labels l ON c.doc_id = l.doc_id, (VALUES (830), (900), (959), (1200)) k(seen)
+""")
+def decisions_as_of(spark, sf):
+    """The decision on every case as it stood at four times of the review day."""
+    cases = doc_cases(spark, sf)
+    looks = cases.select("bot_id", "run_id", "case_id", F.explode(F.array(*[F.lit(t) for t in LOOKS])).alias("seen_at"))
+    found = review.decided_when(looks, decision_log(spark, sf, cases), "seen_at")
+    return found.select("run_id", "case_id", (F.hour("seen_at") * 100 + F.minute("seen_at")).alias("seen"), "decision")
+
+
+def review_store(spark: SparkSession, sf: str) -> ReviewStore:
+    """Cases of the documents and the decisions on them, in a new bucketed store."""
+    name = f"review_{uuid.uuid4().hex[:10]}"
+    cases = doc_cases(spark, sf).select("bot_id", "run_id", "case_id", "case_index", "target_id", "score", "doc_id")
+    store = ReviewStore.open(spark, name, _folder(spark, name), cases.schema, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store.add_cases(cases)
+    store.add_decisions(decision_log(spark, sf, store.cases))
+    return store
+
+
+@query("case_list_stored", ORACLES["case_list"])
+def case_list_stored(spark, sf):
+    return review_store(spark, sf).case_list().select("run_id", "case_id", "target_id", "decision")
+
+
+@query("review_tally_stored", ORACLES["review_tally"])
+def review_tally_stored(spark, sf):
+    return review_store(spark, sf).tally()
+
+
 # -------------------------------------------------------------------------------------- delivery
 
 @query("webhooks_effective", """
