@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .license_scan import K, NOTICES, PHRASES, SHARE, SLIP, template_rows
 from .line_runs import LONG_WORDS, MIN_LINES, RUN_WORDS
-from .url_reputation import LEVELS, LIMIT, Z
+from .url_reputation import LEVELS, LIMIT, SUFFIXES, Z
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(ASCII_LOWER.format("coalesce(text, '')"))
@@ -26,19 +26,25 @@ s_{level} AS (
   FROM g_{level}),
 p_{level} AS (SELECT key, s * m + x AS a, s * (1 - m) + n - x AS b FROM g_{level}, s_{level})""")
     found = " UNION ALL ".join(["SELECT 0 AS depth, key, a, b FROM top"] + [f"SELECT {i + 1}, key, a, b FROM p_{x}" for i, x in enumerate(LEVELS)])
-    domain = r"regexp_extract(host, '([^.]*\.)?[^.]*$', 0)"
+    site = r"regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', '')"
+    tail = "array_to_string(list_reverse(list_reverse(string_split(site, '.'))[1:{}]), '.')"
+    known = ", ".join(f"'{x}'" for x in SUFFIXES)  # all of two labels
+    address = r"regexp_matches(site, '^([0-9]+(\.[0-9]+){3}$|\[)')"
+    suffix = f"CASE WHEN {address} THEN site WHEN {tail.format(2)} IN ({known}) THEN {tail.format(2)} ELSE {tail.format(1)} END"
+    domain = tail.format("1 + len(string_split(suffix, '.'))")
     return f"""
 WITH outcomes AS ({outcomes}),
-counted AS (SELECT {host} AS host, count(*) AS n, sum(bad) AS x FROM outcomes WHERE url IS NOT NULL AND bad IS NOT NULL GROUP BY 1),
-hosts AS (SELECT host, {domain} AS domain, split_part(host, '.', -1) AS suffix, n::DOUBLE AS n, x::DOUBLE AS x FROM counted),
+counted AS (SELECT host, count(*) AS n, sum(bad) AS x FROM (SELECT {host} AS host, bad FROM outcomes WHERE url IS NOT NULL AND bad IS NOT NULL) GROUP BY 1),
+sites AS (SELECT {site} AS site, sum(n) AS n, sum(x) AS x FROM counted GROUP BY 1),
+hosts AS (SELECT site AS host, {domain} AS domain, suffix, n::DOUBLE AS n, x::DOUBLE AS x FROM (SELECT *, {suffix} AS suffix FROM sites)),
 top AS (SELECT '' AS key, coalesce(sum(x), 0) + 1.0 AS a, coalesce(sum(n), 0) - coalesce(sum(x), 0) + 1.0 AS b FROM hosts),
 {", ".join(levels)},
 found AS ({found}),
 own AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-named AS (SELECT DISTINCT host, {domain} AS domain, split_part(host, '.', -1) AS suffix FROM own),
+named AS (SELECT host, site, {domain} AS domain, suffix FROM (SELECT *, {suffix} AS suffix FROM (SELECT DISTINCT host, {site} AS site FROM own))),
 best AS (
   SELECT n.host, arg_max(f.a, f.depth) AS a, arg_max(f.b, f.depth) AS b FROM named n JOIN found f
-  ON f.depth = 0 OR f.depth = 1 AND f.key = n.suffix OR f.depth = 2 AND f.key = n.domain OR f.depth = 3 AND f.key = n.host GROUP BY 1),
+  ON f.depth = 0 OR f.depth = 1 AND f.key = n.suffix OR f.depth = 2 AND f.key = n.domain OR f.depth = 3 AND f.key = n.site GROUP BY 1),
 judged AS (SELECT host, round(a / (a + b), 6) AS bad_mean, round(a / (a + b) - {Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))), 6) AS bad_bound FROM best),
 rules(said, rule, name, start) AS (VALUES {values}),
 ruled AS (

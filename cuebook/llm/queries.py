@@ -20,7 +20,7 @@ def _tokenizer(name: str) -> str:
 
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-# The last number in a page's path names the document it shows.
+# The first number in a page's path names the document it shows.
 DOCUMENT_OF_URL = "try_cast(regexp_extract(url, '://[^/?#]*/[^?#0-9]*([0-9]+)', 1) as bigint)"
 
 

@@ -293,6 +293,23 @@ def test_url_reputation_shrinks(spark):
     assert kept.columns == pages.columns and "http://bad.one.net/" not in [r.url for r in kept.collect()]
 
 
+def test_url_sites_suffixes_and_domains(spark):
+    """Two registrations under one public suffix have nothing in common but the suffix."""
+    hosts = {"u:p@a.co.uk:8080": ("a.co.uk", "a.co.uk", "co.uk"), "x.y.a.co.uk.": ("x.y.a.co.uk", "a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk", "co.uk"),
+             "uk": ("uk", "uk", "uk"), "www.b.net": ("www.b.net", "b.net", "net"), "10.0.0.1:80": ("10.0.0.1",) * 3, "[::1]:80": ("[::1]",) * 3,
+             "": ("", "", ""), "..": ("", "", ""), "a.b.city.jp": ("a.b.city.jp", "a.b.city.jp", "b.city.jp"), "notco.uk": ("notco.uk", "notco.uk", "uk")}
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    suffixes = [*url_reputation.SUFFIXES, "b.city.jp"]
+    got = {r.h: (r.host, r.domain, r.suffix) for r in url_reputation.levels(df, url_reputation.site_of(F.col("h")), suffixes, "h").collect()}
+    assert got == hosts
+    bad = spark.createDataFrame([(f"http://{h}.co.uk/{i}", 1) for h in "ab" for i in range(17)] + [(f"http://s{i}.org/", 0) for i in range(60)], "url string, bad int")
+    pages = spark.createDataFrame([(1, "http://new.co.uk/"), (2, "http://www.a.co.uk/"), (3, "http://me@a.co.uk:443/"), (4, "http://b.org/")], "page_id long, url string")
+    judged = {r.page_id: r for r in url_reputation.judge(pages, bad, []).collect()}
+    assert judged[2].verdict == judged[3].verdict == "block" and judged[4].verdict == "allow"
+    assert judged[2].bad_mean == url_reputation.judge(pages.filter("page_id = 2"), bad, []).first().bad_mean
+    assert judged[1].bad_mean < judged[2].bad_mean  # the suffix's, not that of a domain "co.uk"
+
+
 PAGES = {"": "", None: "", "x &amp; y": "x & y", "<p>a<p>b": "a\n\nb", "<div": "", "<script>x": "", "<p>1 < 2 &lt; 3&nbsp;\n x</p>": "1 < 2 < 3 x",
          "<article><header>H</header><h1>T</h1><p>One <b>two<br>three</p><aside>no</aside><p>four<script>var a='</p>'</script> five</article>rest": "T\n\nOne two three\n\nfour five",
          "<body class=has-sidebar><nav><a href=/>home</a></nav><div id=c><p>Some long text of the page, word after word.</p><section><p>More of it follows here.</p></section></div>"
