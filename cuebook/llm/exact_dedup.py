@@ -4,7 +4,8 @@ The rows' digests run as a stream through a keyed aggregation without watermark,
 ever expires. The state lives in RocksDB on the executors' disks and in the checkpoint folder;
 for each digest it retains the identifier that stays, the locator of its content (file and row) and
 the number of copies. Counts combine before the shuffle, so a group with a third of all rows is
-one row a task. Each micro-batch writes the digests it changed into a folder of its number, so a
+one row a task. A table is ``BATCHES`` micro-batches (fewer where it has fewer files), so that each reads a
+share of the digests and meets the state of those before. Each micro-batch writes the digests it changed into a folder of its number, so a
 replay overwrites itself; values only grow, so the latest state is their maximum.
 
 On hits (digests of several rows) the full bytes are compared with the row that stays. Rows
@@ -20,13 +21,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_folder, text_of, written
 from .graph import counted
 
-BYTES_PER_BATCH = 16 << 30  # of digest rows, not of texts
+BATCHES = 4  # micro-batches for a table, whatever its size; later ones look the state of earlier ones up
 # The state store: RocksDB, with bounded memory and small write buffers. A store is closed once its task
 # has committed, so an executor's memory and disk follow its running tasks, not the number of partitions (an open
 # store holds some megabytes of disk however few keys it has).
@@ -62,15 +63,21 @@ def dedup_stream(rows: DataFrame, folder: str) -> None:
     query.awaitTermination()
 
 
-def states(docs: DataFrame, id_col: str, text_col: str, batch: int = BYTES_PER_BATCH, partitions: int | None = None,
+def _size(spark: SparkSession, folder: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def states(docs: DataFrame, id_col: str, text_col: str, batch: int | None = None, partitions: int | None = None,
            digest: Callable[[Column], Column] = digest_of) -> tuple[DataFrame, DataFrame]:
-    """(rows (id, digest), states (digest, id that stays, its locator, copies))."""
+    """(rows (id, digest), states (digest, id that stays, its locator, copies)). ``batch``: bytes of digest rows in a micro-batch."""
     spark = docs.sparkSession
     text = text_of(docs[text_col])
     place = F.struct(docs[id_col].alias("id"), F.concat_ws("#", F.input_file_name(), F.monotonically_increasing_id().cast("string")).alias("at"))
     narrow = docs.select(digest(text).alias("digest"), place.alias("kept"), F.lit(1).cast("long").alias("copies"))
     folder = fresh_folder(spark, "dedup")
     narrow.write.parquet(f"{folder}/rows")
+    batch = batch or max(1, -(-_size(spark, f"{folder}/rows") // BATCHES))
     session = spark.newSession()  # the state store is set for this stream only
     session.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     for key, value in STATE_CONF.items():
@@ -84,7 +91,7 @@ def states(docs: DataFrame, id_col: str, text_col: str, batch: int = BYTES_PER_B
     return rows, changed.groupBy("digest").agg(F.max("kept").alias("kept"), F.max("copies").alias("copies"))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BYTES_PER_BATCH,
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int | None = None,
                      partitions: int | None = None, digest: Callable[[Column], Column] = digest_of) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for each row; the last is the ``digest``."""
     rows, state = states(docs, id_col, text_col, batch, partitions, digest)

@@ -156,6 +156,17 @@ def test_exact_duplicates_over_many_batches(docs):
     assert rows_of(exact_dedup.exact_duplicates(docs.repartition(6), batch=1)) == exact(texts())
 
 
+def test_exact_duplicates_take_several_batches_by_default(spark, docs, tmp_path):
+    """The stream looks state up in later batches at any size, not only in this test."""
+    before = exact_dedup.fresh_folder
+    exact_dedup.fresh_folder = lambda _spark, name: str(tmp_path / name)
+    try:
+        exact_dedup.states(docs.repartition(6), "doc_id", "text")
+    finally:
+        exact_dedup.fresh_folder = before
+    assert len(list((tmp_path / "dedup" / "changed").glob("batch=*"))) >= 3
+
+
 def test_exact_duplicates_when_digests_collide(docs):
     got = exact_dedup.exact_duplicates(docs, digest=lambda t: F.length(t).cast("string"))
     assert rows_of(got.drop("text_sha256")) == sorted((r[:4] for r in exact(texts())), key=repr)
@@ -269,6 +280,18 @@ URLS = [(1, "https://A.Example.org/es/1?x#y", "a.example.org", "/es/1", "example
         (12, "http://COM/de/x", "com", "/de/x", "com/de/", "block"), (13, "http://É.org/", "É.org", "/", "org/", "allow")]
 
 
+def test_packing_spreads_equal_rows(spark):
+    """3,000 equal rows, groups of 500: no group gathers them; each row is still packed once."""
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(7, "the same words again")] * 3000 + [(i, f"text {i}") for i in range(100, 200)], "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group_docs=500)
+    own = pieces.filter("doc_id = 7")
+    assert own.agg(F.sum("length")).first()[0] == 3000 * own.first().doc_tokens
+    by_group = [r["count"] for r in pieces.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert max(by_group) < 900 and len(by_group) == 7
+
+
 def test_url_rules(spark):
     pages = spark.createDataFrame([(*u[:2], "h", "r") for u in [*URLS, URLS[0]]], "page_id long, url string, host string, rule string")
     outcomes = spark.createDataFrame([], "url string, bad int")
