@@ -2,8 +2,9 @@
 
 A document is its token ids and one end id. Its full pieces of ``capacity`` ids each fill a
 sequence; what remains (fewer than ``capacity`` ids) is packed with the remains of other
-documents. These are dealt into groups of about ``group_docs`` documents by a hash of the id, so
-no group grows with the table, and a group is packed in one task:
+documents. These are dealt into groups of about ``group_docs`` documents by a hash of the id and the remains, so
+no group grows with the table, and a group is packed in one task. Rows that are equal in both are numbered where they are
+encoded, in each Arrow batch, and dealt by that number too, so copies spread like other rows:
 
 * the cost of a piece of n tokens is ``linear * n + quadratic * n**2`` (attention inside a document);
 * the group opens exactly the sequences its tokens need: full ones, and the rest as powers of
@@ -16,12 +17,13 @@ bytes an id) are shuffled, full pieces carry their checksum.
 
 Null and empty texts are the end id alone. Repeated rows are packed each. Extra columns are
 ignored. An empty table gives an empty result. A result depends on the rows, not on where
-they lie, unless ids are null.
+they lie, unless ids are null or rows repeat.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,14 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 def _encoded(path: str, end_id: int, capacity: int):
-    """text -> (doc_tokens, checksums of the full pieces, ids of the remains as little-endian 32 bits)."""
+    """(text, id as a number) -> (doc_tokens, checksums of the full pieces, ids of the remains as little-endian 32 bits,
+    number among equal rows of the Arrow batch)."""
 
-    @F.arrow_udf("struct<doc_tokens:long,full:array<long>,rest:binary>")
-    def encode(texts: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<doc_tokens:long,full:array<long>,rest:binary,again:int>")
+    def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
         encoder = once(("pack", path), lambda: byte_bpe(path))
-        tokens, full, rest = [], [], []
+        tokens, full, rest, again = [], [], [], []
+        seen: Counter = Counter()
         for _, _, raw, offsets in blocks(texts):
             ids, before = encoder.rows_ids(raw, offsets)
             for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
@@ -50,9 +54,12 @@ def _encoded(path: str, end_id: int, capacity: int):
                 tokens.append(len(own))
                 full.append([zlib.crc32(own[i:i + capacity].tobytes()) for i in range(0, whole, capacity)])
                 rest.append(own[whole:].tobytes())
+        for equal in zip(keys.to_pylist(), rest, strict=True):
+            again.append(seen[equal])
+            seen[equal] += 1
         return pa.StructArray.from_arrays(
-            [pa.array(tokens, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
-            ["doc_tokens", "full", "rest"])
+            [pa.array(tokens, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(again, pa.int32())],
+            ["doc_tokens", "full", "rest", "again"])
 
     return encode
 
@@ -88,10 +95,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, line
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost)."""
     groups = max(1, -(-docs.count() // group_docs))
     id_type = docs.schema[id_col].dataType.simpleString()
-    encoded = docs.select(docs[id_col].alias("id"), _encoded(path, end_id, capacity)(text_of(docs[text_col])).alias("e"))
+    encoded = docs.select(docs[id_col].alias("id"), _encoded(path, end_id, capacity)(text_of(docs[text_col]), F.xxhash64(docs[id_col])).alias("e"))
     # Null ids are dealt by row number, so that they do not meet in one group.
     key = F.when(F.col("id").isNull(), F.monotonically_increasing_id().cast("string")).otherwise(F.col("id").cast("string"))
-    dealt = encoded.select(F.pmod(F.xxhash64(key, F.col("e.rest")), F.lit(groups)).alias("part"), "id", "e.*")
+    dealt = encoded.select(F.pmod(F.xxhash64(key, F.col("e.rest"), F.col("e.again")), F.lit(groups)).alias("part"), "id", "e.*")
 
     def one_group(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         ids, tokens = t["id"].to_pylist(), t["doc_tokens"].to_numpy()
