@@ -69,15 +69,16 @@ def _size(spark: SparkSession, folder: str) -> int:
 
 
 def states(docs: DataFrame, id_col: str, text_col: str, batch: int | None = None, partitions: int | None = None,
-           digest: Callable[[Column], Column] = digest_of) -> tuple[DataFrame, DataFrame]:
-    """(rows (id, digest), states (digest, id that stays, its locator, copies)). ``batch``: bytes of digest rows in a micro-batch."""
+           digest: Callable[[Column], Column] = digest_of, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """(rows (id, digest), states (digest, id that stays, its locator, copies)). ``batch``: bytes of digest rows in a
+    micro-batch, instead of ``batches``."""
     spark = docs.sparkSession
     text = text_of(docs[text_col])
     place = F.struct(docs[id_col].alias("id"), F.concat_ws("#", F.input_file_name(), F.monotonically_increasing_id().cast("string")).alias("at"))
     narrow = docs.select(digest(text).alias("digest"), place.alias("kept"), F.lit(1).cast("long").alias("copies"))
     folder = fresh_folder(spark, "dedup")
     narrow.write.parquet(f"{folder}/rows")
-    batch = batch or max(1, -(-_size(spark, f"{folder}/rows") // BATCHES))
+    batch = batch or max(1, -(-_size(spark, f"{folder}/rows") // batches))
     session = spark.newSession()  # the state store is set for this stream only
     session.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     for key, value in STATE_CONF.items():
@@ -92,9 +93,9 @@ def states(docs: DataFrame, id_col: str, text_col: str, batch: int | None = None
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int | None = None,
-                     partitions: int | None = None, digest: Callable[[Column], Column] = digest_of) -> DataFrame:
+                     partitions: int | None = None, digest: Callable[[Column], Column] = digest_of, batches: int = BATCHES) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for each row; the last is the ``digest``."""
-    rows, state = states(docs, id_col, text_col, batch, partitions, digest)
+    rows, state = states(docs, id_col, text_col, batch, partitions, digest, batches)
     # Written, so that the joins with it are of plain tables, where Spark may split a hot digest.
     state = written(state.select("digest", F.col("kept.id").alias("keep_id"), F.col("copies").alias("group_size")), "state")
     hits = written(state.filter("group_size > 1"), "hits")
@@ -124,9 +125,9 @@ def _apart(docs: DataFrame, state: DataFrame, stays: DataFrame, other: DataFrame
     return clean.select("id", "digest", "keep_id", "group_size").unionAll(first).unionAll(rest)
 
 
-def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """The rows of ``docs``, all columns, that stay. A row goes by its id and digest, as an id may be on several texts."""
-    gone = written(exact_duplicates(docs, id_col, text_col).filter("not kept")
+    gone = written(exact_duplicates(docs, id_col, text_col, batches=batches).filter("not kept")
                    .select(F.col(id_col).alias("_cue_gone"), F.col("text_sha256").alias("_cue_digest")).distinct(), "gone")
     return docs.join(counted(gone), docs[id_col].eqNullSafe(F.col("_cue_gone"))
                      & (digest_of(text_of(docs[text_col])) == F.col("_cue_digest")), "left_anti")
