@@ -147,3 +147,61 @@ def test_sample_is_bounded(spark):
     finally:
         toxicity.train = train
     assert seen[0][0] == 25 and 0 < seen[1][1] <= 2000
+
+
+def fold(spark, rows):
+    """Ids outside the held-out fold that the model sees: not kept for the thresholds."""
+    from pyspark.sql import functions as F
+
+    ids = spark.createDataFrame([(i,) for i, *_ in rows], "id long").filter(~toxicity.held_out(F.col("id")))
+    return {r.id for r in ids.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(toxicity.APART)) != toxicity.APART - 1).collect()}
+
+
+def test_every_labelled_row_counts(spark):
+    """The vocabulary is that of all rows, far more than a sample has."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(1500)}" for _ in range(3)), "en", i % 2) for i in range(9000)]
+    docs, labels = tables(spark, rows)
+    model = toxicity.fit(docs, labels, epochs=1)
+    seen, count = fold(spark, rows), {}
+    for i, text, *_ in rows:
+        for w in set(text.split()) if i in seen else ():
+            count[w] = count.get(w, 0) + 1
+    least = 2 + len(seen) // 1000
+    assert len(seen) > toxicity.MAX_ROWS
+    want = [w.encode() for w, n in count.items() if n >= least]
+    raw, ends = np.frombuffer(b" ".join(want), np.uint8), np.cumsum([len(w) + 1 for w in want])
+    assert np.array_equal(model.vocabulary, np.sort(toxicity.word_hashes(raw, np.array([0, ends[-1] - 1]))[0]))
+
+
+def test_parts_train_one_model(spark, monkeypatch):
+    rows = corpus(9, 900)
+    docs, labels = tables(spark, rows)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 150)
+    coalescing = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    made = []
+    monkeypatch.setattr(toxicity, "_part_trainer", lambda *a, make=toxicity._part_trainer: (made.append(a[1]), make(*a))[1])
+    try:
+        model, again = toxicity.fit(docs, labels), toxicity.fit(docs, labels)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalescing)
+    assert made == [*range(toxicity.ROUNDS)] * 2
+    assert np.array_equal(model.vectors, again.vectors) and model.bias == again.bias and model.thresholds == again.thresholds
+    truth = {i: y for i, _, _, y in rows}
+    got = [r for r in toxicity.score(docs, model).collect() if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in got) >= 0.97 * len(got)
+
+
+def test_best_bin_against_all_thresholds():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        scores, y = rng.integers(0, 40, 60) * 200, rng.integers(0, 2, 60)
+        y[0] = 1
+        cut = toxicity.best_bin(np.bincount(scores, minlength=toxicity.BINS), np.bincount(scores, y, toxicity.BINS).astype(int))
+
+        def f1(t):
+            flagged = (scores + 0.5) / toxicity.BINS >= t
+            return 2 * (flagged & (y == 1)).sum() / max(flagged.sum() + y.sum(), 1)
+
+        assert f1(cut) == pytest.approx(max(f1(t / toxicity.BINS) for t in range(0, toxicity.BINS, 100)))
