@@ -5,7 +5,9 @@ import shutil
 import subprocess
 import sys
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cuebook.llm import quality
@@ -67,6 +69,27 @@ def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns[:3] == ["doc_id", "start", "length"]
 
 
+@pytest.mark.parametrize("at", [0, 2, 3, 4])
+def test_workers_get_bounded_batches(spark, at):
+    @F.arrow_udf("long")
+    def size(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))  # 20 MB in one partition
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.STAGES[at][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+        sizes = texts.select(size("text").alias("n")).agg(F.max("n"), F.count("n")).first()
+        assert sizes[0] < corpus_pipeline.BATCH_BYTES + 100_000 and sizes[1] == 2000
+        spark.conf.set(key, 1 << 20)  # a smaller bound of the session stays
+        corpus_pipeline.bounded_batches(spark)
+        assert spark.conf.get(key) in ("1048576", "1048576b")
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_entry_without_the_subpackage(tmp_path):
     for part in ("cuebook", "__spark_entry__.py"):
         src = os.path.join(REPO, part)
