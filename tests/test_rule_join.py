@@ -63,3 +63,41 @@ def test_empty_tables(spark):
     rs = table(spark, ruleset(11, 20))
     assert evaluate_table(df, rs.limit(0), "id").collect() == []
     assert evaluate_table(df.limit(0), rs, "id").collect() == []
+
+
+def criteria(*found):
+    return [(field, op, json.dumps(value), None) for field, op, value in found]
+
+
+def candidates(monkeypatch, df, rules, **more):
+    """(signals, pairs of row and rule that meet under a key)."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    join, met = DataFrame.join, []
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "join", lambda self, *a, **b: met.append(join(self, *a, **b)) or met[-1])
+        out = evaluate_table(df, rules, "id", **more).count()
+    return out, met[0].count()
+
+
+@pytest.mark.parametrize("buckets", [1, 256])
+def test_ranges_meet_only_rows_within(spark, monkeypatch, buckets):
+    df = spark.range(400).selectExpr("id", "CAST(IF(id % 2 = 0, 500, id) AS DOUBLE) AS x")  # a value that half of the rows have
+    bands = [(i, 0.5, "far", "and", criteria(("x", "gt", 1000 + i), ("x", "lte", 1010 + i))) for i in range(600)]
+    bands += [(1000 + i, 0.5, "near", "and", criteria(("x", "gt", i * 20), ("x", "lt", i * 20 + 3))) for i in range(5)]
+    bands += [(2000 + i, 0.5, "by", "and", criteria(("x", "gt", 500), ("x", "lt", 501 + i))) for i in range(5)]
+    n, pairs = candidates(monkeypatch, df, spark.createDataFrame(bands, RULES_TABLE_SCHEMA), buckets=buckets)
+    assert (n, pairs) == (5, 5)  # of "gt 20i and lt 20i + 3" the one odd number
+
+
+@pytest.mark.parametrize(("cuts", "fan", "chunk"), [(1, 2, 1), (16, 2, 3), (16, 3, 256)])
+def test_places_nodes_and_chunks_lose_no_pair(spark, monkeypatch, cuts, fan, chunk):
+    for name, value in (("BOUND_CUTS", cuts), ("FAN", fan), ("CHUNK", chunk)):
+        monkeypatch.setattr(rule_join, name, value)
+    df = spark.createDataFrame(rows(21, 150), SCHEMA)
+    found = [{"rule_id": i, "conditions": {"combination": "or" if i % 5 == 0 else "and", "criteria": [
+        {"field": f, "operator": low, "value": at}, {"field": f, "operator": high, "value": at + width}]}}
+        for i, (f, low, high, at, width) in enumerate((f, low, high, at, width) for f in "abc" for low in ("gt", "gte") for high in ("lt", "lte")
+                                                      for at in (-20, -3, 0, 2.5, 11) for width in (-1, 0, 0.5, 40))]
+    rs = {"id_field": "id", "rules": found}
+    assert signals(evaluate_table(df, table(spark, rs), "id", buckets=4)) == signals(evaluate(df, rs))
