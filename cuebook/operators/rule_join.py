@@ -12,6 +12,7 @@ inverted: a rule lies under *keys* and a row looks up the keys of its values.
 * Places are the leaves of a tree with ``FAN`` branches. A rule lies under the fewest nodes that make up its places, at most
   2 x ``FAN`` a level, and a row has one key for each level where its node holds rules. A node with many rules deals them into
   chunks of about ``CHUNK``, each a key, so that no task has all pairs of a node. Only pairs in a gap that a rule covers in part can miss its range.
+* A bitmap of hashed value keys, ``KEY_WORDS`` words a column, tells which rows' keys no rule has; these rows are not shuffled.
 * Keys meet in a plain equi-join, whose hot keys Spark splits; all criteria of a rule are then checked on the candidate pairs, on the
   typed columns of the row. Of an "or" rule only its first passing criterion gives the signal, so no pair comes twice and nothing is deduplicated.
 
@@ -43,6 +44,7 @@ BUCKETS = 256
 BOUND_CUTS = 16
 FAN = 16
 CHUNK = 256
+KEY_WORDS = 1 << 14
 MOST_SCANNED = 1000
 _BOUNDS = ("lt", "lte", "gt", "gte")
 
@@ -244,6 +246,12 @@ def _tree_runs(first: Column, last: Column, levels: int) -> Column:
     return F.concat(*parts)
 
 
+def _key_bit(key: Column) -> tuple[Column, Column]:
+    """Where a value key is in a bitmap of ``KEY_WORDS`` words: (word, bit)."""
+    at = F.pmod(F.xxhash64(key), F.lit(64 * KEY_WORDS))
+    return F.floor(at / 64).cast("int"), (at % 64).cast("int")
+
+
 def _node_key(level: Column | int, at: Column) -> Column:
     return F.lit(level).cast("bigint") * (1 << 32) + at
 
@@ -323,7 +331,16 @@ def evaluate_table(df: DataFrame, rules: DataFrame, id_field: str, keep: list[st
     keys = F.when(F.col("rank") == 0, F.transform(F.array_distinct(F.filter(values, lambda k: k.isNotNull())), lambda k: F.struct(k.alias("key"), F.lit(0).alias("chunk"))))
     if chunks:
         keys = keys.otherwise(F.transform(covered, node_keys))
+    # Which value keys rules may have, by column: a row's other keys meet no rule and are not shuffled.
+    word, bit = _key_bit(F.col("key"))
+    words = bounded.filter("rank = 0").select(field.alias("f"), F.explode(values).alias("key")).filter("key is not null") \
+        .groupBy("f", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")).collect() if valued else []
+    bitmaps = {f: [0] * KEY_WORDS for f in valued}
+    for r in words:
+        bitmaps[r["f"]][r["word"]] = r["bits"]
     place = F.array_position(columns, field).cast("int") - 1 + F.when(F.col("rank") == 1, len(types)).otherwise(0)
+    needed = {tuple(r) for r in joined.select(place.alias("k"), F.explode(F.flatten(F.transform("criteria", lambda c: F.array(c["field"], c["base"])))).alias("f"))
+              .filter(F.array_contains(columns, F.col("f"))).distinct().collect()}
     under = bounded.withColumn("rule_key", F.explode(keys)).select(
         place.alias("rule_field"), F.col("rule_key.key").alias("rule_key"), F.col("rule_key.chunk").alias("rule_chunk"), F.col("low.n").alias("low"), F.col("high.n").alias("high"),
         "rule_id", "score", "label", "either", "key_at", "texts", "checks")
@@ -332,13 +349,18 @@ def evaluate_table(df: DataFrame, rules: DataFrame, id_field: str, keep: list[st
     read = sorted({f for f, _, _ in asked} | {b for _, _, b in asked if b is not None})
     taken = {f: f"row_{i}" for i, f in enumerate(dict.fromkeys([*keep, id_field, *read]))}
     cells = {f: F.col(taken[f]) for f in read}
-    nothing = F.lit(None).cast("double")
-    own = [F.struct(F.lit(number[f]).alias("row_field"), _row_key(F.col(taken[f]), types[f]).alias("row_key"), F.lit(1).alias("n"), nothing.alias("x")) for f in valued]
+
+    def asked_for(f: str) -> Column:
+        key = _row_key(F.col(taken[f]), types[f])
+        word, bit = _key_bit(key)
+        return F.when(F.getbit(F.get(const_array(bitmaps[f], "bigint"), word), bit) == 1, key)
+
+    own = [F.struct(F.lit(number[f]).alias("row_field"), asked_for(f).alias("row_key"), F.lit(1).alias("n")) for f in valued]
     seats = {f: f"seat_{i}" for i, f in enumerate(sorted({f for f, _ in chunks}))}
     for (f, level), n in sorted(chunks.items()):
         node = F.expr(f"{seats[f]} div {FAN**level}").cast("int")
         held_here = F.get(const_array(n, "int"), node)
-        own.append(F.struct(F.lit(len(types) + number[f]).alias("row_field"), F.when(held_here > 0, _node_key(level, node)).alias("row_key"), held_here.alias("n"), F.col(taken[f]).cast("double").alias("x")))
+        own.append(F.struct(F.lit(len(types) + number[f]).alias("row_field"), F.when(held_here > 0, _node_key(level, node)).alias("row_key"), held_here.alias("n")))
     head = [F.col(taken[k]).alias(k) for k in keep]
     ids = F.col(taken[id_field])
     out = [*keep, "target_id", "rule_id", "label", "score", "confidence", "evidence", "features", "subject", "note"]
@@ -347,9 +369,19 @@ def evaluate_table(df: DataFrame, rules: DataFrame, id_field: str, keep: list[st
         seated = _seated(df.select(*[qcol(f).alias(a) for f, a in taken.items()]), [(taken[f], seat, cuts[f]) for f, seat in seats.items()])
         rows = seated.select(*taken.values(), F.explode(F.array(*own)).alias("k")).filter("k.row_key is not null")
         dealt = any(n > 1 for ns in chunks.values() for n in ns)
-        rows = rows.withColumn("row_chunk", F.explode(F.sequence(F.lit(0), F.col("k.n") - 1)) if dealt else F.lit(0)).select("*", "k.*").drop("k", "n")
-        inside = (F.col("low").isNull() | (F.col("x") >= F.col("low"))) & (F.col("high").isNull() | (F.col("x") <= F.col("high")))
-        pairs = rows.join(under, (F.col("row_field") == F.col("rule_field")) & (F.col("row_key") == F.col("rule_key")) & (F.col("row_chunk") == F.col("rule_chunk")) & inside)
+        if dealt:
+            rows = rows.withColumn("row_chunk", F.explode(F.sequence(F.lit(0), F.col("k.n") - 1)))
+        # Under a key a row keeps what rules under such keys read.
+        named_by = {f: sorted(k for k, n in needed if n == f) for f in read}
+        kept = [F.when(F.col("k.row_field").isin(named_by[f]), F.col(a)).alias(a) if f not in (*keep, id_field) else F.col(a) for f, a in taken.items()]
+        rows = rows.select(*kept, "k.row_field", "k.row_key", *(["row_chunk"] if dealt else []))
+        x = F.lit(None).cast("double")
+        for f in seats:
+            x = F.when(F.col("row_field") == len(types) + number[f], cells[f].cast("double")).otherwise(x)
+        inside = (F.col("low").isNull() | (x >= F.col("low"))) & (F.col("high").isNull() | (x <= F.col("high")))
+        # The key first: sorts compare its prefix.
+        same = (F.col("row_key") == F.col("rule_key")) & (F.col("row_field") == F.col("rule_field"))
+        pairs = rows.join(under, same & ((F.col("row_chunk") == F.col("rule_chunk")) if dealt else F.lit(True)) & inside)
         passes = lambda c: _holds(c, asked, cells, types)
         hit = pairs.filter(F.when(F.col("either"), F.array_position(F.transform("checks", passes), True) == F.col("key_at") + 1).otherwise(F.forall("checks", passes)))
         chosen = F.filter("texts", lambda _, i: passes(F.get("checks", i)))

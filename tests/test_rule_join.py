@@ -90,6 +90,29 @@ def test_ranges_meet_only_rows_within(spark, monkeypatch, buckets):
     assert (n, pairs) == (5, 5)  # of "gt 20i and lt 20i + 3" the one odd number
 
 
+def test_rows_under_no_key_stay_out_of_the_join(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    join, lefts = DataFrame.join, []
+    df = spark.range(5000).selectExpr("id", "id * 7 AS n", "CONCAT('w', id) AS w", "id + 0.5D AS d")
+    found = [(i, 0.5, "one", "or", criteria(("n", "eq", 70 * i), ("w", "in", [f"w{i}", "none"]), ("d", "eq", i + 0.5))) for i in range(1, 4)]
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "join", lambda self, *a, **b: lefts.append(self) or join(self, *a, **b))
+        out = evaluate_table(df, spark.createDataFrame(found, RULES_TABLE_SCHEMA), "id")
+    assert sorted((int(r.target_id), r.rule_id) for r in out.collect()) == sorted((at, i) for i in range(1, 4) for at in (i, 10 * i))
+    assert lefts[0].count() < 20  # nine keys of rules; 15,000 of rows
+
+
+@pytest.mark.parametrize("words", [1, 1 << 14])
+def test_key_bitmaps_lose_no_pair(spark, monkeypatch, words):
+    monkeypatch.setattr(rule_join, "KEY_WORDS", words)
+    df = spark.createDataFrame(rows(31, 150), SCHEMA)
+    rs = {"id_field": "id", "rules": [{"rule_id": i, "conditions": {"combination": "or" if i % 2 else "and", "criteria": [
+        {"field": f, "operator": "eq", "value": v}, {"field": g, "operator": "in", "value": [v, "red"]}]}}
+        for i, (f, g, v) in enumerate((f, g, v) for f in ("a", "b", "c", "word") for g in ("a", "b", "word") for v in (-3, 0, 0.5, 2.5, "red", "", True))]}
+    assert signals(evaluate_table(df, table(spark, rs), "id")) == signals(evaluate(df, rs))
+
+
 @pytest.mark.parametrize(("cuts", "fan", "chunk"), [(1, 2, 1), (16, 2, 3), (16, 3, 256)])
 def test_places_nodes_and_chunks_lose_no_pair(spark, monkeypatch, cuts, fan, chunk):
     for name, value in (("BOUND_CUTS", cuts), ("FAN", fan), ("CHUNK", chunk)):
